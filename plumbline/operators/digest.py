@@ -2,8 +2,8 @@
 
 Multiset digest: equal hashes are counted first (map-side), so any number of exact
 copies is one entry. Entries are then folded up a fixed radix tree over the hash
-prefix: 6 hex characters, 3, none. SHA-256 spreads distinct hashes evenly, so a leaf
-holds about N / 16.7 million entries and every inner node at most 4,096 children.
+prefix: 5 hex characters, 2, none. SHA-256 spreads distinct hashes evenly, so a leaf
+holds about N / 1.05 million entries and every inner node at most 4,096 children.
 
 Order digest: hashes are folded in blocks of 65,536 consecutive positions, three
 times, which covers 2.8e14 rows with at most 65,536 entries per group.
@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 
 from plumbline.session import freeze
 
-LEAF_PREFIX = 6
-INNER_PREFIX = 3
+LEAF_PREFIX = 5
+INNER_PREFIX = 2
 BLOCK = 65_536
 BLOCK_LEVELS = 3
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of nothing
 
 
 def _fold(parts: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), ","), 256)
+    return F.sha2(F.array_join(F.sort_array(F.collect_list(parts)), ","), 256)
 
 
 def multiset_digest(hashes: DataFrame, column: str = "record_sha256", copies: str | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def order_digest(positioned: DataFrame, ordinal: str = "ordinal", column: str =
     """One row (order_sha256) over hashes in the order of a unique 0-based ordinal."""
     level = positioned.select(F.col(ordinal).cast("long").alias("_i"), F.col(column).alias("_d"))
     for _ in range(BLOCK_LEVELS):
-        entries = F.array_sort(F.collect_list(F.struct("_i", "_d")))
+        entries = F.sort_array(F.collect_list(F.struct("_i", "_d")))
         level = (
             level.groupBy(F.expr(f"_i div {BLOCK}").alias("_b"))
             .agg(entries.alias("_e"))

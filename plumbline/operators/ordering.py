@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from plumbline.errors import Refusal
 from plumbline.functions.canon import is_missing, json_value, record_hash
 from plumbline.operators.digest import order_digest, with_positions
+from plumbline.session import spread
 
 # The accepted policies of a sort specification.
 NULL_ORDERINGS = ("nulls_first", "nulls_last", "nulls_error")
@@ -101,6 +102,7 @@ def order_token(column: Column, dtype: T.DataType, nulls: str) -> Column:
 
 def tokenised(frame: DataFrame, spec: SortSpec, extra: tuple[str, ...] = ()) -> DataFrame:
     """Rows as (_k0, _k1, ..., record_sha256) plus requested columns."""
+    frame = spread(frame)
     types = {f.name: f.dataType for f in frame.schema.fields}
     tokens = [
         order_token(F.col(f"`{name}`"), types[name], spec.nulls).alias(f"_k{i}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.errors import Refusal
-from plumbline.functions.canon import is_missing, json_value, record_hash
+from plumbline.functions.canon import is_missing, json_value, record_hashes
 from plumbline.functions.lexical import formula_like, is_iso_datetime, looks_like_hash, value_type
 
 INLINE_BYTES = 64  # longer values are counted by their hash, so a shuffled cell stays small
@@ -38,48 +38,69 @@ def _token(column: Column, dtype: T.DataType) -> Column:
     return F.when(F.octet_length(text) > INLINE_BYTES, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
 
 
-def cells(frame: DataFrame) -> DataFrame:
-    """(position, token, value_type, formula) of every cell; token NULL when missing."""
-    out = []
-    for place, field in enumerate(frame.schema.fields):
-        column = F.col(f"`{field.name}`")
-        missing = is_missing(column, field.dataType)
-        formula = formula_like(column) if isinstance(field.dataType, T.StringType) else F.lit(False)
-        out.append(F.struct(
-            F.lit(place).alias("position"),
-            F.when(~missing, _token(column, field.dataType)).alias("token"),
-            F.when(~missing, value_type(column, field.dataType)).alias("value_type"),
-            formula.alias("formula"),
-        ))
-    return frame.select(F.explode(F.array(*out)).alias("c")).select("c.*")
+# Value types as numbers: counters over numbers stay in the hash aggregate.
+TYPE_NAMES = ("NULL", "BOOLEAN", "INTEGER", "NUMBER", "DATETIME", "STRING", "OBJECT", "ARRAY")
 
 
-def column_profile(frame: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: observed type, missing, distinct and candidate-key facts.
+def _type_code(column: Column, dtype: T.DataType) -> Column:
+    names = F.array(*[F.lit(n) for n in TYPE_NAMES])
+    return (F.array_position(names, value_type(column, dtype)) - 1).cast("int")
+
+
+def column_values(frame: DataFrame, place: int) -> DataFrame:
+    """Distinct values of one column: (position, present, n, type_code, formula).
 
-    Cells are counted by (column, value) first, so a value that fills a third of a
-    column is one partial row per task before the shuffle.
+    Only this column is read. Values are grouped in their own type, and long text by
+    its hash; a value that fills a third of the column is one partial row per task
+    before the shuffle. The type of a non-text value follows from its column.
     """
-    values = cells(frame).groupBy("position", "token").agg(
-        F.count(F.lit(1)).alias("n"), F.max("value_type").alias("value_type"), F.bool_or("formula").alias("formula"))
+    field = frame.schema.fields[place]
+    column, dtype = F.col(f"`{field.name}`"), field.dataType
+    missing = is_missing(column, dtype)
+    if isinstance(dtype, T.StringType):
+        grouped = frame.select(
+            F.when(~missing, _token(column, dtype)).alias("v"),
+            F.when(missing, 0).otherwise(_type_code(column, dtype)).alias("t"),
+            formula_like(column).cast("int").alias("f"),
+        ).groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("type_code"), F.max("f").alias("formula"))
+        present = F.col("v").isNotNull()
+    elif isinstance(dtype, (T.VariantType, T.MapType)):
+        grouped = frame.select(
+            F.when(~missing, _token(column, dtype)).alias("v"),
+            F.when(missing, 0).otherwise(_type_code(column, dtype)).alias("t"),
+        ).groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("type_code"), F.lit(0).alias("formula"))
+        present = F.col("v").isNotNull()
+    else:
+        grouped = frame.select(column.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        present = F.col("v").isNotNull()
+        grouped = grouped.withColumns({
+            "type_code": F.when(present, _type_code(F.col("v"), dtype)).otherwise(0), "formula": F.lit(0)})
+    return grouped.select(F.lit(place).alias("position"), present.alias("present"), "n", "type_code", "formula")
+
+
+def column_profile(frame: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: observed type, missing, distinct and candidate-key facts."""
+    values = column_values(frame, 0)
+    for place in range(1, len(frame.columns)):
+        values = values.unionByName(column_values(frame, place))
 
     def seen(name: str) -> Column:
-        return F.coalesce(F.bool_or(F.col("value_type") == name), F.lit(False)).cast("int")
+        return F.max((F.col("type_code") == TYPE_NAMES.index(name)).cast("int"))
 
     numeric = seen("INTEGER") + seen("NUMBER")
     other = sum((seen(t) for t in ("BOOLEAN", "DATETIME", "STRING", "OBJECT", "ARRAY")), F.lit(0))
     observed = (
         F.when(numeric + other == 0, "NULL")
         .when(other == 0, F.when(seen("NUMBER") == 1, "NUMBER").otherwise("INTEGER"))
-        .when(numeric + other == 1, F.max("value_type"))
+        .when(numeric + other == 1, F.element_at(F.array(*[F.lit(n) for n in TYPE_NAMES]), F.max("type_code") + 1))
         .otherwise("MIXED")
     )
     per = values.groupBy("position").agg(
         F.sum("n").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("token").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-        F.count("token").alias("distinct_count"),
+        F.coalesce(F.sum(F.when(~F.col("present"), F.col("n"))), F.lit(0)).alias("null_count"),
+        F.count_if("present").alias("distinct_count"),
         observed.alias("observed_type"),
-        F.bool_or("formula").alias("formula_like"),
+        (F.max("formula") == 1).alias("formula_like"),
     )
     labels = F.array(*[F.lit(n) for n in (names or frame.columns)])
     return per.select(
@@ -111,7 +132,7 @@ def approximate_profile(frame: DataFrame, rsd: float = 0.02) -> DataFrame:
 
 def exact_duplicates(frame: DataFrame) -> DataFrame:
     """One row: rows that repeat an earlier equal record."""
-    counts = frame.groupBy(record_hash(frame).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    counts = record_hashes(frame).groupBy("record_sha256").agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("exact_duplicate_row_count"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.errors import Refusal
-from plumbline.functions.canon import is_missing, json_value, record_hash
+from plumbline.functions.canon import is_missing, json_value, record_hash, record_hashes
 from plumbline.operators.digest import multiset_digest
 from plumbline.operators.ordering import IDENTITY_RULE, SortSpec, normalised_digest
 
@@ -97,7 +97,7 @@ def readiness_counts(frame: DataFrame, spec: SortSpec, rebuild: bool = True) ->
     else:
         facts.append(_metric_rows(frame.agg(F.count(F.lit(1)).alias("row_count"))))
     facts.append(_metric_rows(
-        multiset_digest(frame.select(record_hash(frame).alias("record_sha256"))).drop("row_count")))
+        multiset_digest(record_hashes(frame)).drop("row_count")))
     sortable = resolved
     if resolved and spec.nulls == "nulls_error":
         sortable = key_counts(frame, spec).first()["null_key_cells"] == 0

@@ -56,3 +56,14 @@ def freeze(frame: DataFrame) -> DataFrame:
     executor loss, and a later action sees exactly the same rows."""
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work all cores when the input has fewer splits than cores.
+
+    A large input has far more splits than cores and passes through without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.isStreaming or frame.rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores)
