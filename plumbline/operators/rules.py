@@ -17,6 +17,7 @@ from plumbline.operators import rule_tables as R
 from plumbline.operators.integrity import safe_relative_path
 
 PROFILES = ("exploratory", "standard", "strict", "submission")
+WHITESPACE = " \t\n\r\x0b\x0c"
 STRICT = ("strict", "submission")
 NOT_EXPLORATORY = ("standard", "strict", "submission")
 
@@ -49,7 +50,7 @@ def evaluate(rows: DataFrame, subject: Column, rules: Sequence[Rule], profile: s
 
 
 def text(name: str) -> Column:
-    return F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))
+    return F.btrim(F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit(WHITESPACE))
 
 
 def shorter(name: str, minimum: int) -> Column:
@@ -58,7 +59,7 @@ def shorter(name: str, minimum: int) -> Column:
 
 def listed(name: str) -> Column:
     """Non-blank entries of an array column."""
-    return F.filter(F.coalesce(F.col(name), F.expr("cast(array() as array<string>)")), lambda x: F.trim(x) != "")
+    return F.filter(F.coalesce(F.col(name), F.expr("cast(array() as array<string>)")), lambda x: F.btrim(x, F.lit(WHITESPACE)) != "")
 
 
 def matches(column: Column, pattern: str) -> Column:
