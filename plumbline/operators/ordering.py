@@ -134,7 +134,11 @@ def ordered_runs(frame: DataFrame, spec: SortSpec) -> DataFrame:
 def normalised_digest(frame: DataFrame, spec: SortSpec) -> DataFrame:
     """One row (order_sha256): digest of the runs in total order."""
     columns = order_columns(spec)
-    runs = tokenised(frame, spec).groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+    return runs_digest(tokenised(frame, spec).groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")), spec)
+
+
+def runs_digest(runs: DataFrame, spec: SortSpec) -> DataFrame:
+    columns = order_columns(spec)
     slim = runs.select(*columns, F.concat_ws("*", "record_sha256", F.col("copies").cast("string")).alias("run"))
     return order_digest(with_positions(slim, columns, "ordinal"), "ordinal", "run")
 

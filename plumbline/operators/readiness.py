@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from plumbline.errors import Refusal
 from plumbline.functions.canon import is_missing, json_value, record_hash, record_hashes
 from plumbline.operators.digest import multiset_digest
-from plumbline.operators.ordering import IDENTITY_RULE, SortSpec, normalised_digest
+from plumbline.operators.ordering import (
+    IDENTITY_RULE, SortSpec, normalised_digest, order_columns, runs_digest, tokenised)
+from plumbline.session import freeze
 
 # The check matrix, in order.
 REQUIRED_CHECKS = (
@@ -84,29 +86,54 @@ def _metric_rows(frame: DataFrame) -> DataFrame:
     return frame.select(F.explode(pairs).alias("metric", "value"))
 
 
+def identity_runs(frame: DataFrame, spec: SortSpec) -> DataFrame:
+    """Distinct records with their key tokens and copies, stored once: every count and the
+    first digest of the gate are taken from this table instead of the source."""
+    relaxed = replace(spec, nulls="nulls_last") if spec.nulls == "nulls_error" else spec
+    types = {f.name: f.dataType for f in frame.schema.fields}
+    names = spec.keys + spec.tie_break
+    tokens = tokenised(frame, relaxed, names)
+    flags = [F.col(f"`{n}`").isNull().alias(f"_z{i}") for i, n in enumerate(names)]
+    misses = [is_missing(F.col(f"`{n}`"), types[n]).alias(f"_m{i}") for i, n in enumerate(names)]
+    keyed = tokens.select(*order_columns(spec), *flags, *misses)
+    return freeze(keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("copies")))
+
+
+def _run_counts(runs: DataFrame, spec: SortSpec) -> DataFrame:
+    keys = [c for i in range(len(spec.keys)) for c in (f"_k{i}", f"_z{i}")]
+    missing = sum((F.col(f"_m{i}").cast("int") for i in range(len(spec.keys + spec.tie_break))), F.lit(0))
+    groups = runs.groupBy(*keys).agg(F.sum("copies").alias("_n"), F.sum(F.col("copies") * missing).alias("_miss"))
+    return groups.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
+        F.count(F.lit(1)).alias("key_groups"),
+        F.count_if(F.col("_n") > 1).alias("duplicate_key_count"),
+        F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("rows_in_duplicate_groups"),
+        F.coalesce(F.sum("_miss"), F.lit(0)).alias("null_key_cells"),
+    )
+
+
 def readiness_counts(frame: DataFrame, spec: SortSpec, rebuild: bool = True) -> DataFrame:
     """Every measured fact of the gate in one row.
 
-    The ordered digest is built twice, the second time from a reversed arrangement of
-    the input: equality shows both order invariance and rebuild equality.
+    The ordered digest is built twice, the second time from the source again in a reversed
+    arrangement: equality shows both order invariance and rebuild equality.
     """
     resolved = bool(spec.keys) and all(frame.columns.count(c) == 1 for c in spec.keys + spec.tie_break)
     facts = []
-    if resolved:
-        facts.append(_metric_rows(key_counts(frame, spec)))
-    else:
+    if not resolved:
         facts.append(_metric_rows(frame.agg(F.count(F.lit(1)).alias("row_count"))))
-    facts.append(_metric_rows(
-        multiset_digest(record_hashes(frame)).drop("row_count")))
-    sortable = resolved
-    if resolved and spec.nulls == "nulls_error":
-        sortable = key_counts(frame, spec).first()["null_key_cells"] == 0
-    if sortable:
-        first = normalised_digest(frame, spec).withColumnRenamed("order_sha256", "normalized_sha256")
-        facts.append(_metric_rows(first))
-        if rebuild:
-            second = normalised_digest(rearranged(frame), spec).withColumnRenamed("order_sha256", "rebuilt_sha256")
-            facts.append(_metric_rows(second))
+        facts.append(_metric_rows(multiset_digest(record_hashes(frame)).drop("row_count")))
+    else:
+        runs = identity_runs(frame, spec)
+        facts.append(_metric_rows(_run_counts(runs, spec)))
+        facts.append(_metric_rows(multiset_digest(runs, "record_sha256", "copies").drop("row_count")))
+        blocked = spec.nulls == "nulls_error" and _run_counts(runs, spec).first()["null_key_cells"] > 0
+        if not blocked:
+            first = runs_digest(runs.select(*order_columns(spec), "copies"), spec)
+            facts.append(_metric_rows(first.withColumnRenamed("order_sha256", "normalized_sha256")))
+            if rebuild:
+                second = normalised_digest(rearranged(frame), spec)
+                facts.append(_metric_rows(second.withColumnRenamed("order_sha256", "rebuilt_sha256")))
     rows = facts[0]
     for more in facts[1:]:
         rows = rows.unionByName(more)

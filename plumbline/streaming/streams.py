@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -31,9 +32,11 @@ def append_new(ledger_path: str, digest: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         unique = batch.dropDuplicates([digest])
-        if spark._jvm.org.apache.hadoop.fs.Path(ledger_path).getFileSystem(
-                spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(ledger_path)):
+        try:
             known = spark.read.parquet(ledger_path).select(digest).distinct()
+        except AnalysisException:  # first batch: the ledger does not exist yet
+            known = None
+        if known is not None:
             unique = unique.join(known, digest, "left_anti")
         unique.write.mode("append").parquet(ledger_path)
 
