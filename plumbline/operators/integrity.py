@@ -428,21 +428,43 @@ def independence_summary(evidence: DataFrame) -> DataFrame:
         .when(F.col("independent_cluster_count") >= 2, "independent_replication").otherwise("single_source"))
 
 
-def lineage_closure(edges: DataFrame, max_depth: int = 256) -> DataFrame:
-    """Ancestors of every version: edges(id, parent_id) -> (id, ancestor_id, depth).
+def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int = 256) -> DataFrame:
+    """(ancestor_id, depth) of the given versions: edges(id, parent_id), starts(id).
 
-    Doubling: after round k the pairs reach 2^k steps, so 256 levels need 8 joins.
+    A breadth-first walk that only carries the frontier; versions met before are not
+    visited again, so shared ancestors and cycles end the walk.
     """
-    steps = freeze(edges.select("id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")).distinct())
-    size, reach = steps.count(), 1
-    while reach < max_depth:
-        nxt = steps.select(F.col("id").alias("ancestor_id"), F.col("ancestor_id").alias("_far"), F.col("depth").alias("_d"))
-        longer = steps.join(nxt, "ancestor_id").select("id", F.col("_far").alias("ancestor_id"),
-                                                       (F.col("depth") + F.col("_d")).alias("depth"))
-        merged = freeze(steps.unionByName(longer).groupBy("id", "ancestor_id").agg(F.min("depth").alias("depth")))
-        now = merged.count()
-        steps, reach = merged, reach * 2
-        if now == size:
-            break
-        size = now
-    return steps
+    seen = freeze(starts.select(F.col("id").alias("ancestor_id"), F.lit(0).alias("depth")).distinct())
+    frontier = seen
+    for depth in range(1, max_depth + 1):
+        step = (
+            frontier.join(edges, frontier["ancestor_id"] == edges["id"]).select(F.col("parent_id").alias("ancestor_id")).distinct()
+            .join(seen, "ancestor_id", "left_anti").withColumn("depth", F.lit(depth))
+        )
+        frontier = freeze(step)
+        if frontier.isEmpty():
+            return seen.filter("depth > 0")
+        seen = freeze(seen.unionByName(frontier))
+    raise Refusal("LINEAGE_BUDGET", f"more than {max_depth} levels")
+
+
+def lineage_depths(edges: DataFrame, max_depth: int = 256) -> DataFrame:
+    """(id, root_id, depth, settled) of parent-linked versions with one parent each.
+
+    Pointer jumping: every round doubles the reach of each pointer, so the table keeps one
+    row per version and 256 levels need 8 rounds. A row that is not settled sits on a cycle
+    or deeper than the limit.
+    """
+    state = edges.select("id", F.col("parent_id").alias("root_id"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("settled"))
+    reach = 1
+    while True:
+        ahead = state.select(F.col("id").alias("root_id"), F.col("root_id").alias("_far"), F.col("depth").alias("_d"),
+                             F.col("settled").alias("_s"))
+        joined = state.join(ahead, "root_id", "left")
+        top = F.col("_far").isNull()
+        state = freeze(joined.select(
+            "id", F.coalesce("_far", "root_id").alias("root_id"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
+            (top | F.col("settled") | F.coalesce("_s", F.lit(False))).alias("settled")))
+        reach *= 2
+        if reach > max_depth or state.filter("not settled").isEmpty():
+            return state

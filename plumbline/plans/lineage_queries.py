@@ -268,13 +268,13 @@ def transform_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query("packet_parent_chain", """
 with p as (select conv_id, turn + 1 as sequence, sha256(text) as h, role from conversations)
-select conv_id::varchar as chain, sequence, 'PREVIOUS_HASH' as problem from p where role = 'system' and sequence > 1""")
+select conv_id::varchar as chain, sequence, 'PREVIOUS_HASH' as problem from p where role = 'assistant' and sequence > 3""")
 def packet_parent_chain(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "conversations").select(
         F.col("conv_id").cast("string").alias("chain"), (F.col("turn") + 1).alias("sequence"), F.sha2("text", 256).alias("event_sha256"), "role")
     before = p.select("chain", (F.col("sequence") + 1).alias("sequence"), F.col("event_sha256").alias("_b"))
     linked = p.join(before, ["chain", "sequence"], "left").withColumn("previous_event_sha256", F.when(
-        F.col("sequence") == 1, integrity.ZERO_HASH).when(F.col("role") == "system", "none").otherwise(F.col("_b")))
+        F.col("sequence") == 1, integrity.ZERO_HASH).when((F.col("role") == "assistant") & (F.col("sequence") > 3), "none").otherwise(F.col("_b")))
     return integrity.chain_breaks(linked)
 
 
@@ -357,14 +357,26 @@ def dependency_problems(spark: SparkSession, d: str) -> DataFrame:
     return integrity.dependency_problems(*part_graph(spark, d))
 
 
-@query("lineage_closure", """
+@query("lineage_depths", """
 with recursive e as (select event_id as id, event_id - user_id - 1 as parent_id from events where event_id - user_id - 1 >= 0),
-w as (select id, parent_id as ancestor_id, 1 as depth from e union all select w.id, e.parent_id, w.depth + 1 from w join e on e.id = w.ancestor_id)
-select id, count(*)::bigint as ancestors, max(depth)::bigint as depth from w group by id""")
-def lineage_closure(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") - F.col("user_id") - 1).alias("parent_id")).filter("parent_id >= 0")
-    return integrity.lineage_closure(edges, 65_536).groupBy("id").agg(
-        F.count(F.lit(1)).alias("ancestors"), F.max("depth").cast("long").alias("depth"))
+w as (select id, parent_id as root_id, 1 as depth from e union all select w.id, e.parent_id, w.depth + 1 from w join e on e.id = w.root_id)
+select id, min(root_id) as root_id, max(depth)::bigint as depth from w group by id""")
+def lineage_depths(spark: SparkSession, d: str) -> DataFrame:
+    edges = table(spark, d, "events").select(
+        F.col("event_id").alias("id"), (F.col("event_id") - F.col("user_id") - 1).alias("parent_id")).filter("parent_id >= 0")
+    return integrity.lineage_depths(edges, 1 << 20).select("id", "root_id", "depth")
+
+
+@query("version_ancestors", """
+with recursive e as (select event_id as id, event_id // 2 as parent_id from events where event_id > 0 union select event_id, event_id // 3 from events where event_id > 0),
+w as (select parent_id as a, 1 as depth from e where id = (select max(event_id) from events) union select e.parent_id, w.depth + 1 from w join e on e.id = w.a)
+select a as ancestor_id, min(depth)::bigint as depth from w group by a""")
+def version_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    parents = F.explode(F.array_distinct(F.array(F.expr("event_id div 2"), F.expr("event_id div 3"))))
+    edges = events.filter("event_id > 0").select(F.col("event_id").alias("id"), parents.alias("parent_id"))
+    last = events.agg(F.max("event_id").alias("id"))
+    return integrity.ancestors(edges, last).select("ancestor_id", F.col("depth").cast("long").alias("depth"))
 
 
 def lineitem_evidence(spark: SparkSession, d: str) -> DataFrame:
