@@ -88,10 +88,8 @@ def wording_findings(spark: SparkSession, d: str) -> DataFrame:
     return rules.wording_findings(wording(spark, d), "pointer", "body", "strict")
 
 
-@query("vague_terms", f"""with {_closing_sql()},
-v as (select pointer, list_sort(list_distinct(list_transform(regexp_extract_all(lower(body), '{_L}({_VAGUE})', 2), lambda x: x))) as terms
- from w where {_m(_VAGUE)})
-select pointer, array_to_string(list_filter(terms, lambda t: regexp_matches((select lower(body) from w where w.pointer = v.pointer), '{_L}' || t || '{_R}')), ';') as terms from v""")
+@query("vague_terms", f"""with {_closing_sql()}, t as (select unnest(string_split('{_VAGUE}', '|')) as term)
+select pointer, string_agg(term, ';' order by term) as terms from w, t where regexp_matches(lower(body), '{_L}' || term || '{_R}') group by pointer""")
 def vague_terms(spark: SparkSession, d: str) -> DataFrame:
     found = wording(spark, d).select("pointer", rules.vague_terms(F.col("body")).alias("t")).filter(F.size("t") > 0)
     return found.select("pointer", F.array_join("t", ";").alias("terms"))
