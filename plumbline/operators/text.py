@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.rule_tables import B, E
 
@@ -29,19 +30,19 @@ WORD = r"[\p{L}\p{N}_'-]+"
 ASCII_WORD = r"[0-9a-z_'-]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_casefold(values: pd.Series) -> pd.Series:
     """Compatibility normal form and full case folding (no built-in equivalent)."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(values: pd.Series) -> pd.Series:
     """Full case folding (lower() leaves some letters apart)."""
     return values.map(lambda v: None if v is None else v.casefold())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Exact matching-block ratio of two texts."""
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
@@ -58,7 +59,7 @@ def _ratio_at_least(ratio: float):
     at the ratio shares at least |a| - 2 - 3 (1 - ratio)(|a| + |b|) trigrams.
     """
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def bounded(left: pd.Series, right: pd.Series) -> pd.Series:
         out: list[float | None] = []
         seen: dict[str, Counter] = {}
