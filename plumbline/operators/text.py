@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.rule_tables import B, E
+from plumbline.session import freeze, spread
 
 # Word lists of the drift review.
 STOP_WORDS = (
@@ -48,30 +50,42 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
-def _grams(text: str, size: int = 3) -> Counter:
+def _grams(text: str, size: int) -> Counter:
     return Counter(text[i:i + size] for i in range(len(text) - size + 1))
 
 
 def _ratio_at_least(ratio: float):
     """Ratio of two texts, or NULL when a bound already shows it is lower.
 
-    Every character outside the matching blocks destroys at most three trigrams, so a pair
-    at the ratio shares at least |a| - 2 - 3 (1 - ratio)(|a| + |b|) trigrams.
+    With matched characters M >= r (|a| + |b|) / 2, text a has ua = |a| - M and text b has
+    ub = |b| - M others. One of them in a destroys at most q of a's q-grams, one in b at
+    most q - 1, so a pair at the ratio shares at least |a| - q + 1 - q ua - (q - 1) ub.
     """
 
     @F.pandas_udf(T.DoubleType())
     def bounded(left: pd.Series, right: pd.Series) -> pd.Series:
         out: list[float | None] = []
-        seen: dict[str, Counter] = {}
-        for a, b in zip(left, right):
-            need = len(a) - 2 - 3 * (1 - ratio) * (len(a) + len(b))
-            if need > 0:
-                for body in (a, b):
-                    if body not in seen:
-                        seen[body] = _grams(body)
-                if (seen[a] & seen[b]).total() < need - 1e-9:
-                    out.append(None)
+        cache: dict[tuple[str, int], Counter] = {}
+
+        def possible(a: str, b: str) -> bool:
+            floor = ratio * (len(a) + len(b)) / 2
+            ua, ub = len(a) - floor, len(b) - floor
+            for q in (5, 4, 3):
+                need = len(a) - q + 1 - q * ua - (q - 1) * ub
+                if need <= 0:
                     continue
+                for body in (a, b):
+                    if (body, q) not in cache:
+                        cache[body, q] = _grams(body, q)
+                x, y = cache[a, q], cache[b, q]
+                if sum(min(n, y[g]) for g, n in x.items() if g in y) < need - 1e-6:
+                    return False
+            return True
+
+        for a, b in zip(left, right):
+            if not possible(a, b):
+                out.append(None)
+                continue
             matcher = difflib.SequenceMatcher(None, a, b)
             out.append(matcher.ratio() if matcher.quick_ratio() >= ratio else None)
         return pd.Series(out, dtype="float64")
@@ -400,92 +414,81 @@ def catalog_parity(catalog: DataFrame, base: str) -> DataFrame:
 
 # ---- near-duplicate pairs ---------------------------------------------------------------
 
-# For texts a, b with |a| <= |b| and ratio 2 M / (|a| + |b|) >= r:
-#   M <= |a|, so |b| <= |a| (2 - r) / r;
-#   the characters outside the matching blocks number |a| + |b| - 2 M <= (1 - r)(|a| + |b|),
-# so cutting a into one more piece than that bound leaves at least one piece of a that no
-# unmatched character touches: it occurs unchanged in b, displaced by no more than the
-# bound. Joining pieces of a with windows of b on (piece text, length) therefore misses no
-# pair; the exact ratio then decides. Nothing is capped.
-
-
-def _budget(length: int, ratio: float) -> int:
-    longest = int(length * (2 - ratio) / ratio + 1e-9)
-    return int((1 - ratio) * (length + longest) + 1e-9)
+# With the bound above and q = 3, texts of lengths n and m at the ratio r share at least
+# (n + m)(2.5 r - 2) - 2 trigrams (counted with repeats), and m >= n r / (2 - r). So when
+# all trigrams are put in one fixed order, the first |trigrams| - need + 1 of each text
+# share at least one: only those prefixes are joined. Frequent trigrams come last in the
+# order, so shared boilerplate never becomes a join key. The order uses the counts of a
+# bounded number of frequent trigrams; which ones it knows changes speed, not results.
+# Texts with n + m < 1 / (1 - r) can only reach the ratio by being equal.
+
+GRAM = 3
+KNOWN_GRAMS = 65_536
+
+
+def _occurrences(text: str) -> list[str]:
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(text) - GRAM + 1):
+        gram = text[i:i + GRAM]
+        seen[gram] += 1
+        out.append(f"{gram}\x00{seen[gram]}")
+    return out
 
 
-def _pieces(length: int, ratio: float) -> list[tuple[int, int]]:
-    count = min(_budget(length, ratio) + 1, length)
-    small, extra = divmod(length, count)
-    out, at = [], 0
-    for i in range(count):
-        size = small + (1 if i < extra else 0)
-        out.append((at, size))
-        at += size
-    return out
+def _prefix_length(length: int, ratio: float) -> int:
+    smallest = length * (1 + ratio / (2 - ratio))
+    need = math.ceil(smallest * (2.5 * ratio - 2) - 2 - 1e-9)
+    return length - GRAM + 1 - max(need, 1) + 1
 
 
 def near_duplicates(rows: DataFrame, identifier: str, text: str, ratio: float = 0.92) -> DataFrame:
-    """Pairs of distinct texts with a matching-block ratio of at least ``ratio``.
+    """Pairs of distinct texts with a matching-block ratio of at least ``ratio`` (over 0.8).
 
     Equal texts are folded into one representative first (smallest id, copies), so a third
-    of all rows holding one text is one row here; the copies column says how many rows each
-    side stands for. Blank texts are left out, as they carry no claim.
+    of all rows holding one text is one row here; the copies columns say how many rows each
+    side stands for. Blank texts are left out, as they carry no claim. No pair is missed.
     """
+    spark = rows.sparkSession
     folded = rows.select(F.col(identifier).alias("id"), casefold(F.btrim(F.col(text), F.lit(" \t\n\r"))).alias("t"))
-    distinct = (
+    distinct = freeze(
         folded.filter("t <> ''").groupBy("t").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
         .select("id", "copies", "t", F.char_length("t").alias("n"))
     )
     kind = distinct.schema["id"].dataType.simpleString()
+    slim = spread(distinct.select("id", "t"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def all_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for key, body in zip(frame["id"], frame["t"]):
-                n = len(body)
-                spans = _pieces(n, ratio)
-                yield pd.DataFrame({"a": key, "na": n, "at": [s for s, _ in spans],
-                                    "piece": [body[s:s + k] for s, k in spans]})
+            counts = Counter(g for body in frame["t"] for g in _occurrences(body))
+            yield pd.DataFrame({"g": list(counts), "c": list(counts.values())})
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for key, body in zip(frame["id"], frame["t"]):
-                n = len(body)
-                shortest = max(1, -int(-n * ratio / (2 - ratio) // 1) - 1)
-                sizes = sorted({k for m in range(shortest, n + 1) for _, k in _sizes(m, ratio)})
-                for k in sizes:
-                    yield pd.DataFrame({"b": key, "nb": n, "off": range(n - k + 1),
-                                        "piece": [body[i:i + k] for i in range(n - k + 1)]})
-
-    slim = distinct.select("id", "t")
-    pieces = slim.mapInPandas(cut, f"a {kind}, na int, at int, piece string")
-    spans = slim.mapInPandas(windows, f"b {kind}, nb int, off int, piece string")
-    candidates = (
-        pieces.join(spans, "piece")
-        .filter("nb >= na and (nb > na or a < b)")
-        .filter(F.col("nb") <= F.col("na") * ((2 - ratio) / ratio) + 1e-9)
-        .filter(F.abs(F.col("at") - F.col("off")) <= (1 - ratio) * (F.col("na") + F.col("nb")) + 1e-9)
-        .select("a", "b").distinct()
+    frequent = (
+        slim.mapInPandas(all_grams, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
+        .orderBy(F.col("c").desc(), "g").limit(KNOWN_GRAMS).collect()  # bounded by KNOWN_GRAMS
     )
-    left = distinct.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("copies").alias("copies_a"))
-    right = distinct.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("copies").alias("copies_b"))
-    pairs = candidates.join(left, "a").join(right, "b")
-    # the ratio is taken in id order, as the matching is not symmetric
-    swap = F.col("a") > F.col("b")
-    ordered = pairs.select(
-        F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"),
-        F.when(swap, F.col("copies_b")).otherwise(F.col("copies_a")).alias("left_copies"),
-        F.when(swap, F.col("copies_a")).otherwise(F.col("copies_b")).alias("right_copies"),
-        _ratio_at_least(ratio)(F.when(swap, F.col("tb")).otherwise(F.col("ta")),
-                       F.when(swap, F.col("ta")).otherwise(F.col("tb"))).alias("ratio"),
-    )
-    return ordered.filter(F.col("ratio") >= ratio)
-
+    known = spark.sparkContext.broadcast({r["g"]: r["c"] for r in frequent})
 
-def _sizes(length: int, ratio: float) -> set[tuple[int, int]]:
-    count = min(_budget(length, ratio) + 1, length)
-    small, extra = divmod(length, count)
-    return {(0, small)} | ({(0, small + 1)} if extra else set())
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = known.value
+        for frame in batches:
+            for key, body in zip(frame["id"], frame["t"]):
+                grams = sorted(_occurrences(body), key=lambda g: (counts.get(g, 0), g))
+                yield pd.DataFrame({"id": key, "n": len(body), "g": grams[:_prefix_length(len(body), ratio)]})
+
+    keys = slim.mapInPandas(prefixes, f"id {kind}, n int, g string")
+    left, right = (keys.select("g", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
+    fits = (F.greatest("na", "nb") <= F.least("na", "nb") * ((2 - ratio) / ratio) + 1e-9) & (
+        F.col("na") + F.col("nb") >= 1 / (1 - ratio) - 1e-9)
+    candidates = left.join(right, "g").filter("a < b").filter(fits).select("a", "b").distinct()
+    first = distinct.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("copies").alias("left_copies"))
+    second = distinct.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("copies").alias("right_copies"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = candidates.join(first, "a").join(second, "b").repartition(tasks, "a", "b")  # the ratio is costly: spread it
+    return pairs.select(
+        F.col("a").alias("left_id"), F.col("b").alias("right_id"), "left_copies", "right_copies",
+        _ratio_at_least(ratio)("ta", "tb").alias("ratio"),  # in id order, as the matching is not symmetric
+    ).filter(F.col("ratio") >= ratio)
 
 
 def exact_copies(rows: DataFrame, identifier: str, text: str) -> DataFrame:

@@ -88,8 +88,10 @@ def wording_findings(spark: SparkSession, d: str) -> DataFrame:
     return rules.wording_findings(wording(spark, d), "pointer", "body", "strict")
 
 
-@query("vague_terms", f"""with {_closing_sql()}, t as (select unnest(string_split('{_VAGUE}', '|')) as term)
-select pointer, string_agg(term, ';' order by term) as terms from w, t where regexp_matches(lower(body), '{_L}' || term || '{_R}') group by pointer""")
+_TERMS = ", ".join(f"case when regexp_matches(lower(body), '{_L}{t}{_R}') then '{t}' end" for t in sorted(_VAGUE.split("|")))
+
+
+@query("vague_terms", f"with {_closing_sql()}, t as (select pointer, concat_ws(';', {_TERMS}) as terms from w) select * from t where terms <> ''")
 def vague_terms(spark: SparkSession, d: str) -> DataFrame:
     found = wording(spark, d).select("pointer", rules.vague_terms(F.col("body")).alias("t")).filter(F.size("t") > 0)
     return found.select("pointer", F.array_join("t", ";").alias("terms"))

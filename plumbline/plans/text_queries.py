@@ -64,7 +64,7 @@ def comparison_tokens(spark: SparkSession, d: str) -> DataFrame:
     return w.select("doc_id", F.size("w").alias("tokens"), F.size(text.terms(F.col("w"))).alias("terms"))
 
 
-@query("text_search", "select doc_id from documents where contains(lower(text), 'the th') or contains(lower(source), 'src7')")
+@query("text_search", "select doc_id from documents where contains(lower(text), 'the th') or contains(lower(source), 'the th')")
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     return text.search(table(spark, d, "documents"), ["text", "source"], "The th").select("doc_id")
 
@@ -231,6 +231,12 @@ def near_duplicates_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return text.near_duplicates(table(spark, d, "benchmark"), "item_id", "text")
 
 
+@query("near_duplicates_parts")
+def near_duplicates_parts(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("statement"))
+    return text.near_duplicates(parts, "p_partkey", "statement")
+
+
 @query("catalog_parity", """
 with c as (select distinct lang as locale, source as key from documents where not (lang = 'de' and source in ('src1','src2')) and not (lang = 'en' and source = 'src3')),
 l as (select distinct locale from c where locale <> 'en'), h as (select key from c where locale = 'en'), w as (select l.locale, h.key from l, h)

@@ -63,7 +63,7 @@ class ChainChecker(StatefulProcessor):
     to ``max_pending``; beyond that, or when the timer fires, the gap is reported and the
     waiting events are taken up from the lowest one, so none is lost."""
 
-    def __init__(self, max_pending: int = 10_000, wait_ms: int = 60_000, allowed: dict | None = None) -> None:
+    def __init__(self, max_pending: int = 10_000, wait_ms: int | None = 60_000, allowed: dict | None = None) -> None:
         self.max_pending, self.wait_ms = max_pending, wait_ms
         self.allowed = allowed
 
@@ -110,7 +110,7 @@ class ChainChecker(StatefulProcessor):
         left = sum(1 for _ in self.pending.keys())
         if left > self.max_pending:
             head = self._drain(head, out, chain, True)
-        elif left and held:
+        elif left and held and self.wait_ms:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
         self.head.update(head)
         yield pd.DataFrame(out, columns=["chain", "sequence", "problem"])
@@ -125,13 +125,16 @@ class ChainChecker(StatefulProcessor):
         pass
 
 
-def chain_breaks_stream(events: DataFrame, max_pending: int = 10_000, wait_ms: int = 60_000,
+def chain_breaks_stream(events: DataFrame, max_pending: int = 10_000, wait_ms: int | None = 60_000,
                         check_states: bool = False) -> DataFrame:
     """Breaks of hash chains in a stream of (chain, sequence, previous_event_sha256,
-    event_sha256, state). Needs the RocksDB state store."""
+    event_sha256, state). Needs the RocksDB state store. Without ``wait_ms`` there is no
+    timer: waiting events are taken up once more than ``max_pending`` are held, so a bounded
+    run ends."""
     return events.groupBy("chain").transformWithStateInPandas(
         statefulProcessor=ChainChecker(max_pending, wait_ms, dict(TRANSITIONS) if check_states else None),
-        outputStructType=BREAK_SCHEMA, outputMode="Append", timeMode="ProcessingTime")
+        outputStructType=BREAK_SCHEMA, outputMode="Append",
+        timeMode="ProcessingTime" if wait_ms else "None")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
