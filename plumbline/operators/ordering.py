@@ -88,59 +88,61 @@ def value_kind(column: Column, dtype: T.DataType) -> Column:
 
 
 def order_token(column: Column, dtype: T.DataType, nulls: str) -> Column:
-    """(null rank, kind, canonical text): numbers sort as text inside their kind."""
+    """(null rank, kind, canonical text) as one string that sorts the same way.
+
+    Numbers sort as text inside their kind. The kind is left out where the column has only
+    one. Canonical text never holds a NUL, which separates the parts.
+    """
     missing = is_missing(column, dtype)
-    rank = F.lit({"nulls_first": 0, "nulls_last": 2, "nulls_error": 2}[nulls])
-    absent = F.struct(rank.alias("rank"), F.lit("").alias("kind"), F.lit("").alias("text"))
-    present = F.struct(
-        F.lit(1).alias("rank"), value_kind(column, dtype).alias("kind"), json_value(column, dtype).alias("text")
-    )
+    rank = {"nulls_first": "0", "nulls_last": "2", "nulls_error": "2"}[nulls]
+    absent = F.lit(rank)
     if nulls == "nulls_error":
         absent = F.when(missing, F.raise_error(F.lit("READINESS_NULL_IN_KEY"))).otherwise(absent)
-    return F.when(missing, absent).otherwise(present)
+    parts = [F.lit("1"), json_value(column, dtype)]
+    if isinstance(dtype, T.VariantType):
+        parts = [F.lit("1"), value_kind(column, dtype), F.lit("\x00"), json_value(column, dtype)]
+    return F.when(missing, absent).otherwise(F.concat(*parts))
 
 
 def tokenised(frame: DataFrame, spec: SortSpec, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Rows as (_k0, _k1, ..., record_sha256) plus requested columns."""
+    """Rows as (_order, requested columns): the order string ends with the record hash, so
+    equal strings mean equal records."""
     frame = spread(frame)
     types = {f.name: f.dataType for f in frame.schema.fields}
-    tokens = [
-        order_token(F.col(f"`{name}`"), types[name], spec.nulls).alias(f"_k{i}")
-        for i, name in enumerate(spec.keys + spec.tie_break)
-    ]
-    return frame.select(*tokens, record_hash(frame).alias("record_sha256"), *[F.col(f"`{c}`") for c in extra])
+    tokens = [order_token(F.col(f"`{name}`"), types[name], spec.nulls) for name in spec.keys + spec.tie_break]
+    return frame.select(F.concat_ws("\x00", *tokens, record_hash(frame)).alias("_order"), *[F.col(f"`{c}`") for c in extra])
 
 
-def order_columns(spec: SortSpec) -> list[Column]:
-    return [F.col(f"_k{i}") for i in range(len(spec.keys + spec.tie_break))] + [F.col("record_sha256")]
+def hash_of_order() -> Column:
+    return F.substring("_order", -64, 64)
 
 
 def in_total_order(frame: DataFrame, spec: SortSpec) -> DataFrame:
     """The table sorted by key tokens, tie-break tokens and record hash (spilling range sort)."""
     kept = tuple(frame.columns)
-    return tokenised(frame, spec, kept).orderBy(*order_columns(spec)).select(*[f"`{c}`" for c in kept], "record_sha256")
+    return tokenised(frame, spec, kept).orderBy("_order").select(*[f"`{c}`" for c in kept], hash_of_order().alias("record_sha256"))
 
 
-def ordered_runs(frame: DataFrame, spec: SortSpec) -> DataFrame:
-    """Total order as runs of identical records: (record_sha256, copies, position).
+def runs_of(tokens: DataFrame) -> DataFrame:
+    """Identical records counted before any sort: any number of copies is one row."""
+    return tokens.groupBy("_order").agg(F.count(F.lit(1)).alias("copies"))
 
-    Identical records are counted before the sort, so any number of copies is one row.
-    """
-    columns = order_columns(spec)
-    runs = tokenised(frame, spec).groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
-    return with_positions(runs, columns, "position", "copies")
+
+def ordered_runs(frame: DataFrame, spec: SortSpec) -> DataFrame:
+    """Total order as runs of identical records: (record_sha256, copies, position)."""
+    placed = with_positions(runs_of(tokenised(frame, spec)), [F.col("_order")], "position", "copies")
+    return placed.select(hash_of_order().alias("record_sha256"), "copies", "position")
 
 
 def normalised_digest(frame: DataFrame, spec: SortSpec) -> DataFrame:
     """One row (order_sha256): digest of the runs in total order."""
-    columns = order_columns(spec)
-    return runs_digest(tokenised(frame, spec).groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")), spec)
+    return runs_digest(runs_of(tokenised(frame, spec)))
 
 
-def runs_digest(runs: DataFrame, spec: SortSpec) -> DataFrame:
-    columns = order_columns(spec)
-    slim = runs.select(*columns, F.concat_ws("*", "record_sha256", F.col("copies").cast("string")).alias("run"))
-    return order_digest(with_positions(slim, columns, "ordinal"), "ordinal", "run")
+def runs_digest(runs: DataFrame) -> DataFrame:
+    placed = with_positions(runs.select("_order", "copies"), [F.col("_order")], "ordinal")
+    run = F.concat_ws("*", hash_of_order(), F.col("copies").cast("string"))
+    return order_digest(placed.select("ordinal", run.alias("run")), "ordinal", "run")
 
 
 def lane_sort(frame: DataFrame, keys, tie_break=(), nulls: str = "nulls_last") -> DataFrame:

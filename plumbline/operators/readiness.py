@@ -11,7 +11,7 @@ from plumbline.errors import Refusal
 from plumbline.functions.canon import is_missing, json_value, record_hash, record_hashes
 from plumbline.operators.digest import multiset_digest
 from plumbline.operators.ordering import (
-    IDENTITY_RULE, SortSpec, normalised_digest, order_columns, runs_digest, tokenised)
+    IDENTITY_RULE, SortSpec, hash_of_order, normalised_digest, runs_digest, tokenised)
 from plumbline.session import freeze
 
 # The check matrix, in order.
@@ -76,8 +76,9 @@ def key_counts(frame: DataFrame, spec: SortSpec) -> DataFrame:
 
 
 def rearranged(frame: DataFrame) -> DataFrame:
-    """The same rows in another physical arrangement: reversed by record hash."""
-    return frame.repartitionByRange(record_hash(frame).desc()).select("*")
+    """The same rows in another physical arrangement: spread by the hash of all columns."""
+    plain = [c for c, t in frame.dtypes if not t.startswith(("map", "variant"))]
+    return frame.repartition(F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
 
 
 def _metric_rows(frame: DataFrame) -> DataFrame:
@@ -87,22 +88,23 @@ def _metric_rows(frame: DataFrame) -> DataFrame:
 
 
 def identity_runs(frame: DataFrame, spec: SortSpec) -> DataFrame:
-    """Distinct records with their key tokens and copies, stored once: every count and the
-    first digest of the gate are taken from this table instead of the source."""
+    """Distinct records with their order string, key and copies, stored once: every count
+    and the first digest of the gate are taken from this table instead of the source.
+
+    Missing keys form key groups of their own, NULL apart from empty text.
+    """
     relaxed = replace(spec, nulls="nulls_last") if spec.nulls == "nulls_error" else spec
     types = {f.name: f.dataType for f in frame.schema.fields}
     names = spec.keys + spec.tie_break
     tokens = tokenised(frame, relaxed, names)
-    flags = [F.col(f"`{n}`").isNull().alias(f"_z{i}") for i, n in enumerate(names)]
-    misses = [is_missing(F.col(f"`{n}`"), types[n]).alias(f"_m{i}") for i, n in enumerate(names)]
-    keyed = tokens.select(*order_columns(spec), *flags, *misses)
-    return freeze(keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("copies")))
+    key = F.concat_ws("\x00", *[json_value(F.col(f"`{n}`"), types[n]) for n in spec.keys])
+    missing = sum((is_missing(F.col(f"`{n}`"), types[n]).cast("int") for n in names), F.lit(0))
+    keyed = tokens.select("_order", key.alias("_key"), missing.alias("_missing"))
+    return freeze(keyed.groupBy("_order", "_key", "_missing").agg(F.count(F.lit(1)).alias("copies")))
 
 
-def _run_counts(runs: DataFrame, spec: SortSpec) -> DataFrame:
-    keys = [c for i in range(len(spec.keys)) for c in (f"_k{i}", f"_z{i}")]
-    missing = sum((F.col(f"_m{i}").cast("int") for i in range(len(spec.keys + spec.tie_break))), F.lit(0))
-    groups = runs.groupBy(*keys).agg(F.sum("copies").alias("_n"), F.sum(F.col("copies") * missing).alias("_miss"))
+def _run_counts(runs: DataFrame) -> DataFrame:
+    groups = runs.groupBy("_key").agg(F.sum("copies").alias("_n"), F.sum(F.col("copies") * F.col("_missing")).alias("_miss"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.count(F.lit(1)).alias("key_groups"),
@@ -125,11 +127,11 @@ def readiness_counts(frame: DataFrame, spec: SortSpec, rebuild: bool = True) ->
         facts.append(_metric_rows(multiset_digest(record_hashes(frame)).drop("row_count")))
     else:
         runs = identity_runs(frame, spec)
-        facts.append(_metric_rows(_run_counts(runs, spec)))
-        facts.append(_metric_rows(multiset_digest(runs, "record_sha256", "copies").drop("row_count")))
-        blocked = spec.nulls == "nulls_error" and _run_counts(runs, spec).first()["null_key_cells"] > 0
+        facts.append(_metric_rows(_run_counts(runs)))
+        facts.append(_metric_rows(multiset_digest(runs.withColumn("record_sha256", hash_of_order()), "record_sha256", "copies").drop("row_count")))
+        blocked = spec.nulls == "nulls_error" and _run_counts(runs).first()["null_key_cells"] > 0
         if not blocked:
-            first = runs_digest(runs.select(*order_columns(spec), "copies"), spec)
+            first = runs_digest(runs)
             facts.append(_metric_rows(first.withColumnRenamed("order_sha256", "normalized_sha256")))
             if rebuild:
                 second = normalised_digest(rearranged(frame), spec)

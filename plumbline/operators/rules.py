@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.errors import Refusal
 from plumbline.operators import rule_tables as R
 from plumbline.operators.integrity import safe_relative_path
+from plumbline.session import spread
 
 PROFILES = ("exploratory", "standard", "strict", "submission")
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -91,7 +92,7 @@ def vague_terms(column: Column) -> Column:
 
 def wording_findings(rows: DataFrame, pointer: str, column: str, profile: str, question: str | None = None) -> DataFrame:
     is_question = F.col(pointer) == question if question else None
-    return evaluate(rows, F.col(pointer), text_rules(F.col(column), is_question), profile)
+    return evaluate(spread(rows), F.col(pointer), text_rules(F.col(column), is_question), profile)
 
 
 def project_rules(profile: str) -> list[Rule]:

@@ -115,7 +115,7 @@ def drift(pairs: DataFrame, original: str = "original", later: str = "later", ex
     words are compared, which stays JVM-side.
     """
     fold = nfkc_casefold if exact else F.lower
-    prepared = pairs.withColumns({"_a": fold(F.col(original)), "_b": fold(F.col(later))})
+    prepared = spread(pairs).withColumns({"_a": fold(F.col(original)), "_b": fold(F.col(later))})
     prepared = prepared.withColumns({"_aw": tokens(F.col("_a"), not exact), "_bw": tokens(F.col("_b"), not exact)})
     prepared = prepared.withColumns({"_at": terms(F.col("_aw")), "_bt": terms(F.col("_bw"))})
     strong = F.array(*[F.lit(w) for w in OVERSTATEMENT_WORDS])
@@ -167,7 +167,7 @@ LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
 def lines(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per physical line with its 1-based number."""
-    return rows.select(*keep, F.posexplode(F.split(F.col(text), LINE_BREAK)).alias("_at", "line")).select(
+    return spread(rows).select(*keep, F.posexplode(F.split(F.col(text), LINE_BREAK)).alias("_at", "line")).select(
         *keep, (F.col("_at") + 1).alias("line_number"), "line")
 
 

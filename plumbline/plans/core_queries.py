@@ -369,7 +369,7 @@ def _order_query(name: str, keys: list[str]) -> None:
     @query(f"total_order_{name}", f"with {sql_runs(name, keys)} select h as record_sha256, copies::bigint as copies, position::bigint as position from seq_")
     def runs(spark: SparkSession, d: str) -> DataFrame:
         frame = table(spark, d, name)
-        return ordering.ordered_runs(frame, ordering.make_sort_spec(frame, keys)).select("record_sha256", "copies", "position")
+        return ordering.ordered_runs(frame, ordering.make_sort_spec(frame, keys))
 
     @query(f"normalised_digest_{name}", f"with {sql_runs(name, keys)}, {sql_order('select i, h || chr(42) || copies as d from seq_')} select * from order_")
     def fold(spark: SparkSession, d: str) -> DataFrame:
@@ -395,7 +395,7 @@ from documents""")
 def null_order(spark: SparkSession, d: str) -> DataFrame:
     frame = table(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "de", "").otherwise(F.col("source")).alias("source"))
     spec = ordering.make_sort_spec(frame, ["source", "doc_id"], nulls="nulls_first")
-    placed = digest.with_positions(ordering.tokenised(frame, spec, ("doc_id",)), ordering.order_columns(spec))
+    placed = digest.with_positions(ordering.tokenised(frame, spec, ("doc_id",)), [F.col("_order")])
     return placed.select("doc_id", "position")
 
 
