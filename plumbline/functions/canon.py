@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import spread
-
 TIMESTAMP_PATTERN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 # Control characters whose JSON escape holds a hexadecimal letter: the JVM writes the
@@ -156,7 +154,6 @@ def any_missing(frame: DataFrame, columns: Sequence[str]) -> Column:
 
 def record_hashes(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The table as one column of record hashes."""
-    frame = spread(frame)
     return frame.select(record_hash(frame, columns).alias("record_sha256"))
 
 

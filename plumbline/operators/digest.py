@@ -28,9 +28,14 @@ def _fold(parts: Column) -> Column:
 
 
 def multiset_digest(hashes: DataFrame, column: str = "record_sha256", copies: str | None = None) -> DataFrame:
-    """One row (row_count, distinct_count, records_sha256), whatever the row order."""
-    amount = F.sum(copies) if copies else F.count(F.lit(1))
-    counted = hashes.groupBy(F.col(column).alias("_h")).agg(amount.alias("_n"))
+    """One row (row_count, distinct_count, records_sha256), whatever the row order.
+
+    ``copies`` names the count of already distinct hashes, which saves the counting shuffle.
+    """
+    if copies:
+        counted = hashes.select(F.col(column).alias("_h"), F.col(copies).alias("_n"))
+    else:
+        counted = hashes.groupBy(F.col(column).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
     leaf = counted.groupBy(F.substring("_h", 1, LEAF_PREFIX).alias("_p")).agg(
         _fold(F.concat_ws(":", "_h", F.col("_n").cast("string"))).alias("_d"),
         F.sum("_n").alias("_rows"),

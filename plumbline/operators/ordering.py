@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from plumbline.errors import Refusal
 from plumbline.functions.canon import is_missing, json_value, record_hash
 from plumbline.operators.digest import order_digest, with_positions
-from plumbline.session import spread
 
 # The accepted policies of a sort specification.
 NULL_ORDERINGS = ("nulls_first", "nulls_last", "nulls_error")
@@ -107,7 +106,6 @@ def order_token(column: Column, dtype: T.DataType, nulls: str) -> Column:
 def tokenised(frame: DataFrame, spec: SortSpec, extra: tuple[str, ...] = ()) -> DataFrame:
     """Rows as (_order, requested columns): the order string ends with the record hash, so
     equal strings mean equal records."""
-    frame = spread(frame)
     types = {f.name: f.dataType for f in frame.schema.fields}
     tokens = [order_token(F.col(f"`{name}`"), types[name], spec.nulls) for name in spec.keys + spec.tie_break]
     return frame.select(F.concat_ws("\x00", *tokens, record_hash(frame)).alias("_order"), *[F.col(f"`{c}`") for c in extra])

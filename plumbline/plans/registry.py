@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,7 +23,11 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    frame = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(frame) if name in ROW_HEAVY else frame
+
+
+ROW_HEAVY = ("documents", "lineitem")  # hashing and text rules cost more than a spread of few splits
 
 
 # Column kinds of the given tables, for the canonical JSON text in SQL.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,16 +53,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def freeze(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are stored in the shared folder and survive
-    executor loss, and a later action sees exactly the same rows."""
-    checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Cut lineage: write the rows once to the shared folder and read them back.
+
+    The stored rows survive executor loss, a later action sees exactly the same rows, and
+    the upstream plan runs once (an unpersisted checkpoint would run its last stage twice).
+    """
+    path = f"{checkpoint_dir(frame.sparkSession).rstrip('/')}/frozen-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def spread(frame: DataFrame) -> DataFrame:
     """Give CPU-heavy row work all cores when the input has fewer splits than cores.
 
-    A large input has far more splits than cores and passes through without a shuffle.
+    For plain scans only: counting their splits runs nothing. A large input has far more
+    splits than cores and passes through without a shuffle.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
     if frame.isStreaming or frame.rdd.getNumPartitions() >= cores:
