@@ -402,8 +402,8 @@ def catalog_parity(catalog: DataFrame, base: str) -> DataFrame:
     rows = catalog.select("locale", "key", marks.alias("marks"), hidden.alias("hidden"))
     home = rows.filter(F.col("locale") == base).select("key", F.col("marks").alias("_base"))
     others = rows.filter(F.col("locale") != base)
-    locales = others.select("locale").distinct()  # one row per language
-    wanted = home.join(F.broadcast(locales.withColumn("_all", F.lit(1))), F.lit(1) == F.col("_all")).drop("_all")
+    locales = others.agg(F.array_sort(F.collect_set("locale")).alias("l"))  # as many entries as languages
+    wanted = home.withColumn("_l", locales.scalar()).select("key", "_base", F.explode("_l").alias("locale"))
     both = wanted.join(others, ["locale", "key"], "full_outer")
     problems = F.array_compact(F.array(
         F.when(F.col("marks").isNull(), "KEY_MISSING"), F.when(F.col("_base").isNull(), "KEY_EXTRA"),

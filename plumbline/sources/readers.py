@@ -290,10 +290,9 @@ def read_json(spark: SparkSession, path: str, budget: Budget = Budget()) -> Tabl
     if not parsed.filter(~F.col("shape").rlike("^(OBJECT|ARRAY)")).limit(1).isEmpty():
         raise Refusal("DATA_JSON_SHAPE", "one object or an array of objects is required")
     single = parsed.filter("shape like 'OBJECT%'").select(F.lit(0).cast("long").alias("ordinal"), F.col("d").alias("v"))
-    parsed.createOrReplaceTempView("_plumbline_json")
     many = spark.sql(
-        "select pos as ordinal, value as v from _plumbline_json, lateral variant_explode(d) where shape like 'ARRAY%'"
-    ).select(F.col("ordinal").cast("long"), "v")
+        "select cast(pos as bigint) as ordinal, value as v from {docs}, lateral variant_explode(d) where shape like 'ARRAY%'",
+        docs=parsed)
     values = single.unionByName(many)
     if not values.filter(~F.schema_of_variant("v").startswith("OBJECT")).limit(1).isEmpty():
         raise Refusal("DATA_JSON_SHAPE", "an array holds something other than objects")
