@@ -21,13 +21,15 @@ from plumbline.operators.integrity import TRANSITIONS, ZERO_HASH
 
 
 def new_content(arrivals: DataFrame, event_time: str, digest: str, delay: str) -> DataFrame:
-    """Drop content already seen inside the watermark."""
+    """Drop content already seen inside the watermark, for sources that never deliver later
+    than ``delay``: the engine also drops rows that are older than the watermark. Where
+    lateness is not bounded, use start_intake, which compares with the ledger only."""
     return arrivals.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([digest])
 
 
 def append_new(ledger_path: str, digest: str):
-    """foreachBatch function: append contents the ledger does not hold yet. Content older than
-    the watermark is caught here; a replayed batch adds nothing."""
+    """foreachBatch function: append contents the ledger does not hold yet, so a replayed
+    batch adds nothing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -43,11 +45,10 @@ def append_new(ledger_path: str, digest: str):
     return run
 
 
-def start_intake(arrivals: DataFrame, event_time: str, digest: str, ledger_path: str, checkpoint: str,
-                 delay: str = "1 day") -> StreamingQuery:
-    fresh = new_content(arrivals, event_time, digest, delay)
+def start_intake(arrivals: DataFrame, digest: str, ledger_path: str, checkpoint: str) -> StreamingQuery:
+    """Append every content once, however late it arrives: the ledger is the memory."""
     return (
-        fresh.writeStream.foreachBatch(append_new(ledger_path, digest)).option("checkpointLocation", checkpoint)
+        arrivals.writeStream.foreachBatch(append_new(ledger_path, digest)).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
