@@ -282,13 +282,12 @@ _STATES = {"view": "SCOPED", "click": "AUDITED", "purchase": "IMPLEMENTING", "si
 
 
 def run_revisions(spark: SparkSession, d: str) -> DataFrame:
-    """Events of a user as the revisions of a run; the mission is the month, so it drifts."""
+    """Fifty events in a row as the revisions of a run; the mission is the day, so it drifts."""
     e = table(spark, d, "events")
-    order = F.expr("row_number() over (partition by user_id order by event_id)")
     state = F.create_map(*[F.lit(x) for p in _STATES.items() for x in p])[F.col("event_type")]
-    rows = e.select(F.col("user_id").alias("run_id"), (order - 1).cast("long").alias("revision"), state.alias("_state"),
+    rows = e.select(F.expr("event_id div 50").alias("run_id"), (F.col("event_id") % 50).alias("revision"), state.alias("_state"),
                     F.sha2(F.col("event_id").cast("string"), 256).alias("record_sha256"), F.col("event_id").alias("created_at"),
-                    F.date_format("ts", "yyyy-MM").alias("mission"))
+                    F.date_format("ts", "yyyy-MM-dd").alias("mission"))
     rows = rows.withColumn("state", F.when(F.col("revision") == 0, "DRAFT").otherwise(F.col("_state"))).drop("_state")
     before = rows.select("run_id", (F.col("revision") + 1).alias("revision"), F.col("record_sha256").alias("_p"), F.col("state").alias("_ps"))
     kind = integrity.event_kind(F.col("state"))
@@ -302,7 +301,7 @@ _ALLOWED = ", ".join(f"'{a}>{b}'" for a, targets in integrity.TRANSITIONS.items(
 
 
 @query("revision_violations", f"""
-with e as (select user_id as run_id, row_number() over (partition by user_id order by event_id) - 1 as revision, event_id, strftime(ts,'%Y-%m') as mission,
+with e as (select event_id // 50 as run_id, event_id % 50 as revision, event_id, strftime(ts,'%Y-%m-%d') as mission,
  case event_type when 'view' then 'SCOPED' when 'click' then 'AUDITED' when 'purchase' then 'IMPLEMENTING' when 'signup' then 'BLOCKED' else 'FAILED' end as st from events),
 s as (select *, case when revision = 0 then 'DRAFT' else st end as state from e),
 p as (select *, lag(state) over w as ps, lag(mission) over w as pm, lag(lag_state) over w as pps from (select *, lag(state) over (partition by run_id order by revision) as lag_state from s) window w as (partition by run_id order by revision))

@@ -31,11 +31,11 @@ def stream_intake(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(folder + "/ledger").select("sha256", "size")
 
 
-def user_chains(spark: SparkSession, d: str) -> DataFrame:
-    """Events of a user as a chain; error events carry a wrong predecessor hash, and signups
+def event_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty events in a row as a chain; error events carry a wrong predecessor hash, and signups
     under 5 are lost."""
     rows = table(spark, d, "events").select(
-        F.col("user_id").cast("string").alias("chain"), F.expr("row_number() over (partition by user_id order by event_id)").cast("long").alias("sequence"),
+        F.expr("event_id div 50").cast("string").alias("chain"), (F.col("event_id") % 50 + 1).alias("sequence"),
         "event_type", "value", F.sha2(F.col("event_id").cast("string"), 256).alias("event_sha256"))
     before = rows.select("chain", (F.col("sequence") + 1).alias("sequence"), F.col("event_sha256").alias("_b"))
     previous = F.when(F.col("sequence") == 1, ZERO_HASH).when(F.col("event_type") == "error", "lost").otherwise(F.col("_b"))
@@ -43,17 +43,17 @@ def user_chains(spark: SparkSession, d: str) -> DataFrame:
         "chain", "sequence", previous.alias("previous_event_sha256"), "event_sha256", F.col("event_type").alias("state"))
 
 
-_USER_CHAIN = """
-with e as (select user_id::varchar as chain, row_number() over (partition by user_id order by event_id) as sequence, event_type, value from events),
+_CHAINS = """
+with e as (select (event_id // 50)::varchar as chain, event_id % 50 + 1 as sequence, event_type, value from events),
 k as (select *, lag(sequence) over (partition by chain order by sequence) as ps from e where not (event_type = 'signup' and value < 5))
 select chain, sequence, 'SEQUENCE_GAP' as problem from k where (ps is null and sequence > 1) or ps <> sequence - 1
 union all select chain, sequence, 'PREVIOUS_HASH' from k where event_type = 'error' and sequence > 1 and ps = sequence - 1"""
 
 
-@query("stream_chain_breaks", _USER_CHAIN)
+@query("stream_chain_breaks", _CHAINS)
 def stream_chain_breaks(spark: SparkSession, d: str) -> DataFrame:
     folder = work_folder(spark)
-    user_chains(spark, d).repartition(4, "event_sha256").write.parquet(folder + "/events")  # arrives out of order
+    event_chains(spark, d).repartition(4, "event_sha256").write.parquet(folder + "/events")  # arrives out of order
     streams.use_rocksdb(spark)
     events = spark.readStream.schema(spark.read.parquet(folder + "/events").schema).parquet(folder + "/events")
     breaks = streams.chain_breaks_stream(events, max_pending=0, wait_ms=None)
