@@ -124,6 +124,12 @@ def reference_states(references: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.select(*references.columns, state.alias("reference_state"))
 
 
+def reference_budget(references: DataFrame, max_total_bytes: int) -> DataFrame:
+    """One row when the bound references together are over the size limit."""
+    return references.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes")).filter(
+        F.col("total_bytes") > max_total_bytes).withColumn("problem", F.lit("REFERENCE_TOTAL_SIZE"))
+
+
 def repeated_gates(references: DataFrame) -> DataFrame:
     return references.filter("gate is not null").groupBy("gate").agg(F.count(F.lit(1)).alias("reference_count")).filter(
         "reference_count > 1")

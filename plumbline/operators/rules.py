@@ -360,3 +360,15 @@ def collection_findings(projects: DataFrame, collections: dict[str, DataFrame],
             part = absent_children(projects, collections[name], "project_id", code, 3, profile, STRICT)
             out = part if out is None else out.unionByName(part)
     return out
+
+
+def structure_findings(violations: DataFrame, profile: str) -> DataFrame:
+    """Structural violations (subject, pointer, problem) as gate 1 findings."""
+    subject = F.concat("subject", "pointer")
+    return evaluate(violations, subject, [Rule("SCHEMA_STRUCTURE", 1, F.lit(True))], profile)
+
+
+def duplicate_claim_findings(pairs: DataFrame, profile: str) -> DataFrame:
+    """Near-duplicate statement pairs as findings."""
+    subject = F.concat_ws("/", F.col("left_id").cast("string"), F.col("right_id").cast("string"))
+    return evaluate(pairs, subject, [Rule("DUPLICATE_CLAIM", 1, F.lit(True), softened=True)], profile)

@@ -177,24 +177,24 @@ def decision_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("review_items", r"""
-with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as n, case role when 'user' then 'The method is unclear? ' when 'assistant' then 'Please add a figure. ' else 'The wording is fine. ' end || text as b from conversations),
-k as (select conv_id, n, trim(b, ' ' || chr(9) || chr(10) || chr(13)) as item_text from c where n > 1)
-select conv_id, (n - 1)::int as item_number, case when regexp_matches(lower(item_text), 'evidence|data|figure|table|statistical|power|sample') then 'requested evidence'
+_LEAD = "case role when 'user' then 'The method is unclear? ' when 'assistant' then 'Please add a figure ' else 'The wording is fine ' end"
+
+
+@query("review_items", rf"""
+with s as (select conv_id, turn, string_split({_LEAD} || text, '. ') as p from conversations),
+l as (select conv_id, turn, list_filter(list_transform(range(1, len(p) + 1), lambda i: trim(p[i] || case when i < len(p) then '.' else '' end, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as items from s),
+k as (select conv_id, turn, unnest(range(1, len(items) + 1))::int as item_number, unnest(items) as item_text from l)
+select conv_id, turn, item_number, case when regexp_matches(lower(item_text), 'evidence|data|figure|table|statistical|power|sample') then 'requested evidence'
  when regexp_matches(lower(item_text), 'method|control|design|bias|protocol|reproducib') then 'methodological concern' when regexp_matches(lower(item_text), 'interpret|conclusion|overstate|causal|generaliz') then 'interpretation concern'
  when regexp_matches(lower(item_text), 'format|grammar|typo|spelling|style|wording|reference') then 'formatting/editorial' when regexp_matches(lower(item_text), 'impossible|cannot|contradict|conflict|inconsistent') then 'conflict or impossible request'
  when contains(item_text, '?') then 'question' when regexp_matches(lower(item_text), 'positive|appreciate|interesting') then 'positive observation with no action' else 'required change' end as classification, sha256(item_text) as item_sha256 from k""")
 def review_items(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of a conversation as one numbered review letter; the first turn is the preamble."""
-    lead = F.when(F.col("role") == "user", "The method is unclear? ").when(F.col("role") == "assistant", "Please add a figure. ").otherwise("The wording is fine. ")
-    c = table(spark, d, "conversations")
-    first = c.groupBy("conv_id").agg(F.min("turn").alias("_first"))
-    marked = c.join(first, "conv_id").select(
-        "conv_id", "turn", F.concat(F.when(F.col("turn") > F.col("_first"), F.lit("Reviewer 1: ")).otherwise(""), lead, "text").alias("part"))
-    # a conversation has tens of turns; its letter is one text by definition
-    letter = marked.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n").alias("letter"))
-    items = text.review_items(letter, "letter", ["conv_id"], with_preamble=False)
-    return items.select("conv_id", "item_number", "classification", F.sha2("item_text", 256).alias("item_sha256"))
+    """Every turn as a review letter with one numbered comment per sentence."""
+    lead = F.when(F.col("role") == "user", "The method is unclear? ").when(F.col("role") == "assistant", "Please add a figure ").otherwise("The wording is fine ")
+    letter = F.concat(F.lit("Dear author\n1. "), F.replace(F.concat(lead, "text"), F.lit(". "), F.lit(".\n2. ")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", letter.alias("letter"))
+    items = text.review_items(rows, "letter", ["conv_id", "turn"])
+    return items.select("conv_id", "turn", "item_number", "classification", F.sha2("item_text", 256).alias("item_sha256"))
 
 
 def _has(words: str) -> str:

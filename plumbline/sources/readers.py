@@ -327,3 +327,21 @@ def read_source(spark: SparkSession, path: str, format: str | None = None, budge
     if chosen not in READERS:
         raise Refusal("DATA_FORMAT_UNSUPPORTED", path)
     return READERS[chosen](spark, path, budget)
+
+
+def file_readiness(spark: SparkSession, path: str, keys: list[str], tie_break: tuple[str, ...] = (), budget: Budget = Budget(),
+                   **policy) -> DataFrame:
+    """The 22 checks on a raw file: columns may be named by header or by column id."""
+    from plumbline.operators import ordering, readiness
+
+    table = read_source(spark, path, budget=budget)
+
+    def resolve(wanted: str) -> str:
+        found = [cid for cid, name, _, _ in table.columns if wanted in (cid, name)]
+        if len(found) != 1:
+            raise Refusal("READINESS_COLUMN_AMBIGUOUS", f"{wanted} matches {len(found)} columns")
+        return found[0]
+
+    frame = table.content()
+    spec = ordering.make_sort_spec(frame, [resolve(k) for k in keys], [resolve(t) for t in tie_break], **policy)
+    return readiness.readiness_checks(frame, spec)

@@ -212,3 +212,29 @@ def test_every_code_has_a_class(spark):
     assert len(owners) == len(set(owners))
     f = spark.createDataFrame([("QUESTION_UNDERSPECIFIED",), ("X",)], "code string")
     assert [r["failure_status"] for r in gates.classified(f).orderBy("code").collect()] == ["FAIL_INCOMPLETE", "FAIL_UNSUPPORTED"]
+
+
+def test_structure_and_reference_findings(spark):
+    bad = spark.createDataFrame([("c1", "/claims/id", "DUPLICATE_ID")], "subject string, pointer string, problem string")
+    assert rules.structure_findings(bad, "strict").first()["code"] == "SCHEMA_STRUCTURE"
+    pairs = spark.createDataFrame([(1, 2, 0.95)], "left_id int, right_id int, ratio double")
+    assert rules.duplicate_claim_findings(pairs, "exploratory").first()["status"] == "WARN"
+    refs = spark.createDataFrame([("a", 10, 1), ("b", 5, 1)], "relative_path string, size long, gate int")
+    assert integrity.reference_budget(refs, 14).count() == 1 and integrity.reference_budget(refs, 15).count() == 0
+    assert integrity.repeated_gates(refs).first()["reference_count"] == 2
+
+
+def test_transition_and_closure(spark):
+    edges = spark.createDataFrame([(3, 2), (2, 1), (9, 8), (8, 9)], "id int, parent_id int")
+    got = {r["id"]: (r["root_id"], r["depth"], r["settled"]) for r in integrity.lineage_depths(edges, 16).collect()}
+    assert got[3] == (1, 2, True) and got[2] == (1, 1, True) and not got[9][2]
+    up = integrity.ancestors(edges, spark.createDataFrame([(3,)], "id int"))
+    assert {(r["ancestor_id"], r["depth"]) for r in up.collect()} == {(2, 1), (1, 2)}
+
+
+def test_receipts_go_stale(spark):
+    f = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, value string")
+    before = readiness.readiness_decision(statuses(f, ["id"])).withColumn("dataset", F.lit("d"))
+    changed = spark.createDataFrame([("a", "1"), ("a", "2")], f.schema)
+    after = readiness.readiness_decision(statuses(changed, ["id"])).withColumn("dataset", F.lit("d"))
+    assert readiness.stale_receipts(before, before).first()["current"] and not readiness.stale_receipts(before, after).first()["current"]

@@ -141,3 +141,29 @@ def test_exports(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "sums")).collect()] == ["1  a", "2  b"]
     ledger = spark.createDataFrame([("LEFT", 1)], "side string, ordinal long")
     assert exports.write_delta_ledger(ledger, str(tmp_path / "d")) == exports.write_delta_ledger(ledger, str(tmp_path / "d"))
+
+
+def test_file_lane(spark, tmp_path):
+    from plumbline.operators import readiness
+
+    path = write(tmp_path / "v1.csv", "id,group,value\na,g1,10\nb,g1,20\nc,g2,30\n")
+    first = readiness.readiness_decision(readers.file_readiness(spark, path, ["id"])).first()
+    assert (first["decision"], first["passed"]) == ("PASS", 22)
+    assert readiness.readiness_decision(readers.file_readiness(spark, path, ["group"])).first()["decision"] == "FAIL"
+    doubled = write(tmp_path / "d.csv", "id,id\n1,2\n")
+    with pytest.raises(Refusal) as caught:
+        readers.file_readiness(spark, doubled, ["id"])
+    assert caught.value.code == "READINESS_COLUMN_AMBIGUOUS"
+    cid = readers.read_source(spark, doubled).ids[1]
+    assert readiness.readiness_decision(readers.file_readiness(spark, doubled, [cid])).first()["decision"] == "PASS"
+
+
+def test_many_files_keep_order(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name in "abc":
+        write(folder / f"{name}.csv", "id\n" + "".join(f"{name}{i:03d}\n" for i in range(40)))
+    t = readers.read_delimited(spark, str(folder))
+    got = [r[0] for r in t.frame.orderBy("ordinal").select(t.ids[0]).collect()]
+    assert got == sorted(got) and len(got) == 120
+    assert [r[0] for r in t.frame.select("ordinal").orderBy("ordinal").collect()] == list(range(120))
