@@ -63,6 +63,33 @@ def freeze(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+class Scratch:
+    """Tables frozen for one computation, removed together when it is done.
+
+    Use as a context manager around work whose result is itself written (or kept with ``keep``):
+    everything frozen through the scratch and not kept is deleted from the shared folder at the end.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def freeze(self, frame: DataFrame) -> DataFrame:
+        path = f"{checkpoint_dir(self._spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self._paths.append(path)
+        frame.write.parquet(path)
+        return self._spark.read.schema(frame.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        jvm, hadoop = self._spark.sparkContext._jvm, self._spark.sparkContext._jsc.hadoopConfiguration()
+        for text in self._paths:
+            path = jvm.org.apache.hadoop.fs.Path(text)
+            path.getFileSystem(hadoop).delete(path, True)
+        self._paths.clear()
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """Give CPU-heavy row work all cores when the input has fewer splits than cores.
 
