@@ -66,8 +66,9 @@ def freeze(frame: DataFrame) -> DataFrame:
 class Scratch:
     """Tables frozen for one computation, removed together when it is done.
 
-    Use as a context manager around work whose result is itself written (or kept with ``keep``):
-    everything frozen through the scratch and not kept is deleted from the shared folder at the end.
+    Use as a context manager around work whose result is itself written:
+    everything frozen through the scratch is deleted from the shared folder at the end, unless ``keep``
+    was called because the result still reads it.
     """
 
     def __init__(self, spark: SparkSession):
@@ -79,6 +80,9 @@ class Scratch:
         frame.write.parquet(path)
         return self._spark.read.schema(frame.schema).parquet(path)
 
+    def keep(self) -> None:
+        self._paths.clear()
+
     def __enter__(self) -> Scratch:
         return self
 
