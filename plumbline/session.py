@@ -87,6 +87,9 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
         jvm, hadoop = self._spark.sparkContext._jvm, self._spark.sparkContext._jsc.hadoopConfiguration()
         for text in self._paths:
             path = jvm.org.apache.hadoop.fs.Path(text)
