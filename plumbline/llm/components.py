@@ -18,27 +18,27 @@ def components(links: DataFrame) -> DataFrame:
     Each round is written to the shared folder and the one before removed; nothing is collected. The
     caller owns the stored result.
     """
-    spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    scratch = Scratch(spark)
+    scratch, mark = Scratch(links.sparkSession), None
     edges = scratch.freeze(edges)
     while True:
         # Large star: the larger neighbours of u, and u itself, point at the minimum around u.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its smaller neighbours point at the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = Scratch(spark)
+        after = Scratch(links.sparkSession)
         new = after.freeze(small)
-        changed = not (new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty())
-        with scratch:
-            pass
+        # The rows are sets, so equal count and equal sum of row hashes mean that nothing has changed.
+        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        scratch.close()
         edges, scratch = new, after
-        if not changed:
+        if now == mark:
             break
-    found = freeze(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct())
-    with scratch:
-        pass
+        mark = now
+    ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    found = freeze(ends.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct())
+    scratch.close()
     return found

@@ -18,10 +18,10 @@ from plumbline.session import Scratch
 #: similarity 0.75 with probability (1 - 0.75 ** 4) ** 24 = 1.1e-4, at 0.8 with 3.3e-6.
 VALUES, DEPTH = 96, 4
 ORDERS = VALUES // DEPTH
-#: Up to this many open entries, all pairs of a region are compared by signature in one group.
-REGION = 64
-#: Pairs whose signatures agree in less than this share are no candidates: 5.6 standard deviations below 0.75.
-AGREEMENT = 0.5
+#: A region of at most so many shingles (4 MiB) is compared whole in one group; a larger one is entered deeper.
+REGION = 1_000_000
+#: Orders and values by which a crowded region is entered deeper.
+SUB_ORDERS, SUB_DEPTH = 4, 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,6 +91,12 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["entry_id", "shingles"])
 
 
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique((shingle_hashes(t.as_py()) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["entry_id", "short_set"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, set of a, set of b) with 100 * intersection >= 75 * union."""
     for batch in batches:
@@ -129,22 +135,63 @@ def _region_rows(above: np.ndarray, values: np.ndarray, ids: np.ndarray, orders:
     return pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(wide, pa.int64())], names=["region", "entry_id"])
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Next level of a crowded region: its entries by every order again, so that recall is kept at more depth."""
-    for batch in batches:
-        regions, ids = np.array(batch.column(0)).view(np.uint64), np.array(batch.column(1))
-        values = np.frombuffer(b"".join(x.as_py() for x in batch.column(2)), ">u4").astype(np.uint64).reshape(len(ids), ORDERS, DEPTH)
-        yield _region_rows(np.repeat(regions[:, None], ORDERS, axis=1), values, ids, np.tile(np.arange(ORDERS), (len(ids), 1)))
+def _deeper(level: int):
+    """Next level of crowded regions: two more values in each of four other orders, so that recall is kept at more depth."""
 
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regions, ids = np.array(batch.column(0)).view(np.uint64), np.array(batch.column(1))
+            values = np.frombuffer(b"".join(x.as_py() for x in batch.column(2)), ">u4").astype(np.uint64).reshape(len(ids), VALUES)
+            # The values depend on the region, so that regions of different orders do not repeat each other.
+            at = (regions[:, None] + np.arange(SUB_ORDERS * SUB_DEPTH, dtype=np.uint64) * np.uint64(37) + np.uint64(level * 11)) % np.uint64(VALUES)
+            chosen = np.take_along_axis(values, at.astype(np.int64), axis=1).reshape(len(ids), SUB_ORDERS, SUB_DEPTH)
+            orders = np.tile(np.arange(SUB_ORDERS), (len(ids), 1))
+            yield _region_rows(np.repeat(regions[:, None], SUB_ORDERS, axis=1), chosen, ids, orders)
 
-def _open_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one small region between different components whose signatures agree enough, in signature order."""
-    frame = frame.sort_values(["signature", "entry_id"])
+    return enter
+
+
+def _open_links(frame: pd.DataFrame) -> pd.DataFrame:
+    """Candidate links between the components of one region, from the sets of all its members.
+
+    Every member outside the most frequent component is counted against all others through the shingles they share. The sets
+    hold the upper 32 bits of each hash, so a pair is a candidate from 0.74 on; components are taken as joined from 0.76
+    on, which is beyond any doubt of the shorter hashes, and only pairs between components not yet joined are returned.
+    """
+    frame = frame.sort_values("entry_id")
     ids, parts = frame["entry_id"].to_numpy(), frame["component"].to_numpy()
-    values = np.frombuffer(b"".join(frame["signature"]), ">u4").reshape(len(ids), VALUES)
-    agree = (values[:, None, :] == values[None, :, :]).mean(axis=2)
-    x, y = np.nonzero(np.triu((agree >= AGREEMENT) & (parts[:, None] != parts[None, :]), 1))
-    return pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
+    sets = [np.frombuffer(x, "<u4") for x in frame["short_set"]]
+    sizes = np.array([len(x) for x in sets])
+    owners = np.repeat(np.arange(len(ids)), sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    by_code = np.argsort(code, kind="stable")
+    per_code = np.bincount(code)
+    posting, first = owners[by_code], np.cumsum(per_code) - per_code
+    begins = np.cumsum(sizes) - sizes
+    names, frequency = np.unique(parts, return_counts=True)
+    main = names[np.argmax(frequency)]
+    joined = {}
+
+    def root(part: int) -> int:
+        while part in joined:
+            part = joined[part]
+        return part
+
+    out = []
+    for x in np.nonzero(parts != main)[0].tolist():
+        codes = code[begins[x] : begins[x] + sizes[x]]
+        runs = per_code[codes]
+        at = np.repeat(first[codes] - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
+        shared = np.bincount(posting[at], minlength=len(ids))
+        union = sizes + sizes[x] - shared
+        near = np.nonzero((100 * shared >= 74 * union) & (parts != parts[x]))[0]
+        for y in near[np.argsort(-shared[near] / union[near], kind="stable")].tolist():
+            mine, other = root(parts[x]), root(parts[y])
+            if mine != other:
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                if 100 * shared[y] >= 76 * union[y]:
+                    joined[max(mine, other)] = min(mine, other)
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(entries: DataFrame) -> DataFrame:
@@ -156,12 +203,12 @@ def near_duplicates(entries: DataFrame) -> DataFrame:
 
     The forest sorts one signature of 96 values in 24 orders. A region is a run of entries with a longest common
     prefix of at least four values in an order. Each member is first paired with the smallest id of its region, and
-    the confirmed pairs are joined into components. What remains is only regions that still hold more than one
-    component: small ones (up to 64 entries outside one component) compare all such pairs by signature; crowded ones are entered
-    again four values deeper under *all* 24 orders, as often as they stay crowded, so depth adapts per region without losing
-    the recall of the first level. At similarity 0.75 a pair is missed with probability 1.1e-4 and less above.
-    A region whose members are one component is finished, however many entries it holds, so near copies by the
-    thousand cost one pair each.
+    the confirmed pairs are joined into components. A region whose members are one component is then finished, however many
+    entries it holds. The others are counted out exactly, each member outside the largest component against all others, if
+    their sets fit in 4 MiB; a crowded one is first entered two values deeper in four further orders, as often as it
+    stays crowded, so depth adapts per region. At similarity 0.75 a pair shares no region with probability 1.1e-4 (3e-4 if
+    all its regions are crowded twice), and less above. Work in crowded regions grows faster than their size where thousands of near
+    copies keep others just below 0.75 among them.
 
     Defined cases: null and empty texts have 0 shingles, link with nothing and stay; repeated rows of an id get the result
     of the id, and an id with several texts is linked by each of them; a null id links with nothing, has a null component and stays; an empty table gives an empty table.
@@ -174,29 +221,33 @@ def near_duplicates(entries: DataFrame) -> DataFrame:
         classes = (
             sketched.where("entry_id is not null and set_digest is not null")
             .groupBy("set_digest")
-            .agg(F.min("entry_id").alias("entry_id"), F.min("signature").alias("signature"))
+            .agg(F.min("entry_id").alias("entry_id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"))
         )
         classes = scratch.freeze(classes)
         at = scratch.freeze(classes.select("entry_id", "signature").mapInArrow(_regions, "region long, entry_id long"))
-        links, labels = None, None
+        shingles = classes.groupBy("entry_id").agg(F.max("n_shingles").alias("n_shingles"))
+        labels, level = None, 0
         while True:
             leaders = at.groupBy("region").agg(F.min("entry_id").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
             crowd = scratch.freeze(at.join(leaders, "region"))
             star = crowd.where("entry_id <> leader").select(F.col("leader").alias("a"), F.col("entry_id").alias("b"))
-            links, labels = _extended(scratch, _between(star, labels), rows, links, labels)
+            labels = _extended(scratch, _between(star, labels), rows, labels)
             labelled = crowd.select("region", "entry_id").join(labels.withColumnRenamed("id", "entry_id"), "entry_id", "left")
-            labelled = labelled.withColumn("component", F.coalesce("component", "entry_id"))
-            # Regions with more than one component; the size that matters is what lies outside its most frequent one.
-            sizes = labelled.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-            opened = sizes.groupBy("region").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")).where("parts > 1")
-            opened = scratch.freeze(labelled.join(opened, "region").join(classes.select("entry_id", "signature"), "entry_id"))
-            small = opened.where(F.col("n") <= REGION).select("region", "entry_id", "component", "signature")
-            pairs = small.groupBy("region").applyInPandas(_open_pairs, "a long, b long")
-            links, labels = _extended(scratch, _between(pairs, labels), rows, links, labels)
-            crowded = opened.where(F.col("n") > REGION).select("region", "entry_id", "signature")
+            labelled = labelled.withColumn("component", F.coalesce("component", "entry_id")).join(shingles, "entry_id")
+            # Only regions with more than one component are left; their size is that of all their sets.
+            sizes = labelled.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("n"))
+            opened = scratch.freeze(labelled.join(sizes.where("low <> high").select("region", "n"), "region"))
+            small = opened.where(F.col("n") <= REGION).select("region", "entry_id", "component")
+            members = small.select("entry_id").distinct()
+            sets = rows.join(members, "entry_id", "left_semi").mapInArrow(_short_sets, "entry_id long, short_set binary").distinct()
+            pairs = small.join(sets, "entry_id").groupBy("region").applyInPandas(_open_links, "a long, b long")
+            labels = _extended(scratch, _between(pairs, labels), rows, labels)
+            crowded = opened.where(F.col("n") > REGION).select("region", "entry_id").join(classes.select("entry_id", "signature"), "entry_id")
             if crowded.isEmpty():
                 break
-            at = scratch.freeze(crowded.mapInArrow(_deeper, "region long, entry_id long"))
+            level += 1
+            deeper = crowded.select("region", "entry_id", "signature").mapInArrow(_deeper(level), "region long, entry_id long")
+            at = scratch.freeze(deeper.distinct())
         labels = keep_alive.freeze(labels)
         reps = keep_alive.freeze(classes.select("set_digest", F.col("entry_id").alias("rep")))
     keep_alive.keep()
@@ -217,10 +268,11 @@ def _between(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return with_labels.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
 
 
-def _extended(scratch: Scratch, pairs: DataFrame, entries: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The links with those confirmed among ``pairs`` added, and the components of all."""
+def _extended(scratch: Scratch, pairs: DataFrame, entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The components with those links added that are confirmed among ``pairs``."""
     new = scratch.freeze(_confirmed(scratch.freeze(pairs), entries))
-    if links is not None and new.isEmpty():
-        return links, labels
-    links = new if links is None else links.unionByName(new)
-    return links, components(links)
+    if labels is not None:
+        if new.isEmpty():
+            return labels
+        new = new.unionByName(labels.select(F.col("component").alias("a"), F.col("id").alias("b")))
+    return components(new)
