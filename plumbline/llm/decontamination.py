@@ -260,38 +260,45 @@ def leaked_items(
     Defined cases: items and entries without words match nothing; a null id stays null; repeated entries give
     repeated rows, repeated items are one; empty tables give an empty table. Other columns are not read.
     """
-    spark = entries.sparkSession
     id_type, item_type = entries.schema["entry_id"].dataType, trial_items.schema["item_id"].dataType
     schema = T.StructType([T.StructField("entry_id", id_type), T.StructField("item_id", item_type), T.StructField("edits", T.LongType())])
+    rows, out = entries.select("entry_id", "exact_text"), None
+    for sent in _indexes(trial_items, max_edits, recall, max_items, max_item_words):
+        found = rows.mapInArrow(_search(sent, schema), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _indexes(trial_items: DataFrame, max_edits: float, recall: float, max_items: int, max_item_words: int) -> Iterator:
+    """Indexes of bounded size, sent to the tasks, that together hold all distinct items."""
     words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
     items = trial_items.select("item_id", "text").distinct()
     count, total = items.agg(F.count(F.lit(1)), F.sum(words)).first()
     passes = max(1, -(-count // max_items), -(-(total or 0) // max_item_words))
-    rows = entries.select("entry_id", "exact_text")
-    out = None
     for number in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
         listed = sorted(((r["item_id"], item_words(r["text"])) for r in part.toLocalIterator()), key=repr)
-        sent = spark.sparkContext.broadcast(ItemIndex(listed, max_edits, recall))
-        found = rows.mapInArrow(_search(sent, schema), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield trial_items.sparkSession.sparkContext.broadcast(ItemIndex(listed, max_edits, recall))
+
+
+def _matched(batch: pa.RecordBatch, column: int, index: ItemIndex, cache: SymbolCache) -> Iterator[tuple[int, int, int]]:
+    """(row of the batch, item number, edits), many short texts at a time."""
+    texts, first, held = [], 0, 0
+    for last, text in enumerate(batch.column(column), 1):
+        if len(cache) > 1_000_000:
+            cache.clear()
+        texts.append(symbols_of(item_words(text.as_py()), cache))
+        held += len(texts[-1])
+        if held >= TOGETHER or last == batch.num_rows:
+            yield from ((first + t, n, edits) for t, n, edits in index.matches(texts))
+            texts, first, held = [], last, 0
 
 
 def _search(sent, schema: T.StructType):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, cache = sent.value, SymbolCache()
         for batch in batches:
-            rows, ids, texts, held = [], [], [], 0
-            for last, (entry_id, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True), 1):
-                if len(cache) > 1_000_000:
-                    cache.clear()
-                ids.append(entry_id)
-                texts.append(symbols_of(item_words(text.as_py()), cache))
-                held += len(texts[-1])
-                if held >= TOGETHER or last == batch.num_rows:
-                    rows += [(ids[t].as_py(), index.items[n][0], edits) for t, n, edits in index.matches(texts)]
-                    ids, texts, held = [], [], 0
+            rows = [(batch.column(0)[row].as_py(), index.items[n][0], edits) for row, n, edits in _matched(batch, 1, index, cache)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f) for c, f in zip(zip(*rows, strict=True), _arrow_types(schema), strict=True)], names=schema.names
@@ -300,6 +307,29 @@ def _search(sent, schema: T.StructType):
     return search
 
 
+def without_leaks(
+    entries: DataFrame, trial_items: DataFrame, *, max_edits: float = 0.15, recall: float = 0.99, max_items: int = 10_000, max_item_words: int = 500_000
+) -> DataFrame:
+    """The entries that contain no trial item, with all their columns, whatever these are called.
+
+    What counts as contained, and all defined cases, are those of ``leaked_items``. One pass per index, nothing is shuffled.
+    """
+    column = entries.columns.index("exact_text")
+    for sent in _indexes(trial_items, max_edits, recall, max_items, max_item_words):
+        entries = entries.mapInArrow(_clean_rows(sent, column), entries.schema)
+    return entries
+
+
+def _clean_rows(sent, column: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, cache = sent.value, SymbolCache()
+        for batch in batches:
+            bad = {row for row, _, _ in _matched(batch, column, index, cache)}
+            yield batch.filter(pa.array([row not in bad for row in range(batch.num_rows)], pa.bool_())) if bad else batch
+
+    return clean
+
+
 def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 

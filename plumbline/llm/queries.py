@@ -7,16 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.chat_format import conversation_digests, located_turns
+from plumbline.llm.decontamination import leaked_items
 from plumbline.llm.exact_dedup import exact_duplicates
 from plumbline.llm.line_dedup import drop_boilerplate_lines
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import pack_entries
+from plumbline.llm.secret_scan import secret_spans
+from plumbline.llm.token_counts import attribute_tokens, line_sections
+from plumbline.llm.toxicity import held_out, toxic_spans
+from plumbline.llm.warc_records import derived_records, response_records
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
 
-def _vocabulary_path() -> str:
+def vocabulary_path() -> str:
+    """The public vocabulary that the queries count and pack with."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -90,6 +97,54 @@ def op2_minhash_forest(spark, d):
     return near_duplicates(_entries(_table(spark, d, "documents"))).withColumnRenamed("entry_id", "doc_id")
 
 
+@_query("op3_secret_entropy")
+def op3_secret_entropy(spark, d):
+    found = secret_spans(_entries(_table(spark, d, "documents")))
+    of_kind = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        F.col("entry_id").alias("doc_id"),
+        *(F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(joined(of_kind("assign", "access", "hex")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+@_query("op4_chat_prefixes")
+def op4_chat_prefixes(spark, d):
+    said = r"\### Assistant: </turn> ok"
+    given = _table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    return conversation_digests(located_turns(given.unionByName(probe)))
+
+
+@_query("op5_warc_derivatives")
+def op5_warc_derivatives(spark, d):
+    artifacts = _table(spark, d, "pages").select(
+        F.col("page_id").alias("artifact_id"),
+        F.col("url").alias("logical_label"),
+        F.lit("text/html; charset=utf-8").alias("media_type"),
+        F.lit("2024-01-01T00:00:00Z").alias("created_at_utc"),
+        F.col("html").alias("body"),
+    )
+    return derived_records(response_records(artifacts)).withColumnRenamed("artifact_id", "page_id")
+
+
+@_query("op6_toxic_spans")
+def op6_toxic_spans(spark, d):
+    items = _table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("source_text"))
+    labels = _table(spark, d, "labels").select(F.col("doc_id").alias("item_id"), "toxic").where(~held_out(F.col("item_id")))
+    done = toxic_spans(items, labels).withColumn("held_out", F.coalesce(held_out(F.col("item_id")), F.lit(False)))
+    return done.select(F.col("item_id").alias("doc_id"), "held_out", "score", "predicted", F.size("spans").alias("n_spans"), F.col("spans").cast("string").alias("spans"))
+
+
+@_query("op7_token_attribution")
+def op7_token_attribution(spark, d):
+    sectioned = _table(spark, d, "documents").select(F.col("doc_id").alias("evidence_id"), "text", line_sections(F.col("text")).alias("sections"))
+    counted = attribute_tokens(sectioned, vocabulary_path(), rule="largest")
+    return counted.select(F.col("evidence_id").alias("doc_id"), F.col("section").cast("int").alias("line"), "start", "end", "n_tokens", "n_crossing")
+
+
 _EXACT_SQL = """
 with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
      g as (select t, max(doc_id) as keep_id, count(*) as group_size from n group by 1)
@@ -103,7 +158,13 @@ def op8_exact_dedup(spark, d):
     return done.withColumnsRenamed({"entry_id": "doc_id", "exact_text_sha256": "text_sha256"})
 
 
+@_query("op9_trial_items")
+def op9_trial_items(spark, d):
+    items = _table(spark, d, "benchmark").select("item_id", "text")
+    return leaked_items(_entries(_table(spark, d, "documents")), items).withColumnRenamed("entry_id", "doc_id")
+
+
 @_query("op10_packing")
 def op10_packing(spark, d):
-    pieces = pack_entries(_entries(_table(spark, d, "documents")), _vocabulary_path())
+    pieces = pack_entries(_entries(_table(spark, d, "documents")), vocabulary_path())
     return pieces.withColumnsRenamed({"entry_id": "doc_id", "entry_tokens": "doc_tokens"})
