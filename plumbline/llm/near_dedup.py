@@ -18,8 +18,9 @@ from plumbline.session import Scratch
 #: similarity 0.75 with probability (1 - 0.75 ** 4) ** 24 = 1.1e-4, at 0.8 with 3.3e-6.
 VALUES, DEPTH = 96, 4
 ORDERS = VALUES // DEPTH
-#: A region of at most so many shingles (4 MiB) is compared whole in one group; a larger one is entered deeper.
-REGION = 1_000_000
+#: A region of at most so many shingles (4 MiB), or of so few entries, is compared whole in one group; a larger one
+#: is entered deeper, at most until all values have had their turn.
+REGION, FEW = 1_000_000, 16
 #: Orders and values by which a crowded region is entered deeper.
 SUB_ORDERS, SUB_DEPTH = 4, 2
 
@@ -112,9 +113,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     """The candidate pairs that are linked, by their full sets; only entries in a pair send their set."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("entry_id")).distinct()
-    sets = entries.join(ids, "entry_id", "left_semi").select("entry_id", "exact_text").mapInArrow(_whole_sets, _SETS)
-    left = pairs.join(sets.select(F.col("entry_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = left.join(sets.select(F.col("entry_id").alias("a"), F.col("shingles").alias("set_a")), "a")
+    # Neither ids nor sets are of bounded size, so they are never broadcast: the plan is the same at every size.
+    sets = entries.join(ids.hint("merge"), "entry_id", "left_semi").select("entry_id", "exact_text").mapInArrow(_whole_sets, _SETS)
+    left = pairs.join(sets.select(F.col("entry_id").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
+    both = left.join(sets.select(F.col("entry_id").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long")
 
 
@@ -129,7 +131,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _region_rows(above: np.ndarray, values: np.ndarray, ids: np.ndarray, orders: np.ndarray) -> pa.RecordBatch:
     with np.errstate(over="ignore"):
         key = _mixed(above + orders.astype(np.uint64) * _MIX + np.uint64(1))
-        for k in range(DEPTH):
+        for k in range(values.shape[2]):
             key = _mixed((key + _MIX) ^ values[:, :, k])
     wide = np.repeat(ids, orders.shape[1])
     return pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(wide, pa.int64())], names=["region", "entry_id"])
@@ -205,7 +207,7 @@ def near_duplicates(entries: DataFrame) -> DataFrame:
     prefix of at least four values in an order. Each member is first paired with the smallest id of its region, and
     the confirmed pairs are joined into components. A region whose members are one component is then finished, however many
     entries it holds. The others are counted out exactly, each member outside the largest component against all others, if
-    their sets fit in 4 MiB; a crowded one is first entered two values deeper in four further orders, as often as it
+    their sets fit in 4 MiB (or they are few); a crowded one is first entered two values deeper in four further orders, as often as it
     stays crowded, so depth adapts per region. At similarity 0.75 a pair shares no region with probability 1.1e-4 (3e-4 if
     all its regions are crowded twice), and less above. Work in crowded regions grows faster than their size where thousands of near
     copies keep others just below 0.75 among them.
@@ -235,14 +237,15 @@ def near_duplicates(entries: DataFrame) -> DataFrame:
             labelled = crowd.select("region", "entry_id").join(labels.withColumnRenamed("id", "entry_id"), "entry_id", "left")
             labelled = labelled.withColumn("component", F.coalesce("component", "entry_id")).join(shingles, "entry_id")
             # Only regions with more than one component are left; their size is that of all their sets.
-            sizes = labelled.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("n"))
-            opened = scratch.freeze(labelled.join(sizes.where("low <> high").select("region", "n"), "region"))
-            small = opened.where(F.col("n") <= REGION).select("region", "entry_id", "component")
+            sizes = labelled.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("n"), F.count(F.lit(1)).alias("members"))
+            is_small = (F.col("n") <= REGION) | (F.col("members") <= FEW) | F.lit(level >= VALUES // SUB_DEPTH)
+            opened = scratch.freeze(labelled.join(sizes.where("low <> high").select("region", is_small.alias("is_small")), "region"))
+            small = opened.where("is_small").select("region", "entry_id", "component")
             members = small.select("entry_id").distinct()
-            sets = rows.join(members, "entry_id", "left_semi").mapInArrow(_short_sets, "entry_id long, short_set binary").distinct()
-            pairs = small.join(sets, "entry_id").groupBy("region").applyInPandas(_open_links, "a long, b long")
+            sets = rows.join(members.hint("merge"), "entry_id", "left_semi").mapInArrow(_short_sets, "entry_id long, short_set binary").distinct()
+            pairs = small.join(sets.hint("merge"), "entry_id").groupBy("region").applyInPandas(_open_links, "a long, b long")
             labels = _extended(scratch, _between(pairs, labels), rows, labels)
-            crowded = opened.where(F.col("n") > REGION).select("region", "entry_id").join(classes.select("entry_id", "signature"), "entry_id")
+            crowded = opened.where("not is_small").select("region", "entry_id").join(classes.select("entry_id", "signature"), "entry_id")
             if crowded.isEmpty():
                 break
             level += 1
