@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.errors import Refusal
 from plumbline.functions.canon import record_hash
+from plumbline.operators.digest import with_positions
 from plumbline.session import freeze
 
 ZERO_HASH = "0" * 64
@@ -173,15 +174,16 @@ def chain_breaks(events: DataFrame, chain: str = "chain", sequence: str = "seque
     """
     repeated = duplicate_ids(events, chain, sequence).select(
         chain, sequence, F.lit("SEQUENCE_REPEATED").alias("problem"))
-    before = events.select(F.col(chain), (F.col(sequence) + 1).alias(sequence),
-                           F.col("event_sha256").alias("_before")).distinct()
-    joined = events.join(before, [chain, sequence], "left")
+    # Both lookups have one row per key, so repeated sequences neither multiply rows nor break a right successor.
+    before = events.select(F.col(chain), (F.col(sequence) + 1).alias(sequence), F.col("event_sha256").alias("previous_event_sha256"),
+                           F.lit(True).alias("_fits")).distinct()
+    exists = before.select(chain, sequence, F.lit(True).alias("_before")).distinct()
+    joined = events.join(exists, [chain, sequence], "left").join(before, [chain, sequence, "previous_event_sha256"], "left")
     start = F.col(sequence) == first
     problems = [
         F.when(~start & F.col("_before").isNull(), "SEQUENCE_GAP"),
         F.when(start & ~F.col("previous_event_sha256").eqNullSafe(F.lit(ZERO_HASH)), "START_HASH"),
-        F.when(~start & F.col("_before").isNotNull()
-               & ~F.col("previous_event_sha256").eqNullSafe(F.col("_before")), "PREVIOUS_HASH"),
+        F.when(~start & F.col("_before").isNotNull() & F.col("_fits").isNull(), "PREVIOUS_HASH"),
     ]
     if body:
         problems.append(F.when(~F.col("event_sha256").eqNullSafe(record_hash(events, body)), "EVENT_HASH"))
@@ -241,10 +243,13 @@ def transform_steps(steps: DataFrame) -> DataFrame:
 
 
 def transform_breaks(steps: DataFrame, chain: str = "chain", index: str = "step_index") -> DataFrame:
-    """Steps whose output is not the input of the next step."""
-    following = steps.select(F.col(chain), (F.col(index) - 1).alias(index),
-                             F.col("input_sha256").alias("next_input_sha256"))
-    return steps.join(following, [chain, index]).filter(
+    """Steps whose output is not the input of the next step of their chain, whatever numbers are left out between.
+
+    Neighbours are found by positions in one range-partitioned order, so a chain of any length is dealt out.
+    """
+    placed = with_positions(steps, [F.col(chain), F.col(index)], "_place")
+    following = placed.select(F.col(chain), (F.col("_place") - 1).alias("_place"), F.col("input_sha256").alias("next_input_sha256"))
+    return placed.join(following, [chain, "_place"]).filter(
         ~F.col("output_sha256").eqNullSafe(F.col("next_input_sha256"))
     ).select(chain, index, F.col("output_sha256").alias("current_output_sha256"), "next_input_sha256")
 
@@ -354,11 +359,12 @@ def revision_violations(revisions: DataFrame, frozen: list[str], append_only: li
 # ---- graphs -----------------------------------------------------------------------------
 
 
-def dependency_problems(nodes: DataFrame, edges: DataFrame, max_rounds: int = 256) -> DataFrame:
+def dependency_problems(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """UNKNOWN, SELF and CYCLE rows of a dependency graph: nodes(id), edges(id, depends_on).
 
-    Nodes whose dependencies are all settled are peeled round by round; what can never be
-    peeled depends on a cycle. Only the shrinking rest is carried, and each round is stored.
+    Edges are peeled from both ends round by round: those to a node that depends on nothing left, and
+    those from a node on which nothing left depends. What stays lies on a cycle or between two of them.
+    Only the shrinking rest is carried, and each round is stored. No depth is refused unless asked.
     """
     known = nodes.select(F.col("id").alias("depends_on"))
     unknown = edges.join(known, "depends_on", "left_anti").select(
@@ -366,59 +372,57 @@ def dependency_problems(nodes: DataFrame, edges: DataFrame, max_rounds: int = 25
     self_loops = edges.filter("id = depends_on").select("id", "depends_on", F.lit("SELF_DEPENDENCY").alias("problem"))
     rest = freeze(edges.filter("id <> depends_on").join(known, "depends_on", "left_semi").distinct())
     left = rest.count()
-    for _ in range(max_rounds):
-        if left == 0:
-            break
-        waiting = rest.select(F.col("id").alias("depends_on")).distinct()
-        smaller = freeze(rest.join(waiting, "depends_on", "left_semi"))
+    rounds = 0
+    while left:
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise Refusal("GRAPH_DEPTH_LIMIT", f"more than {max_rounds} dependency levels")
+        waiting, needed = rest.select(F.col("id").alias("depends_on")).distinct(), rest.select(F.col("depends_on").alias("id")).distinct()
+        smaller = freeze(rest.join(waiting, "depends_on", "left_semi").join(needed, "id", "left_semi").select("id", "depends_on"))
         now = smaller.count()
         rest = smaller
         if now == left:
             break
         left = now
-    else:
-        raise Refusal("GRAPH_DEPTH_LIMIT", f"more than {max_rounds} dependency levels")
     cycles = rest.select("id", "depends_on", F.lit("CYCLE_DEPENDENCY").alias("problem"))
     return unknown.unionByName(self_loops).unionByName(cycles)
 
 
+def _lineage_keys(evidence: DataFrame) -> DataFrame:
+    """Per evidence row its two sharing keys as columns: the artifact, and the artifact with its locator."""
+    art, loc = F.coalesce("artifact_path", F.lit("")), F.coalesce("source_locator", F.lit(""))
+    none = F.lit(None).cast("string")
+    return evidence.filter(art != "").select("id", F.explode(F.array_compact(F.array(
+        F.struct(F.lit("shared_artifact").alias("relationship"), art.alias("artifact"), none.alias("locator")),
+        F.when(loc != "", F.struct(F.lit("duplicate_locator").alias("relationship"), art.alias("artifact"), loc.alias("locator"))),
+    ))).alias("g")).select("id", "g.*", F.concat_ws("#", "g.artifact", "g.locator").alias("shared_value"))
+
+
+def _lineage_groups(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("relationship", "artifact", "locator", "shared_value").agg(
+        F.count(F.lit(1)).alias("members"), F.min("id").alias("anchor_id")).filter("members > 1")
+
+
 def shared_lineage_groups(evidence: DataFrame) -> DataFrame:
     """Evidence that shares an artifact, or an artifact and a locator.
 
     A group of n rows stands for n (n - 1) / 2 shared pairs. The pairs are counted, not
-    written out: one artifact may carry a third of all evidence.
+    written out: one artifact may carry a third of all evidence. Groups are those of the two
+    columns; ``shared_value`` only shows them.
     """
-    art = F.coalesce("artifact_path", F.lit(""))
-    loc = F.coalesce("source_locator", F.lit(""))
-    rows = evidence.filter(art != "").select("id", art.alias("artifact"), loc.alias("locator"))
-
-    def groups(frame: DataFrame, keys: list[str], kind: str, value: Column) -> DataFrame:
-        return (
-            frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("anchor_id"))
-            .filter("members > 1")
-            .select(F.lit(kind).alias("relationship"), value.alias("shared_value"), "anchor_id", "members",
-                    F.expr("members * (members - 1) div 2").alias("pair_count"))
-        )
-
-    shared = groups(rows, ["artifact"], "shared_artifact", F.col("artifact"))
-    exact = groups(rows.filter("locator <> ''"), ["artifact", "locator"], "duplicate_locator",
-                   F.concat_ws("#", "artifact", "locator"))
-    return shared.unionByName(exact)
+    return _lineage_groups(_lineage_keys(evidence)).select(
+        "relationship", "shared_value", "anchor_id", "members", F.expr("members * (members - 1) div 2").alias("pair_count"))
 
 
 def lineage_edges(evidence: DataFrame) -> DataFrame:
     """A star per group: every member linked to the group's first id (n - 1 edges keep the
     group connected; the full pair count is in shared_lineage_groups)."""
-    groups = shared_lineage_groups(evidence)
-    art = F.coalesce("artifact_path", F.lit(""))
-    keyed = evidence.filter(art != "").select("id", F.explode(F.array(
-        F.struct(F.lit("shared_artifact").alias("relationship"), art.alias("shared_value")),
-        F.struct(F.lit("duplicate_locator").alias("relationship"),
-                 F.concat_ws("#", art, "source_locator").alias("shared_value")),
-    )).alias("g")).select("id", "g.*")
-    return keyed.join(groups.select("relationship", "shared_value", "anchor_id"), ["relationship", "shared_value"]).filter(
-        "id <> anchor_id").select(F.col("anchor_id").alias("source"), F.col("id").alias("target"), "relationship",
-                                  "shared_value")
+    keyed = _lineage_keys(evidence)
+    groups = _lineage_groups(keyed).select(
+        F.col("relationship").alias("_r"), F.col("artifact").alias("_a"), F.col("locator").alias("_l"), "anchor_id")
+    same = (F.col("relationship") == F.col("_r")) & (F.col("artifact") == F.col("_a")) & F.col("locator").eqNullSafe(F.col("_l"))
+    return keyed.join(groups, same).filter("id <> anchor_id").select(
+        F.col("anchor_id").alias("source"), F.col("id").alias("target"), "relationship", "shared_value")
 
 
 def independence_summary(evidence: DataFrame) -> DataFrame:
@@ -434,7 +438,7 @@ def independence_summary(evidence: DataFrame) -> DataFrame:
         .when(F.col("independent_cluster_count") >= 2, "independent_replication").otherwise("single_source"))
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int = 256) -> DataFrame:
+def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(ancestor_id, depth) of the given versions: edges(id, parent_id), starts(id).
 
     A breadth-first walk that only carries the frontier; versions met before are not
@@ -442,7 +446,11 @@ def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int = 256) -> Data
     """
     seen = freeze(starts.select(F.col("id").alias("ancestor_id"), F.lit(0).alias("depth")).distinct())
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
+        if max_depth is not None and depth > max_depth:
+            raise Refusal("LINEAGE_BUDGET", f"more than {max_depth} levels")
         step = (
             frontier.join(edges, frontier["ancestor_id"] == edges["id"]).select(F.col("parent_id").alias("ancestor_id")).distinct()
             .join(seen, "ancestor_id", "left_anti").withColumn("depth", F.lit(depth))
@@ -451,16 +459,16 @@ def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int = 256) -> Data
         if frontier.isEmpty():
             return seen.filter("depth > 0")
         seen = freeze(seen.unionByName(frontier))
-    raise Refusal("LINEAGE_BUDGET", f"more than {max_depth} levels")
 
 
-def lineage_depths(edges: DataFrame, max_depth: int = 256) -> DataFrame:
+def lineage_depths(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, root_id, depth, settled) of parent-linked versions with one parent each.
 
     Pointer jumping: every round doubles the reach of each pointer, so the table keeps one
-    row per version and 256 levels need 8 rounds. A row that is not settled sits on a cycle
-    or deeper than the limit.
+    row per version and 256 levels need 8 rounds. Without a limit the rounds reach past the number of
+    versions, so a row that is not settled sits on a cycle.
     """
+    max_depth = edges.count() if max_depth is None else max_depth
     state = edges.select("id", F.col("parent_id").alias("root_id"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("settled"))
     reach = 1
     while True:

@@ -237,12 +237,12 @@ def _as_text(frame: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`").cast("string")
 
 
-def sampled_datetime_ratio(frame: DataFrame, ordinal: str, columns: Sequence[str], sample: int = 20) -> DataFrame:
-    """Share of ISO-parsable values among the non-blank ones of the first rows, per column.
+def sampled_datetime_ratio(frame: DataFrame, ordinal: str, columns: Sequence[str], sample: int | None = None) -> DataFrame:
+    """Share of ISO-parsable values among the non-blank ones, per column: one aggregate over all rows.
 
-    The first-rows sample is the operator's definition; the filter is on the ordinal.
+    ``sample`` looks at the first rows by ordinal only, for those who ask for it.
     """
-    head = frame.filter(F.col(ordinal) < sample)
+    head = frame if sample is None else frame.filter(F.col(ordinal) < sample)
     rows = [F.struct(F.lit(c).alias("name"), F.trim(_as_text(frame, c)).alias("value")) for c in columns]
     flat = head.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
     filled = F.coalesce(F.col("value"), F.lit("")) != ""
@@ -255,9 +255,9 @@ def sampled_datetime_ratio(frame: DataFrame, ordinal: str, columns: Sequence[str
     )
 
 
-def sampled_unique_ratio(frame: DataFrame, ordinal: str, keys: Sequence[str], sample: int = 50) -> DataFrame:
-    """Distinct key tuples over rows among the first rows."""
-    head = frame.filter(F.col(ordinal) < sample)
+def sampled_unique_ratio(frame: DataFrame, ordinal: str, keys: Sequence[str], sample: int | None = None) -> DataFrame:
+    """Distinct key tuples over rows; ``sample`` looks at the first rows by ordinal only."""
+    head = frame if sample is None else frame.filter(F.col(ordinal) < sample)
     tuple_ = F.struct(*[F.coalesce(_as_text(frame, k), F.lit("")).alias(f"k{i}") for i, k in enumerate(keys)])
     n = F.count(F.lit(1))
     return head.agg(n.alias("rows"), F.count_distinct(tuple_).alias("distinct_keys")).withColumn(
@@ -279,7 +279,7 @@ def classify_columns(frame: DataFrame, ordinal: str) -> DataFrame:
 def propose_sort_plan(frame: DataFrame, ordinal: str) -> DataFrame:
     """One row with a proposed identity and order. A proposal only: it is never applied.
 
-    Decided from at most (columns x roles) facts; the table itself is only sampled by ordinal.
+    Decided from at most (columns x roles) facts, each an aggregate over the whole table.
     """
     spark = frame.sparkSession
     roles: dict[str, list[str]] = {r: [] for r in (*ROLE_TOKENS, "hash")}

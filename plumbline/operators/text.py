@@ -357,7 +357,7 @@ TIME_MARK = (
 
 
 def clarification_questions(question: Column) -> Column:
-    """Ids of the questions to ask back, six at most (the number of questions is the feature)."""
+    """Ids of all questions to ask back, most basic first; a caller may show fewer."""
     def has(pattern: str) -> Column:
         return question.rlike("(?i)" + pattern)
 
@@ -370,7 +370,7 @@ def clarification_questions(question: Column) -> Column:
         F.when(has(UNIVERSAL_MARK), "scope-narrowing"),
         F.lit("first-direct-evidence"),
     ))
-    return F.slice(ids, 1, 6)
+    return ids
 
 
 # Tone patterns by kind.
@@ -398,7 +398,7 @@ def tone_check(rows: DataFrame, text: str) -> DataFrame:
 def catalog_parity(catalog: DataFrame, base: str) -> DataFrame:
     """Message catalogs against the base locale: catalog(locale, key, message) -> (locale, key, problem)."""
     marks = F.array_sort(F.regexp_extract_all(F.col("message"), F.lit(r"\{[A-Za-z0-9_]*\}"), F.lit(0)))
-    hidden = F.col("message").rlike("[‎‏‪-‮⁦-⁩]")
+    hidden = F.col("message").rlike(r"[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]")
     rows = catalog.select("locale", "key", marks.alias("marks"), hidden.alias("hidden"))
     home = rows.filter(F.col("locale") == base).select("key", F.col("marks").alias("_base"))
     others = rows.filter(F.col("locale") != base)

@@ -324,7 +324,7 @@ def anomaly_queue_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("sampled_datetime_ratio", """
-with h as (select strftime(ts,'%Y-%m-%d %H:%M:%S.%f') as ts, event_type from events where event_id < 20)
+with h as (select strftime(ts,'%Y-%m-%d %H:%M:%S.%f') as ts, event_type from events)
 select 'ts' as name, count(*)::bigint as seen, count_if(try_strptime(substr(ts,1,10),'%Y-%m-%d') is not null)::bigint as parsed,
  count_if(try_strptime(substr(ts,1,10),'%Y-%m-%d') is not null) / count(*) as datetime_ratio, false as hash_like from h
 union all select 'event_type', count(*), 0, 0.0, false from h""")
@@ -334,7 +334,7 @@ def sampled_datetime_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sampled_unique_ratio", """
 select count(*)::bigint as rows, count(distinct (user_id, event_type))::bigint as distinct_keys,
- count(distinct (user_id, event_type)) / count(*) as unique_ratio from events where event_id < 50""")
+ count(distinct (user_id, event_type)) / count(*) as unique_ratio from events""")
 def sampled_unique_ratio(spark: SparkSession, d: str) -> DataFrame:
     return profile.sampled_unique_ratio(table(spark, d, "events"), "event_id", ["user_id", "event_type"])
 

@@ -244,7 +244,7 @@ def chain_append(spark: SparkSession, d: str) -> DataFrame:
 with s as (select conv_id as chain, turn as step_index, sha256(text) as out, role from conversations),
 t as (select *, lead(case when role='assistant' and length(out) > 0 and substr(out,1,1) in ('0','1','2','3') then sha256(out) end) over (partition by chain order by step_index) as bad,
  lead(step_index) over (partition by chain order by step_index) as nx from s)
-select chain, step_index, out as current_output_sha256, bad as next_input_sha256 from t where nx = step_index + 1 and bad is not null""")
+select chain, step_index, out as current_output_sha256, bad as next_input_sha256 from t where nx is not null and bad is not null""")
 def transform_breaks(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select(
         F.col("conv_id").alias("chain"), F.col("turn").alias("step_index"), F.sha2("text", 256).alias("output_sha256"), "role")

@@ -18,7 +18,13 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """The table as a stream: a folder of part files, or the one file of that name."""
+    source, schema = f"{d}/{name}.parquet", table(spark, d, name).schema
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).parquet(source)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 @query("stream_intake", "select sha256(text) as sha256, octet_length(encode(text))::bigint as size from documents group by text")
@@ -63,18 +69,14 @@ def stream_chain_breaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stream_daily_readiness", """
-with k as (select date_trunc('day', ts) as w, case when event_type = 'error' then null else user_id end as key, count(*) as n from events group by 1,2),
-l as (select max(date_trunc('day', ts)) as last from events)
+with k as (select date_trunc('day', ts) as w, case when event_type = 'error' then null else user_id end as key, count(*) as n from events group by 1,2)
 select strftime(w, '%Y-%m-%d') as day, sum(n)::bigint as row_count, count_if(n > 1 and key is not null)::bigint as duplicate_key_count, coalesce(sum(case when key is null then n end),0)::bigint as null_key_rows
-from k, l where w < last group by 1""")
+from k group by 1""")
 def stream_daily_readiness(spark: SparkSession, d: str) -> DataFrame:
-    """Closed days only: the last day stays open behind the watermark."""
+    """Every day, the last one too: counts are upserts, so no day waits for a watermark and no row is late."""
     folder = work_folder(spark)
     events = streamed(spark, d, "events").withColumn("key", F.when(F.col("event_type") != "error", F.col("user_id")))
-    counts = streams.daily_key_counts(events, "ts", "key")
-    counts.writeStream.format("parquet").option("path", folder + "/counts").option("checkpointLocation", folder + "/checkpoint").outputMode(
-        "append").trigger(availableNow=True).start().awaitTermination()
-    closed = streams.daily_readiness(spark.read.parquet(folder + "/counts"))
-    last = table(spark, d, "events").agg(F.date_trunc("day", F.max("ts")).alias("last")).first()["last"]
-    return closed.filter(F.col("window_start") < F.lit(last)).select(
+    counts = streams.daily_key_counts(events, "ts", "key", delay=None)
+    streams.start_counts(counts, folder + "/counts", folder + "/checkpoint").awaitTermination()
+    return streams.daily_readiness(streams.latest_counts(spark.read.parquet(folder + "/counts"))).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "row_count", "duplicate_key_count", "null_key_rows")

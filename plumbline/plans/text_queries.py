@@ -204,7 +204,7 @@ def _has(words: str) -> str:
 @query("clarification_questions", f"""with {_LETTERS}, q as (select conv_id, turn, list_filter(['outcome-and-falsifier', 'population-and-setting',
  case when not ({_has('today|currently|now|before|after|during|year|month|week|day|century')}) then 'time-boundary' end, case when {_has('better|worse|more|less|than|versus|vs|compare|difference|different')} then 'comparison-baseline' else 'control-or-baseline' end,
  case when {_has('cause|causes|caused|because|leads? to|makes?|affects?|impacts?')} then 'causal-alternatives' else 'claim-type' end, case when {_has('always|never|everyone|nobody|all|none|proves?|definitely|impossible')} then 'scope-narrowing' end, 'first-direct-evidence'], lambda z: z is not null) as ids from t)
-select conv_id, turn, array_to_string(ids[1:6], ';') as questions from q""")
+select conv_id, turn, array_to_string(ids, ';') as questions from q""")
 def clarification_questions(spark: SparkSession, d: str) -> DataFrame:
     return letters(spark, d).select("conv_id", "turn", F.array_join(text.clarification_questions(F.col("letter")), ";").alias("questions"))
 

@@ -7,6 +7,7 @@ VARIANT. Malformed input is refused with a code; every check is a distributed fi
 from __future__ import annotations
 
 import csv
+import functools
 import hashlib
 import io
 from collections import Counter
@@ -124,10 +125,9 @@ def with_ordinals(frame: DataFrame, header: bool = False) -> DataFrame:
 
 
 def first_line(spark: SparkSession, path: str) -> str:
-    for row in spark.read.text(path).limit(64).collect():  # a bounded peek for the header
-        if row[0].strip():
-            return row[0]
-    return ""
+    """The first line that is not blank, however many blank ones stand before it."""
+    row = spark.read.text(path).filter(F.col("value").rlike(r"\S")).first()
+    return row[0] if row else ""
 
 
 def refuse_spoof(line: str) -> None:
@@ -157,35 +157,57 @@ def read_delimited(spark: SparkSession, path: str, format: str = "CSV", budget:
         .option("multiLine", quoted_newlines).option("mode", "PERMISSIVE").option("emptyValue", "")
         .option("columnNameOfCorruptRecord", "_bad").option("header", False).option("maxCharsPerColumn", -1)
         .option("maxColumns", max(len(ids) + 2, 512)).option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False).csv(path)
+        .option("ignoreTrailingWhiteSpace", False).option("unescapedQuoteHandling", "RAISE_ERROR").csv(path)
     )
-    wrong = raw.filter("_bad is not null").first()
+    try:
+        wrong = raw.filter("_bad is not null").first()
+    except Exception as error:  # the parser stops at text after a closing quote, in any record
+        if "TextParsingException" in str(error):
+            raise Refusal("DATA_PARSE_ERROR", "a quoted field is malformed") from None
+        raise
     if wrong:
         odd = wrong["_bad"].count('"') % 2
         raise Refusal("DATA_PARSE_ERROR" if odd else "DATA_ROW_WIDTH_MISMATCH", "a row does not fit the header",
                       expected_fields=len(ids))
+    _refuse_other_headers(raw, ids, names)
     rows = with_ordinals(raw.select(*ids, "_bad"), header=True).drop("_bad")
     body = rows.select(*[F.coalesce(F.col(i), F.lit("")).alias(i) for i in ids], "ordinal")
-    _refuse_loose_quotes(spark, path, delimiter, body)
     check_fields(body, ids, budget)
     decision = "EXPLICIT_DUPLICATE_PRESERVED" if any(s[3] for s in specs) else "EXPLICIT_UNIQUE"
     return Table(body, specs, format, decision)
 
 
-def _refuse_loose_quotes(spark: SparkSession, path: str, delimiter: str, body: DataFrame) -> None:
-    """Text after a closing quote is malformed. The line test is exact when no record spans
-    several lines; a file with such records is left to the row-width test."""
-    lines = spark.read.text(path).filter("value <> ''")
-    cell = f'(?:"(?:[^"]|"")*"|[^"{delimiter}][^{delimiter}]*|)'
-    loose = lines.filter(~F.col("value").rlike(f"^\ufeff?{cell}(?:{delimiter}{cell})*$"))
-    if not loose.limit(1).isEmpty() and lines.count() <= body.count() + len(lines.inputFiles()):
-        raise Refusal("DATA_PARSE_ERROR", "a quoted field is malformed")
-
-
 def _quoted_header(spark: SparkSession, path: str, delimiter: str) -> list[str]:
-    """Header cells; a quoted header may run over several physical lines (bounded peek)."""
-    lines = [r[0] for r in spark.read.text(path).limit(64).collect()]
-    return next(csv.reader(lines, delimiter=delimiter, strict=True), [])
+    """Header cells; a quoted header may run over any number of physical lines."""
+    peek = 64
+    while True:
+        lines = [r[0] + "\n" for r in spark.read.text(path).limit(peek).collect()]  # grows until the header ends
+        read = iter(lines)
+        try:
+            for cells in csv.reader(read, delimiter=delimiter, strict=True):
+                if any(c.strip() for c in cells) and (len(lines) < peek or next(read, None) is not None):
+                    return cells
+        except csv.Error:
+            if len(lines) < peek:
+                raise Refusal("DATA_PARSE_ERROR", "the header is malformed") from None
+        if len(lines) < peek:
+            return []
+        peek *= 16
+
+
+def _refuse_other_headers(raw: DataFrame, ids: list[str], names: list[str]) -> None:
+    """Every file of a table must begin with the same header: its first record is left out unseen otherwise."""
+    first = (
+        raw.select(*ids, "_bad", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+        .filter("_start = 0").withColumn("_mid", F.monotonically_increasing_id())
+        .groupBy("_file").agg(F.min_by(F.struct(*ids), F.col("_mid")).alias("h"))
+    )
+    cells = [F.coalesce(F.col("h")[i], F.lit("")) for i in ids]
+    cells[0] = F.regexp_replace(cells[0], "^\ufeff", "")
+    same = [cell.eqNullSafe(F.lit(name)) for cell, name in zip(cells, names, strict=True)]
+    other = first.filter(~functools.reduce(lambda x, y: x & y, same)).select("_file").first()
+    if other:
+        raise Refusal("DATA_HEADER_MISMATCH", f"{other[0]} begins with another header")
 
 
 def check_fields(frame: DataFrame, columns: list[str], budget: Budget) -> None:
@@ -210,9 +232,13 @@ def budget_violations(frame: DataFrame, limits: dict[str, int]) -> DataFrame:
     return facts.select(F.explode(F.array_compact(F.array(*rows))).alias("v")).select("v.*")
 
 
+#: A JSON string. Possessive groups run as a loop; an alternation under a star recurses once per character.
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
 def nesting_depth(text: Column) -> Column:
     """Deepest bracket nesting of a JSON text, strings set aside."""
-    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    bare = F.regexp_replace(F.regexp_replace(text, JSON_STRING, ""), r"[^\[\]{}]++", "")
     steps = F.transform(F.split(bare, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("deepest"))
     return F.aggregate(
@@ -226,11 +252,11 @@ NUMBER_TOKEN = r"(?<![\w.+-])-?[0-9][0-9.eE+-]*"
 
 def json_problem(text: Column, budget: Budget) -> Column:
     """First refusal code of a JSON text, NULL when it is acceptable."""
-    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', '""')
+    bare = F.regexp_replace(text, JSON_STRING, '""')
     limit = min(budget.max_field_bytes, MAX_NUMBER_CHARACTERS)
     long_number = F.exists(F.regexp_extract_all(bare, F.lit(NUMBER_TOKEN), F.lit(0)), lambda t: F.length(t) > limit)
-    strings = F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    long_text = F.exists(strings, lambda t: F.octet_length(t) > budget.max_field_bytes)
+    strings = F.regexp_extract_all(text, F.lit(JSON_STRING), F.lit(0))
+    long_text = F.exists(strings, lambda t: F.octet_length(t) - 2 > budget.max_field_bytes)
     constant = bare.rlike(r"(?<![\p{L}])(?:NaN|-?Infinity)(?![\p{L}])")
     return (
         F.when(constant, "DATA_JSON_CONSTANT_REFUSED")
@@ -256,9 +282,11 @@ def _objects(values: DataFrame, format: str, budget: Budget, order: str) -> Tabl
     check_header(names, budget)
     specs = column_specs(names)
     present = F.json_object_keys(F.to_json("v"))
-    columns = [
-        F.try_variant_get("v", "$['" + name.replace("'", "\\'") + "']", "variant").alias(cid) for cid, name, _, _ in specs
-    ]
+    both = [name for name in names if "'" in name and '"' in name]
+    if both:  # a path quotes a key with one of the two
+        raise Refusal("DATA_JSON_KEY_UNSUPPORTED", both[0])
+    quote = lambda name: f"$['{name}']" if "'" not in name else f'$["{name}"]'
+    columns = [F.try_variant_get("v", quote(name), "variant").alias(cid) for cid, name, _, _ in specs]
     frame = values.select(*columns, present.alias("present_keys"), F.col(order).alias("ordinal"))
     return Table(frame, specs, format, "OBJECT_KEYS")
 

@@ -36,8 +36,10 @@ def append_new(ledger_path: str, digest: str):
         unique = batch.dropDuplicates([digest])
         try:
             known = spark.read.parquet(ledger_path).select(digest).distinct()
-        except AnalysisException:  # first batch: the ledger does not exist yet
-            known = None
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = None  # first batch: the ledger does not exist yet
         if known is not None:
             unique = unique.join(known, digest, "left_anti")
         unique.write.mode("append").parquet(ledger_path)
@@ -146,19 +148,34 @@ def use_rocksdb(spark: SparkSession) -> None:
 # ---- readiness counts -------------------------------------------------------------------
 
 
-def daily_key_counts(events: DataFrame, event_time: str, key: str, delay: str = "1 hour", window: str = "1 day") -> DataFrame:
+def daily_key_counts(events: DataFrame, event_time: str, key: str, delay: str | None = "1 hour", window: str = "1 day") -> DataFrame:
     """Rows per (window, key); a key with more than one row is a duplicate, a NULL key is
     missing. Rows past the watermark are dropped by the engine and show in the query
-    progress as numRowsDroppedByWatermark."""
+    progress as numRowsDroppedByWatermark. Without a ``delay`` no row is ever late and the
+    counts of all windows stay in the state, one per (window, key)."""
     timed = events.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return (
-        timed.withWatermark(event_time, delay)
+        (timed.withWatermark(event_time, delay) if delay else timed)
         .groupBy(F.window(event_time, window).alias("w"), F.col(key).alias("key"))
         .agg(F.count(F.lit(1)).alias("rows"))
         .select(F.col("w.start").alias("window_start"), "key", "rows")
     )
 
 
+def start_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write changed counts batch by batch; a replayed batch writes the same rows again."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_counts(written: DataFrame) -> DataFrame:
+    """The last count of each (window, key): counts only grow, so it is the largest."""
+    return written.groupBy("window_start", "key").agg(F.max("rows").alias("rows"))
+
+
 def daily_readiness(key_counts: DataFrame) -> DataFrame:
     """Batch roll-up of the streamed counts per window."""
     return key_counts.groupBy("window_start").agg(
