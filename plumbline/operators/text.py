@@ -44,12 +44,6 @@ def casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else v.casefold())
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Exact matching-block ratio of two texts."""
-    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
-
-
 def _grams(text: str, size: int) -> Counter:
     return Counter(text[i:i + size] for i in range(len(text) - size + 1))
 
@@ -491,6 +485,19 @@ def near_duplicates(rows: DataFrame, identifier: str, text: str, ratio: float =
     ).filter(F.col("ratio") >= ratio)
 
 
+def equal_statements(rows: DataFrame, identifier: str, text: str) -> DataFrame:
+    """The plainest near duplicates: statements equal after trimming and case folding, as a star.
+
+    Every further statement is paired with the first (smallest id) of its group, so n equal ones
+    give n - 1 rows (``left_id``, ``right_id``, ``ratio`` 1.0). Blank statements carry no claim. Only
+    digests of the folded texts are shuffled, and groups are counted before they are joined.
+    """
+    folded = casefold(F.btrim(F.col(text), F.lit(" \t\n\r")))
+    keyed = rows.select(F.col(identifier).alias("right_id"), folded.alias("t")).filter("t <> ''").select("right_id", F.sha2("t", 256).alias("digest"))
+    first = keyed.groupBy("digest").agg(F.min("right_id").alias("left_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return keyed.join(first, "digest").filter("right_id <> left_id").select("left_id", "right_id", F.lit(1.0).alias("ratio"))
+
+
 def exact_copies(rows: DataFrame, identifier: str, text: str) -> DataFrame:
     """Groups of equal texts: representative id and number of copies."""
     folded = rows.select(F.col(identifier).alias("id"), F.sha2(F.col(text), 256).alias("text_sha256"))

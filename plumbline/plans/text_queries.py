@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import text
+from plumbline.operators import rules, text
 from plumbline.plans.registry import query, table
 from plumbline.plans.rule_queries import _L, _R, _closing_sql, wording
 
@@ -226,6 +226,13 @@ def exact_copies(spark: SparkSession, d: str) -> DataFrame:
     return text.exact_copies(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query("duplicate_claim_findings", r"""
+with f as (select doc_id, replace(lower(trim(text, e' \t\n\r')), 'ß', 'ss') as t from documents), g as (select t, min(doc_id) as first from f where t <> '' group by t)
+select 1 as gate, 'DUPLICATE_CLAIM' as code, 'blocker' as severity, 'FAIL' as status, first || '/' || doc_id as subject from f join g using (t) where doc_id <> first""")
+def duplicate_claim_findings(spark: SparkSession, d: str) -> DataFrame:
+    return rules.duplicate_claim_findings(text.equal_statements(table(spark, d, "documents"), "doc_id", "text"), "standard")
+
+
 @query("near_duplicates_benchmark")
 def near_duplicates_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return text.near_duplicates(table(spark, d, "benchmark"), "item_id", "text")
