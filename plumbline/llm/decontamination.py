@@ -20,8 +20,10 @@ SEED = 20240611
 WALKS = 2
 #: Sampled positions that make one key, and the steps between neighbours: about two steps copy one word.
 SAMPLED, APART = 4, 3
-#: Most samples per walk that the plan may choose.
+#: Most samples per walk that the plan may choose; a class that needs more is looked up by exact pieces.
 MOST_SAMPLES = 32
+#: Most words of an exact piece that make its key.
+PIECE_WORDS = 8
 #: Window starts embedded at a time.
 BLOCK = 1 << 12
 #: Words of short texts that are embedded together.
@@ -29,13 +31,15 @@ TOGETHER = 1 << 16
 #: Bits of the table that is asked before the keys are searched.
 TABLE_BITS = 22
 
-_WORD = re.compile(r"[^\W_]+")
+#: Letters of scripts that are written without spaces (Thai to Lao, Burmese, Khmer, kana, Han): each is a word.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"(?![\W_])[{_ALONE}]|[^\W_{_ALONE}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(64 - TABLE_BITS)
 
 
 def item_words(text: str | None) -> list[str]:
-    """Lower-case runs of letters and digits: the symbols that are edited."""
+    """Lower-case runs of letters and digits: the symbols that are edited. Without spaces, each letter is one."""
     return _WORD.findall((text or "").lower())
 
 
@@ -83,6 +87,24 @@ def embedded(symbols: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> np.nd
     return out
 
 
+def gram_keys(symbols: np.ndarray, size: int) -> np.ndarray:
+    """The key of every run of ``size`` symbols."""
+    count = max(0, len(symbols) - size + 1)
+    key = symbols[:count] + np.uint64(size)
+    for n in range(1, size):
+        key *= _MIX
+        key ^= symbols[n : n + count]
+    return key * _MIX
+
+
+def exact_pieces(size: int, edits: int) -> Iterator[tuple[int, int]]:
+    """(start, words) of ``edits + 1`` pieces that cover ``size`` words: edits leave at least one of them as it is."""
+    pieces = min(size, edits + 1)
+    for n in range(pieces):
+        start, end = size * n // pieces, size * (n + 1) // pieces
+        yield start, min(PIECE_WORDS, end - start)
+
+
 @dataclass
 class _Class:
     """Items of like length: windows start every ``stride`` words of a text and are walked ``len(bits[w])`` steps."""
@@ -110,6 +132,9 @@ class ItemIndex:
     Windows of a text start every ``stride`` words (an eighth of the shortest item, at most 8) and are as long as the
     shortest item of their class. An item is entered at each of its starts, so every window that begins within an
     occurrence, whatever the edits before it, meets an entry that begins at the same word.
+
+    Items too short for an edit, and classes for which no number of samples reaches the recall, are looked up by exact
+    pieces instead: one more piece than edits, so that none is missed. ``planned_recall`` is the lowest of all classes.
     """
 
     def __init__(self, items: list[tuple[object, list[str]]], max_edits: float, recall: float):
@@ -117,17 +142,26 @@ class ItemIndex:
         self.items = [(item_id, symbols_of(words, cache)) for item_id, words in items if words]
         self.limit = [int(len(s) * max_edits) for _, s in self.items]
         groups = defaultdict(list)
+        exact = [n for n, limit in enumerate(self.limit) if not limit]
+        self.planned_recall = 1.0
         for n, (_, symbols) in enumerate(self.items):
             size = len(symbols)
+            if not self.limit[n]:
+                continue
             groups[8 if size >= 40 else 4 if size >= 12 else 1].append(n)
         self.classes: list[_Class] = []
         keys, places = [], []
         with np.errstate(over="ignore"):
             for stride, members in sorted(groups.items()):
-                kind = self._planned(stride, members, max_edits, recall)
+                kind, reached = self._planned(stride, members, max_edits, recall)
+                if reached < recall:
+                    exact += members
+                    continue
+                self.planned_recall = min(self.planned_recall, reached)
                 self.classes.append(kind)
                 for n in members:
                     self._enter(kind, n, keys, places)
+            self.pieces = self._pieces(exact)
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         self.places = np.concatenate(places) if places else np.zeros((0, 2), np.int64)
         order = np.argsort(self.keys, kind="stable")
@@ -144,8 +178,21 @@ class ItemIndex:
             keys.append(key[inside])
             places.append(np.stack([np.full(int(inside.sum()), n), starts[inside]], axis=1))
 
-    def _planned(self, stride: int, members: list[int], max_edits: float, recall: float) -> _Class:
-        """The fewest samples per walk that find ``recall`` of copies of the items with all allowed edits."""
+    def _pieces(self, members: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Per size of piece: the sorted keys and their (item, start)."""
+        entered = defaultdict(list)
+        for n in members:
+            symbols = self.items[n][1]
+            for start, words in exact_pieces(len(symbols), self.limit[n]):
+                entered[words].append((int(gram_keys(symbols[start : start + words], words)[0]), n, start))
+        out = []
+        for words, rows in sorted(entered.items()):
+            rows.sort()
+            out.append((words, np.array([r[0] for r in rows], np.uint64), np.array([r[1:] for r in rows], np.int64)))
+        return out
+
+    def _planned(self, stride: int, members: list[int], max_edits: float, recall: float) -> tuple[_Class, float]:
+        """The fewest samples per walk that find ``recall`` of copies of the items with all allowed edits, and what they find."""
         shortest = min(len(self.items[n][1]) for n in members)
         steps = max(SAMPLED, 2 * shortest - 2 * stride)
         rng = np.random.default_rng([SEED, stride])
@@ -166,11 +213,10 @@ class ItemIndex:
             hits = np.vstack([hits, hit.any(axis=0)[None]])
         reached = np.logical_or.accumulate(hits, axis=1).mean(axis=0)
         samples = int(np.argmax(reached >= recall)) + 1 if (reached >= recall).any() else MOST_SAMPLES
-        self.planned_recall = min(getattr(self, "planned_recall", 1.0), float(reached[samples - 1]))
         kind.positions = [p[:samples] for p in kind.positions]
         last = int(max(p.max() for p in kind.positions)) + 1
         kind.bits = [b[:last] for b in kind.bits]
-        return kind
+        return kind, float(reached[samples - 1])
 
     @staticmethod
     def _edited(symbols: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -213,6 +259,18 @@ class ItemIndex:
                             text = int(np.searchsorted(begins, place, "right")) - 1
                             for n, start in self.places[x:y].tolist():
                                 found[text, n].add(place - int(begins[text]) - start)
+            for words, known, entered in self.pieces:
+                keys = gram_keys(symbols, words)
+                left = np.searchsorted(known, keys, "left")
+                same = np.nonzero(known[np.minimum(left, len(known) - 1)] == keys)[0]
+                texts_of = np.searchsorted(begins, same, "right") - 1
+                for place, text, x in zip(same.tolist(), texts_of.tolist(), left[same].tolist(), strict=True):
+                    if place + words > int(begins[text + 1]):
+                        continue  # runs on into the next text
+                    for y in range(x, int(np.searchsorted(known, known[x], "right"))):
+                        n, start = entered[y].tolist()
+                        if len(self.items[n][1]) > words or not found[text, n]:  # a piece that is the whole item needs one place
+                            found[text, n].add(place - int(begins[text]) - start)
         return found
 
     def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -251,8 +309,9 @@ def leaked_items(
 
     Candidates come from a random-walk embedding of item-sized windows over every text: edits become differing
     positions, and windows that agree on a few sampled positions share a key. The number of samples follows from
-    ``recall`` and the agreement measured on copies of the items with all allowed edits. Each candidate place is
-    then checked by exact edit distance against the text around it.
+    ``recall`` and the agreement measured on copies of the items with all allowed edits. Items too short for an edit, and
+    those for which the samples do not reach ``recall``, are found by exact pieces, which miss none. Each candidate
+    place is then checked by exact edit distance against the text around it.
 
     The index of the items goes to every task. Its size depends on the items only and is checked: more than
     ``max_items`` items or ``max_item_words`` words are worked through in as many passes over the entries as needed, so none is left out.

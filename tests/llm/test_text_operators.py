@@ -334,6 +334,31 @@ def test_index_plans_its_recall():
     assert (text, n, edits) == (0, 5, 0)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 9])
+def test_short_items_are_found_inside_a_text(size):
+    rng = random.Random(size)
+    items = [(n, [f"x{n}y{k}" for k in range(size)]) for n in range(60)]
+    index, cache = ItemIndex(items, 0.15, 0.99), SymbolCache()
+    texts = [symbols_of([f"a{rng.random()}" for _ in range(9)] + words + ["b", "c"], cache) for _, words in items]
+    assert index.planned_recall >= 0.99
+    assert {(t, n) for t, n, edits in index.matches(texts) if edits == 0} >= {(n, n) for n in range(60)}
+
+
+def test_items_below_the_recall_are_looked_up_by_pieces():
+    items = [(n, [f"x{n}y{k}" for k in range(14 + n % 5)]) for n in range(40)]
+    index, cache = ItemIndex(items, 0.15, 1.01), SymbolCache()  # no samples reach that
+    assert not index.classes and index.planned_recall == 1.0
+    edited = [words[:3] + ["new"] + words[3:8] + words[9:] for _, words in items]
+    found = set(index.matches([symbols_of(["a"] * 5 + words + ["b"], cache) for words in edited]))
+    assert found == {(n, n, 2) for n in range(40)}
+
+
+def test_letters_without_spaces_are_words():
+    assert item_words("Az 北京大学 x_1") == ["az", "北", "京", "大", "学", "x", "1"]
+    index, cache = ItemIndex([("a", item_words("光合作用的主要产物是什么"))], 0.15, 0.99), SymbolCache()
+    assert index.matches([symbols_of(item_words("请问光合作用的主要产物是什么呢"), cache)]) == [(0, 0, 0)]
+
+
 # -- packing
 
 
