@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 Message = tuple[str, str]  # role, text
 Template = Callable[[Sequence[Message]], str]
 
-#: Turns that a rendered prefix holds at most; later prefixes begin at the turn before.
+#: Turns that a rendered prefix holds at most where the template is declared local; later prefixes begin at the turn before.
 BLOCK = 16
 END = "</turn>"
 _COLON = "\\:"
@@ -67,9 +67,11 @@ def _shared(x: str, y: str) -> int:
 
 @dataclass
 class Located:
-    """A turn's rendered piece and where its content stands in it; ``rewrote`` if it changed what was rendered before."""
+    """A turn's rendered piece, where it starts in the output of its prefix and where its content stands in it; ``rewrote`` if
+    it changed what was rendered before."""
 
     piece: str
+    start: int
     content_start: int
     content_end: int
     rewrote: bool
@@ -81,26 +83,30 @@ class TurnLocator:
     A turn's piece is what its prefix adds to the output of the prefix without it. Its content is bounded by rendering the same
     prefix with two probe texts that share neither end: what their pieces have in common at either end is the template's.
     A template that changes the earlier output when a turn is added rewrites history; the piece is then what
-    follows the common beginning, and the turn is marked. Prefixes are at most ``BLOCK`` turns long: a longer
-    conversation goes on from its last turn, after the same next turn gave the same piece from either beginning;
-    a template for which it does not is rendered from the full beginning of the block as long as needed.
+    follows the common beginning, and the turn is marked. Prefixes begin at the first turn, because no output of a few turns
+    shows what a template does with more of them. ``local`` is the caller's word that a turn is rendered alike whatever is
+    before it: then prefixes are at most ``BLOCK`` turns long, and a longer conversation goes on from its last turn.
     """
 
-    def __init__(self, template: Template):
-        self._template, self._held, self._before = template, [], ""
+    def __init__(self, template: Template, local: bool = False):
+        self._template, self._local, self._held, self._before, self._passed = template, local, [], "", 0
 
     def add(self, role: str, text: str) -> Located:
         held = [*self._held, (role, text)]
         output = self._template(held)
         piece, rewrote = self._piece(output, self._before)
-        probes = [self._piece(self._template([*self._held, (role, probe)]), self._before)[0] for probe in ("a", "b")]
+        begin = len(output) - len(piece)
+        probes = [self._template([*self._held, (role, probe)]) for probe in ("a", "b")]
         start = _shared(*probes)
         tail = _shared(probes[0][start + 1 :][::-1], probes[1][start + 1 :][::-1])
-        end = len(piece) - tail
-        if len(held) >= BLOCK and self._piece(self._template(held[-2:]), self._template(held[-2:-1])) == (piece, False):
-            held, output = held[-1:], self._template(held[-1:])
+        end = len(output) - tail
+        located = Located(piece, self._passed + begin, start - begin, max(start, end) - begin, rewrote)
+        if self._local and len(held) >= BLOCK and self._piece(self._template(held[-2:]), self._template(held[-2:-1])) == (piece, False):
+            held, whole = held[-1:], len(output)
+            output = self._template(held)
+            self._passed += whole - len(output)
         self._held, self._before = held, output
-        return Located(piece, start, max(start, end), rewrote)
+        return located
 
     @staticmethod
     def _piece(output: str, before: str) -> tuple[str, bool]:
@@ -110,12 +116,14 @@ class TurnLocator:
 _TURNS = "conv_id {id}, turn {turn}, role string, piece string, start long, content_start long, content_end long, loss boolean, rewrote boolean"
 
 
-def located_turns(messages: DataFrame, *, template: Template = turn_template, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Per message: its rendered ``piece``, where it ``start``\\ s in the conversation's output, its content's
+def located_turns(messages: DataFrame, *, template: Template = turn_template, loss_roles: tuple[str, ...] = ("assistant",), local: bool = False) -> DataFrame:
+    """Per message: its rendered ``piece``, where it ``start``\\ s in the output up to its turn, its content's
     ``content_start`` and ``content_end`` there (code points), ``loss`` (content under the loss mask) and ``rewrote``.
 
-    Conversations are dealt by ``conv_id`` and streamed in order of (turn, role, text): memory is a block of turns, whatever a
-    conversation holds, and rendering a long conversation is linear in its turns. The result keeps this order within its partitions.
+    Conversations are dealt by ``conv_id`` and streamed in order of (turn, role, text). Every turn is rendered with all turns
+    before it, so memory is a conversation and rendering grows with the square of its turns. ``local`` declares a template that
+    renders a turn alike whatever is before it, as ``turn_template`` does: then memory is a block of turns, whatever a
+    conversation holds, and rendering is linear. The result keeps this order within its partitions.
 
     Defined cases: a null text is empty, a null role is an empty one; messages without ``conv_id`` are one conversation; equal
     turns and repeated rows are turns of their own, in order of role and text; null turns come first; an empty table gives an
@@ -126,17 +134,16 @@ def located_turns(messages: DataFrame, *, template: Template = turn_template, lo
     schema = _TURNS.format(id=rows.schema["conv_id"].dataType.simpleString(), turn=rows.schema["turn"].dataType.simpleString())
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, locator, length = object(), None, 0
+        now, locator = object(), None
         for batch in batches:
             columns = [[] for _ in range(6)]
             for conv_id, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if conv_id != now:
-                    now, locator, length = conv_id, TurnLocator(template), 0
+                    now, locator = conv_id, TurnLocator(template, local)
                 at = locator.add(role, text)
-                values = (at.piece, length, length + at.content_start, length + at.content_end, role in loss_roles, at.rewrote)
+                values = (at.piece, at.start, at.start + at.content_start, at.start + at.content_end, role in loss_roles, at.rewrote)
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
-                length += len(at.piece)
             types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
             made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *made], names=[p.split()[0] for p in schema.split(", ")])

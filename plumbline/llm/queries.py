@@ -115,7 +115,7 @@ def op4_chat_prefixes(spark, d):
     said = r"\### Assistant: </turn> ok"
     given = _table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
-    return conversation_digests(located_turns(given.unionByName(probe)))
+    return conversation_digests(located_turns(given.unionByName(probe), local=True))
 
 
 @_query("op5_warc_derivatives")

@@ -94,6 +94,41 @@ def test_rewritten_history_is_found():
     assert pieces_[-1] == f"{BLOCK + 3}:t;"  # depends on the whole prefix, so it is kept
 
 
+def _system_last(messages):  # puts the system text into the last user turn
+    system, last = "".join(t for r, t in messages if r == "system"), max((n for n, (r, _) in enumerate(messages) if r == "user"), default=-1)
+    return "".join(f"[{r}]{system if n == last else ''}{t};" for n, (r, t) in enumerate(messages) if r != "system")
+
+
+def _last_twenty(messages):
+    return "".join(f"[{r}]{t};" for r, t in messages[-20:])
+
+
+def _user_first(messages):
+    if messages[0][0] == "assistant":
+        raise ValueError("begins with an assistant turn")
+    return "".join(f"[{r}]{t};" for r, t in messages)
+
+
+@pytest.mark.parametrize("template", [_system_last, _last_twenty, _user_first])
+def test_long_conversations_are_rendered_from_their_first_turn(template):
+    messages = [("system", "S!")] * (template is _system_last) + [("user" if n % 2 == 0 else "assistant", f"t{n}") for n in range(2 * BLOCK + 9)]
+    locator, before = TurnLocator(template), ""
+    for n, (role, text) in enumerate(messages, 1):
+        output, turn = template(messages[:n]), locator.add(role, text)
+        assert output[: turn.start] + turn.piece == output and output[: turn.start] == before[: turn.start]
+        assert turn.rewrote == (not output.startswith(before))
+        if role != "system":
+            assert output[turn.start + turn.content_start : turn.start + turn.content_end] == text
+        before = output
+
+
+def test_declared_local_templates_go_on_from_the_last_turn():
+    sizes = []
+    locator = TurnLocator(lambda m: sizes.append(len(m)) or turn_template(m), local=True)
+    whole, fed = TurnLocator(turn_template), (MESSAGES * 8)[: 3 * BLOCK - 2]
+    assert [locator.add(*m) for m in fed] == [whole.add(*m) for m in fed] and max(sizes) <= BLOCK
+
+
 def test_conversation_digests(spark):
     rows = [(1, n, role, text) for n, (role, text) in enumerate(MESSAGES)]
     rows += [(2, n, "user" if n % 2 else "assistant", f"t{n}") for n in range(75)] + [(3, None, None, None), (3, 0, "assistant", "x"), (3, 0, "assistant", "x"), (None, 1, "user", "lost")]
