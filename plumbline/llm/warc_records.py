@@ -18,9 +18,21 @@ from plumbline.llm.line_dedup import host_of
 
 VERSION = "WARC/1.1"
 #: Elements that are no text, and those after which a line ends (fixed values).
-_HIDDEN = "script|style|noscript|template|head|svg"
+_HIDDEN = "script|style|noscript|template|svg"
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
-_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_COMMENT = r"<!--.*?(?:-->|\Z)"
+#: A head ends before the first text or element that cannot stand in one: its own end tag and that of the page's start are optional.
+_HEAD = (
+    rf"<head(?=[\s/>])[^>]*>(?:\s+|{_COMMENT}|"
+    + "|".join(rf"<{name}\b[^>]*>.*?(?:</{name}\s*>|\Z)" for name in ("title", "script", "style", "noscript", "template"))
+    + r"|</?(?:meta|link|base|basefont|bgsound)\b[^>]*>|<[!?][^>]*>)*+(?:</head\s*>)?"
+)
+_MARKUP = re.compile(
+    rf"{_COMMENT}|{_HEAD}|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?/>|<(?P<hidden>{_HIDDEN})\b[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)\b{_ATTRIBUTES}>|<[!?][^>]*>",
+    re.DOTALL | re.IGNORECASE,
+)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
 _LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _SPACE = re.compile(r"[^\S\n]+")
@@ -28,7 +40,7 @@ _SPACE = re.compile(r"[^\S\n]+")
 
 def plain_text(page: str) -> str:
     """The visible text of a page: one line per block element, entities resolved, runs of blanks made one."""
-    shown = _MARKUP.sub(lambda m: "\n" if (m.group(3) or "").lower() in _BLOCKS else "" if m.group(3) else " ", page)
+    shown = _MARKUP.sub(lambda m: "\n" if (m["name"] or "").lower() in _BLOCKS else "" if m["name"] else " ", page)
     lines = (_SPACE.sub(" ", line).strip() for line in html.unescape(shown).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -103,7 +115,7 @@ def derived_records(responses: DataFrame) -> DataFrame:
 
     One pass, no shuffle, one page in memory at a time. Defined cases: a null or empty body gives an empty conversion and metadata
     without title or links; null labels, media types and dates are left out of the records; repeated rows give the same records again; a
-    null id stays null; unclosed markup runs to the end of the page; an empty table gives an empty table. Other columns are not read.
+    null id stays null; unclosed markup runs to the end of the page, but a head ends where a browser ends it; an empty table gives an empty table. Other columns are not read.
     """
     id_type = responses.schema["artifact_id"].dataType.simpleString()
     names = ["artifact_id", *(f.split()[0] for f in _FIELDS.split(", "))]

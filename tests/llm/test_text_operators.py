@@ -156,6 +156,20 @@ def test_page_text_and_links():
     assert plain_text("<p>open <script>never closed") == "open" and plain_text("a < b > c") == "a < b > c" and plain_text("") == ""
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<head><title>x</title><body><p>one<p>two", "one\ntwo"),
+    ("<html><head><meta charset=utf-8><title>x</title><link href=a><p>one</p>two", "one\ntwo"),
+    ("<head>\n<script>a='<p>no'</script><!-- <p>no --><style>p{}</style>text<p>one", "text\none"),
+    ("<head><title>a <b> c</title></head><body>one<head>two", "one two"),
+    ("<header>top</header><p>one", "top\none"),
+    ("<p>a<svg width='1>0' /> b</p><p>c</p><svg><text>no</text></svg>d", "a b\nc\nd"),
+    ("<p>a<svg viewBox='0 0 1 1'/><p>b", "a\nb"),
+    ("<p>a<svg><path d='M0'/><g/><text>no</text></svg>b", "a b"),
+])
+def test_optional_end_tags_and_closed_drawings(page, text):
+    assert plain_text(page) == text
+
+
 def test_derived_records(spark, tmp_path):
     rows = [(1, "https://h.org/d/", "text/html", "2024-01-01T00:00:00Z", PAGE), (2, None, None, None, None), (None, "x", "text/html", "d", "t\r\nu"), (1, "https://h.org/d/", "text/html", "2024-01-01T00:00:00Z", PAGE)]
     frame = spark.createDataFrame(rows, "artifact_id long, logical_label string, media_type string, created_at_utc string, body string").selectExpr("*", "1 as host", "2 as block")
