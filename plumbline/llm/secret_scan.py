@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,19 +21,25 @@ BASE_KINDS = ("assign", "access", "hex")
 #: Character classes of the entropy scan: kind, pattern of a candidate string, window, least bits per
 #: character over a window, and the groups of characters of which a window must hold so many.
 CLASSES = (
-    ("entropy_hex", re.compile(r"(?<![A-Za-z0-9])[0-9A-F]{20,}(?![A-Za-z0-9])"), 20, 3.0, 2),
-    ("entropy_alnum", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9]{20,}(?![A-Za-z0-9+/_=-])"), 20, 3.75, 3),
+    ("entropy_hex", re.compile(r"(?<![A-Za-z0-9])(?:[0-9A-F]{20,}|[0-9a-f]{20,23})(?![A-Za-z0-9])"), 20, 3.0, 2),
+    ("entropy_alnum", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9]{20,}(?![A-Za-z0-9+/_=-])"), 20, 3.75, 3),
     ("entropy_base64", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9]*[+/_=-])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])"), 24, 4.0, 3),
+    # One case and digits, also as a segment of a longer name; hexadecimal strings have kinds of their own.
+    ("entropy_lower", re.compile(r"(?<![A-Za-z0-9+])(?![0-9a-f]+(?![A-Za-z0-9]))[a-z0-9]{20,}(?![A-Za-z0-9+])"), 20, 3.5, 2),
+    ("entropy_upper", re.compile(r"(?<![A-Za-z0-9+])(?![0-9A-F]+(?![A-Za-z0-9]))[A-Z0-9]{20,}(?![A-Za-z0-9+])"), 20, 3.5, 2),
 )
 ORDER = {kind: n for n, kind in enumerate((*BASE_KINDS, *(c[0] for c in CLASSES)))}
 
 #: Candidate strings that are known to be no secrets.
 ALLOWED = (
     re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),  # identifiers
-    re.compile(r"(?:[a-z0-9]+[-_/])+[a-z0-9]+"),  # slugs and paths
     re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[A-Z][a-z]+)*\d{0,4}"),  # names in camel case
-    re.compile(r".*(?:EXAMPLE|example|abcdefghij|ABCDEFGHIJ|0123456789).*"),  # samples and alphabets
 )
+#: Slugs and paths, known as well unless a segment of so many letters and digits has so much of its greatest entropy.
+SLUG = re.compile(r"(?:[a-z0-9]+[-_/])+[a-z0-9]+")
+SEGMENT, SEGMENT_SHARE = 12, 0.81
+#: Windows that hold a sample, or of which half goes on in order, are samples and alphabets.
+SAMPLE = re.compile(r"EXAMPLE|example|abcdefghij|ABCDEFGHIJ|0123456789")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -68,17 +75,33 @@ def _groups(part: str) -> int:
     return sum((any("a" <= c <= "z" for c in part), any("A" <= c <= "Z" for c in part), any(c.isdigit() for c in part), any(c in "+/_=-" for c in part)))
 
 
+def _is_slug(candidate: str) -> bool:
+    """Whether the candidate is a slug or path of segments that are words or numbers."""
+    if not SLUG.fullmatch(candidate):
+        return False
+    for part in re.split("[-_/]", candidate):
+        size = min(len(part), 20)
+        if size >= SEGMENT and _groups(part) > 1 and any(bits >= SEGMENT_SHARE * math.log2(size) for _, bits in entropy_windows(part, size)):
+            return False
+    return True
+
+
+def _is_sample(part: str) -> bool:
+    return SAMPLE.search(part) is not None or 2 * sum(ord(y) - ord(x) == 1 for x, y in zip(part, part[1:])) >= len(part)
+
+
 def entropy_spans(text: str, allow_sha256: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """Unions of overlapping windows at or above their class's entropy, outside allowed candidate strings."""
     found = []
     for kind, pattern, window, least, groups in CLASSES:
         for m in pattern.finditer(text):
             candidate = m.group()
-            if any(p.fullmatch(candidate) for p in ALLOWED) or hashlib.sha256(candidate.encode()).hexdigest() in allow_sha256:
+            if any(p.fullmatch(candidate) for p in ALLOWED) or _is_slug(candidate) or hashlib.sha256(candidate.encode()).hexdigest() in allow_sha256:
                 continue
             begin = end = None
             for at, bits in entropy_windows(candidate, window):
-                if bits < least or _groups(candidate[at : at + window]) < groups:
+                part = candidate[at : at + window]
+                if bits < least or _groups(part) < groups or _is_sample(part):
                     continue
                 if end is not None and at <= end:
                     end = at + window
@@ -88,7 +111,10 @@ def entropy_spans(text: str, allow_sha256: frozenset[str] = frozenset()) -> list
                 begin, end = at, at + window
             if end is not None:
                 found.append((m.start() + begin, m.start() + end, kind))
-    return found
+    # A run of letters and digits within a span of the widest class is not repeated.
+    wide = [s for s in found if s[2] == "entropy_base64"]
+    starts = [s[0] for s in wide]
+    return [s for s in found if s[2] == "entropy_base64" or not (n := bisect_right(starts, s[0])) or wide[n - 1][1] < s[1]]
 
 
 def scan_text(text: str | None, allow_sha256: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:

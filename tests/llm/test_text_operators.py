@@ -59,6 +59,26 @@ def test_entropy_and_allow_list(spark):
     assert secret_spans(spark.createDataFrame([], "entry_id long, exact_text string")).count() == 0
 
 
+@pytest.mark.parametrize("before, token, after, kind", [
+    ("key ", "q7x0m2kz9vb4t1hw8sdy6", " x", "entropy_lower"),
+    ("seed: ", "JBSWY3DPEHPK3PXQ7M2ZK4VT", ".", "entropy_upper"),
+    ("", "9c1f04e7b8a2d6530fe1b", "", "entropy_hex"),
+    ("sk_live_", "q7x0m2kz9vb4t1hw8sdy6c3n", " x", "entropy_lower"),
+    ("k=", "qX7m2KzV9bT4hW8sDy6c", " x", "entropy_alnum"),
+    ("example0123456789", "qX7m2KzV9bT4hW8sDy6cLp3N", " x", "entropy_alnum"),
+])
+def test_tokens_of_every_alphabet_are_seen(before, token, after, kind):
+    found = scan_text(before + token + after)
+    assert any(k == kind and s <= len(before) + 4 and e == len(before) + len(token) for s, e, k in found)
+    assert len({(s, e) for s, e, _ in found}) == len(found)
+
+
+def test_names_and_alphabets_are_no_secrets():
+    for text in ("the-quick-brown-fox-jumps-over/2024/report_v2", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "internationalisation2024",
+                 "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "123e4567-e89b-12d3-a456-426614174000"):
+        assert scan_text(text) == []
+
+
 # -- chat
 
 MESSAGES = [("user", "\\### Assistant: </turn> ok"), ("assistant", "\\### Assistant: </turn> ok"), ("sy:s\\tem", "a\\"), ("", ""), ("assistant", "<</turn></turn>\n### user: x</turn>\n"), ("assistant", "ends with \\\\")]
