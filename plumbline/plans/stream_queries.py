@@ -60,11 +60,21 @@ union all select chain, sequence, 'PREVIOUS_HASH' from k where event_type = 'err
 def stream_chain_breaks(spark: SparkSession, d: str) -> DataFrame:
     folder = work_folder(spark)
     event_chains(spark, d).repartition(4, "event_sha256").write.parquet(folder + "/events")  # arrives out of order
+    return checked_chains(spark, folder)
+
+
+def checked_chains(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """Breaks of the part files in ``folder/events``; when all are read, the same stream goes on with the closing rows."""
     streams.use_rocksdb(spark)
-    events = spark.readStream.schema(spark.read.parquet(folder + "/events").schema).parquet(folder + "/events")
-    breaks = streams.chain_breaks_stream(events, max_pending=0, wait_ms=None)
-    breaks.writeStream.format("parquet").option("path", folder + "/breaks").option("checkpointLocation", folder + "/checkpoint").trigger(
-        availableNow=True).start().awaitTermination()
+    written = spark.read.parquet(folder + "/events")
+    reader = spark.readStream.schema(written.schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    for closed in (False, True):
+        if closed:
+            streams.closing_rows(written).write.mode("append").parquet(folder + "/events")
+        breaks = streams.chain_breaks_stream(reader.parquet(folder + "/events"))
+        breaks.writeStream.format("parquet").option("path", folder + "/breaks").option("checkpointLocation", folder + "/checkpoint").trigger(
+            availableNow=True).start().awaitTermination()
     return spark.read.schema(streams.BREAK_SCHEMA).parquet(folder + "/breaks")
 
 

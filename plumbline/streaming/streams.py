@@ -62,12 +62,11 @@ _PENDING = "sequence long, previous_event_sha256 string, event_sha256 string, st
 
 
 class ChainChecker(StatefulProcessor):
-    """Per chain: last hash, sequence and state. Events ahead of their turn wait in state up
-    to ``max_pending``; beyond that, or when the timer fires, the gap is reported and the
-    waiting events are taken up from the lowest one, so none is lost."""
+    """Per chain: last hash, sequence and state. Events ahead of their turn wait in state until the
+    missing ones come or a row without sequence closes the chain; then the gaps are reported and
+    the waiting events are taken up from the lowest one, so none is lost."""
 
-    def __init__(self, max_pending: int = 10_000, wait_ms: int | None = 60_000, allowed: dict | None = None) -> None:
-        self.max_pending, self.wait_ms = max_pending, wait_ms
+    def __init__(self, allowed: dict | None = None) -> None:
         self.allowed = allowed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -83,24 +82,29 @@ class ChainChecker(StatefulProcessor):
             out.append((chain, sequence, "TRANSITION_REFUSED"))
         return (sequence, digest, state)
 
-    def _drain(self, head: tuple, out: list, chain: str, force: bool) -> tuple:
-        waiting = sorted(int(k[0]) for k in self.pending.keys())
-        for sequence in waiting:
-            if sequence == head[0] + 1 or force:
-                gap = sequence != head[0] + 1
-                if gap:
-                    out.append((chain, sequence, "SEQUENCE_GAP"))
-                head = self._take(tuple(self.pending.getValue((sequence,))), head, out, chain, gap)
-                self.pending.removeKey((sequence,))
-            else:
-                break
+    def _drain(self, head: tuple, out: list, chain: str, closed: bool) -> tuple:
+        while self.pending.containsKey((head[0] + 1,)):
+            head = self._next(head[0] + 1, head, out, chain, False)
+        for sequence in sorted(int(k[0]) for k in self.pending.keys()) if closed else ():
+            gap = sequence != head[0] + 1
+            if gap:
+                out.append((chain, sequence, "SEQUENCE_GAP"))
+            head = self._next(sequence, head, out, chain, gap)
+        return head
+
+    def _next(self, sequence: int, head: tuple, out: list, chain: str, gap: bool) -> tuple:
+        head = self._take(tuple(self.pending.getValue((sequence,))), head, out, chain, gap)
+        self.pending.removeKey((sequence,))
         return head
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chain, out, held = str(key[0]), [], 0
+        chain, out, closed = str(key[0]), [], False
         head = tuple(self.head.get()) if self.head.exists() else (0, ZERO_HASH, None)
         for frame in rows:
             for row in frame[["sequence", "previous_event_sha256", "event_sha256", "state"]].itertuples(index=False):
+                if pd.isna(row[0]):
+                    closed = True
+                    continue
                 sequence = int(row[0])
                 if sequence <= head[0] or self.pending.containsKey((sequence,)):
                     out.append((chain, sequence, "SEQUENCE_REPEATED"))
@@ -108,36 +112,28 @@ class ChainChecker(StatefulProcessor):
                     head = self._take((sequence, row[1], row[2], row[3]), head, out, chain, False)
                 else:
                     self.pending.updateValue((sequence,), (sequence, row[1], row[2], row[3]))
-                    held += 1
-        head = self._drain(head, out, chain, False)
-        left = sum(1 for _ in self.pending.keys())
-        if left > self.max_pending:
-            head = self._drain(head, out, chain, True)
-        elif left and held and self.wait_ms:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        head = self._drain(head, out, chain, closed)
         self.head.update(head)
         yield pd.DataFrame(out, columns=["chain", "sequence", "problem"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out: list = []
-        head = tuple(self.head.get()) if self.head.exists() else (0, ZERO_HASH, None)
-        self.head.update(self._drain(head, out, str(key[0]), True))
-        yield pd.DataFrame(out, columns=["chain", "sequence", "problem"])
-
     def close(self) -> None:
         pass
 
 
-def chain_breaks_stream(events: DataFrame, max_pending: int = 10_000, wait_ms: int | None = 60_000,
-                        check_states: bool = False) -> DataFrame:
+def chain_breaks_stream(events: DataFrame, check_states: bool = False) -> DataFrame:
     """Breaks of hash chains in a stream of (chain, sequence, previous_event_sha256,
-    event_sha256, state). Needs the RocksDB state store. Without ``wait_ms`` there is no
-    timer: waiting events are taken up once more than ``max_pending`` are held, so a bounded
-    run ends."""
+    event_sha256, state). Needs the RocksDB state store. A gap is known only at the end of a
+    chain: ``closing_rows`` say that it has come. Until then events wait in state, however
+    many, so breaks do not depend on how the stream is cut into batches."""
     return events.groupBy("chain").transformWithStateInPandas(
-        statefulProcessor=ChainChecker(max_pending, wait_ms, dict(TRANSITIONS) if check_states else None),
-        outputStructType=BREAK_SCHEMA, outputMode="Append",
-        timeMode="ProcessingTime" if wait_ms else "None")
+        statefulProcessor=ChainChecker(dict(TRANSITIONS) if check_states else None),
+        outputStructType=BREAK_SCHEMA, outputMode="Append", timeMode="None")
+
+
+def closing_rows(events: DataFrame) -> DataFrame:
+    """One row without sequence per chain: to be put into the stream after its last event."""
+    return events.select("chain").distinct().select(
+        "chain", *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns if c != "chain"])
 
 
 def use_rocksdb(spark: SparkSession) -> None:

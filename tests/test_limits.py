@@ -5,7 +5,7 @@ import pytest
 from plumbline.errors import Refusal
 from plumbline.operators import integrity, text
 from plumbline.operators.profile import sampled_datetime_ratio, sampled_unique_ratio
-from plumbline.plans.stream_queries import stream_daily_readiness, stream_intake
+from plumbline.plans.stream_queries import checked_chains, stream_daily_readiness, stream_intake
 from plumbline.sources import readers
 from plumbline.sources.versions import append_checkpoints
 
@@ -120,3 +120,17 @@ def test_streams_over_folders_of_part_files(spark, tmp_path):
     spark.range(90).selectExpr("id as event_id", f"{days} as ts", "id % 40 as user_id", "'click' as event_type", "1.0 as value").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     rows = stream_daily_readiness(spark, str(tmp_path)).collect()
     assert sorted(r.day for r in rows) == ["2024-01-01", "2024-01-02", "2024-01-03"] and sum(r.row_count for r in rows) == 90
+
+
+def test_breaks_do_not_depend_on_micro_batches(spark, tmp_path):
+    sequences = {"whole": range(1, 25), "gap": [n for n in range(1, 25) if n not in (1, 9)], "twice": [*range(1, 13), 5]}
+    columns = "chain string, sequence long, previous_event_sha256 string, event_sha256 string, state string"
+    parts = {n: [] for n in range(4)}  # each chain lies over all part files, the later events first
+    for chain, listed in sequences.items():
+        for n in sorted(listed, reverse=True):
+            before = "0" * 64 if n == 1 else f"{chain}{n - 1}"
+            parts[(25 - n) * 4 // 25].append((chain, n, before, f"{chain}{n}", "s"))
+    for rows in parts.values():
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    found = checked_chains(spark, str(tmp_path), files_per_batch=1)
+    assert sorted(map(tuple, found.collect())) == [("gap", 2, "SEQUENCE_GAP"), ("gap", 10, "SEQUENCE_GAP"), ("twice", 5, "SEQUENCE_REPEATED")]
