@@ -11,6 +11,8 @@ times, which covers 2.8e14 rows with at most 65,536 entries per group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,15 +76,16 @@ def order_digest(positioned: DataFrame, ordinal: str = "ordinal", column: str =
     return level.agg(F.coalesce(F.max("_d"), F.lit(EMPTY)).alias("order_sha256"))
 
 
-def with_positions(frame: DataFrame, order: list[Column], name: str = "position", step: str | None = None) -> DataFrame:
+def with_positions(frame: DataFrame, order: list[Column], name: str = "position", step: str | None = None, store: Callable[[DataFrame], DataFrame] = freeze) -> DataFrame:
     """0-based position of every row in a total order, without a single-task window.
 
     The rows are range-partitioned and sorted once and stored; the only global step
     is a running total over one row per partition. ``step`` names a column with how
-    many positions a row takes (for run-length encoded rows).
+    many positions a row takes (for run-length encoded rows). ``store`` writes the sorted
+    rows; a caller that wants them removed afterwards gives that of its scratch.
     """
     ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order)
-    stored = freeze(ranged.withColumn("_mid", F.monotonically_increasing_id()))
+    stored = store(ranged.withColumn("_mid", F.monotonically_increasing_id()))
     slot = F.shiftright("_mid", 33)
     width = F.col(step) if step else F.lit(1)
     per_slot = stored.groupBy(slot.alias("_slot")).agg(F.sum(width).alias("_width"))
