@@ -14,6 +14,7 @@ from plumbline.llm.line_dedup import drop_boilerplate_lines
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import pack_entries
 from plumbline.llm.secret_scan import secret_spans
+from plumbline.llm.source_mix import cyclic_weights, mix_sources
 from plumbline.llm.token_counts import attribute_tokens, line_sections
 from plumbline.llm.toxicity import held_out, toxic_spans
 from plumbline.llm.warc_records import derived_records, response_records
@@ -168,3 +169,31 @@ def op9_trial_items(spark, d):
 def op10_packing(spark, d):
     pieces = pack_entries(_entries(_table(spark, d, "documents")), vocabulary_path())
     return pieces.withColumnsRenamed({"entry_id": "doc_id", "entry_tokens": "doc_tokens"})
+
+
+_MIX_SQL = r"""
+with doc as (select row_number() over () as rid, doc_id, case when source is null then '' else 's' || source end as k,
+                    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '') || ':mix') as h from documents),
+     src as (select k, sum(size)::bigint as source_size, case (row_number() over (order by k = '', k) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from doc group by k),
+     budget as (select (sum(source_size) * 150 // 100)::bigint as b from src),
+     prefix as (select sum(2 * source_size) over o as caps, sum(weight) over () - sum(weight) over o as rest from src
+                window o as (order by 2 * source_size / weight, k rows unbounded preceding)
+                union all select 0, sum(weight) from src),
+     level as (select max(((select b from budget) - caps)::double / rest::double) as l from prefix where rest > 0),
+     aim as (select *, case when 2 * source_size <= l * weight then (2 * source_size)::double else l * weight end as target from src, level),
+     queue as (select d.*, a.source_size, a.weight, a.target,
+                      sum(size) over (partition by k order by h, doc_id nulls first, size rows unbounded preceding) - size as start from doc d join aim a using (k)),
+     copy as (select rid, k, size, weight, unnest([start, source_size + start]) as start from queue where size > 0),
+     cut as (select *, unnest(range(0, (size + 255) // 256)) as p from copy),
+     serving as (select rid, k, (start + least((p + 1) * 256, size))::bigint as stop, least((p + 1) * 256, size) - p * 256 as words, weight from cut),
+     served as (select rid, words, sum(words) over (order by stop::double / weight, k, stop rows unbounded preceding) as total from serving),
+     taken as (select rid, sum(greatest(0, least(words, (select b from budget) - (total - words)))) as taken from served group by rid)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, ((start + size)::bigint)::double / weight as virtual_finish
+from queue left join taken using (rid)
+"""
+
+
+@_query("op13_source_mix", _MIX_SQL)
+def op13_source_mix(spark, d):
+    evidence = _table(spark, d, "documents").select(F.col("doc_id").alias("evidence_id"), F.col("source").alias("source_locator"), F.col("text").alias("extraction"))
+    return mix_sources(evidence, cyclic_weights(evidence)).withColumnRenamed("evidence_id", "doc_id")
