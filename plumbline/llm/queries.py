@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.chat_format import conversation_digests, located_turns
@@ -13,6 +13,7 @@ from plumbline.llm.exact_dedup import exact_duplicates
 from plumbline.llm.line_dedup import drop_boilerplate_lines
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import pack_entries
+from plumbline.llm.repeat_runs import periodic_runs
 from plumbline.llm.secret_scan import secret_spans
 from plumbline.llm.source_mix import cyclic_weights, mix_sources
 from plumbline.llm.token_counts import attribute_tokens, line_sections
@@ -171,6 +172,41 @@ def op10_packing(spark, d):
     return pieces.withColumnsRenamed({"entry_id": "doc_id", "entry_tokens": "doc_tokens"})
 
 
+def _looped(doc_id: Column, text: Column) -> Column:
+    """The contract's planted texts: of every tenth id, by its checksum, the words from one on repeat a stretch of words."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def loop(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
+        copies = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), F.slice(copies, 1, n - a)), " "))
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # As a lambda's argument the words are split once.
+    return F.when(h % 10 == 0, F.coalesce(F.transform(F.array(words), loop)[0], text)).otherwise(text)
+
+
+@_query("op11_periodic_runs")
+def op11_periodic_runs(spark, d):
+    documents = _table(spark, d, "documents")
+    entries = documents.select(F.col("doc_id").alias("entry_id"), _looped(F.col("doc_id"), F.col("text")).alias("exact_text"))
+    best = F.col("strongest_run")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return periodic_runs(entries).select(
+        F.col("entry_id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("strongest_run.length * 1000 div strongest_run.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 _MIX_SQL = r"""
 with doc as (select row_number() over () as rid, doc_id, case when source is null then '' else 's' || source end as k,
                     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '') || ':mix') as h from documents),
