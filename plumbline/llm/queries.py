@@ -17,6 +17,7 @@ from plumbline.llm.repeat_runs import periodic_runs
 from plumbline.llm.secret_scan import secret_spans
 from plumbline.llm.source_mix import cyclic_weights, mix_sources
 from plumbline.llm.token_counts import attribute_tokens, line_sections
+from plumbline.llm.token_links import token_links
 from plumbline.llm.toxicity import held_out, toxic_spans
 from plumbline.llm.warc_records import derived_records, response_records
 
@@ -24,11 +25,11 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
 
-def vocabulary_path() -> str:
-    """The public vocabulary that the queries count and pack with."""
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """The public vocabulary that the queries count and pack with, or another one."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _query(name: str, sql: str | None = None):
@@ -207,6 +208,12 @@ def op11_periodic_runs(spark, d):
     )
 
 
+@_query("op12_token_links")
+def op12_token_links(spark, d):
+    entries = _entries(_table(spark, d, "documents"))
+    return token_links(entries, vocabulary_path(), vocabulary_path("piece_bpe_32k.model")).withColumnRenamed("entry_id", "doc_id")
+
+
 _MIX_SQL = r"""
 with doc as (select row_number() over () as rid, doc_id, case when source is null then '' else 's' || source end as k,
                     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '') || ':mix') as h from documents),
