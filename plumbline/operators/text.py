@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-import math
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,49 +40,6 @@ def casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else v.casefold())
 
 
-def _grams(text: str, size: int) -> Counter:
-    return Counter(text[i:i + size] for i in range(len(text) - size + 1))
-
-
-def _ratio_at_least(ratio: float):
-    """Ratio of two texts, or NULL when a bound already shows it is lower.
-
-    With matched characters M >= r (|a| + |b|) / 2, text a has ua = |a| - M and text b has
-    ub = |b| - M others. One of them in a destroys at most q of a's q-grams, one in b at
-    most q - 1, so a pair at the ratio shares at least |a| - q + 1 - q ua - (q - 1) ub.
-    """
-
-    @F.pandas_udf(T.DoubleType())
-    def bounded(left: pd.Series, right: pd.Series) -> pd.Series:
-        out: list[float | None] = []
-        cache: dict[tuple[str, int], Counter] = {}
-
-        def possible(a: str, b: str) -> bool:
-            floor = ratio * (len(a) + len(b)) / 2
-            ua, ub = len(a) - floor, len(b) - floor
-            for q in (5, 4, 3):
-                need = len(a) - q + 1 - q * ua - (q - 1) * ub
-                if need <= 0:
-                    continue
-                for body in (a, b):
-                    if (body, q) not in cache:
-                        cache[body, q] = _grams(body, q)
-                x, y = cache[a, q], cache[b, q]
-                if sum(min(n, y[g]) for g, n in x.items() if g in y) < need - 1e-6:
-                    return False
-            return True
-
-        for a, b in zip(left, right):
-            if not possible(a, b):
-                out.append(None)
-                continue
-            matcher = difflib.SequenceMatcher(None, a, b)
-            out.append(matcher.ratio() if matcher.quick_ratio() >= ratio else None)
-        return pd.Series(out, dtype="float64")
-
-    return bounded
-
-
 def tokens(text: Column, ascii_only: bool = False) -> Column:
     """Words of a normalised text, in order."""
     return F.regexp_extract_all(text, F.lit(ASCII_WORD if ascii_only else WORD), F.lit(0))
@@ -408,81 +361,73 @@ def catalog_parity(catalog: DataFrame, base: str) -> DataFrame:
 
 # ---- near-duplicate pairs ---------------------------------------------------------------
 
-# With the bound above and q = 3, texts of lengths n and m at the ratio r share at least
-# (n + m)(2.5 r - 2) - 2 trigrams (counted with repeats), and m >= n r / (2 - r). So when
-# all trigrams are put in one fixed order, the first |trigrams| - need + 1 of each text
-# share at least one: only those prefixes are joined. Frequent trigrams come last in the
-# order, so shared boilerplate never becomes a join key. The order uses the counts of a
-# bounded number of frequent trigrams; which ones it knows changes speed, not results.
-# Texts with n + m < 1 / (1 - r) can only reach the ratio by being equal.
+#: Salts under which the holders of a frequent gram meet, and how many holders make a gram frequent.
+GRAM_SALTS, FREQUENT = 16, 1_024
 
-GRAM = 3
-KNOWN_GRAMS = 65_536
 
+def grams(text: Column, size: int) -> Column:
+    """All character grams of a text in order, in one pass (one look-ahead match per place)."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
-def _occurrences(text: str) -> list[str]:
-    seen: Counter = Counter()
-    out = []
-    for i in range(len(text) - GRAM + 1):
-        gram = text[i:i + GRAM]
-        seen[gram] += 1
-        out.append(f"{gram}\x00{seen[gram]}")
-    return out
 
+def gram_sets(texts: DataFrame, size: int) -> DataFrame:
+    """Rows ``id``, ``token`` of texts ``id``, ``t``: the k-th copy of a gram within a text is a token of its own, so that
+    multisets are compared as sets."""
+    counted = texts.select("id", F.explode(F.transform(grams(F.col("t"), size), lambda g: F.xxhash64(g))).alias("g")).groupBy("id", "g").agg(F.count(F.lit(1)).alias("c"))
+    return counted.select("id", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "c"), lambda k: F.xxhash64("g", k))).alias("token"))
 
-def _prefix_length(length: int, ratio: float) -> int:
-    smallest = length * (1 + ratio / (2 - ratio))
-    need = math.ceil(smallest * (2.5 * ratio - 2) - 2 - 1e-9)
-    return length - GRAM + 1 - max(need, 1) + 1
 
+def near_duplicates(rows: DataFrame, identifier: str, text: str, ratio: float = 0.92, gram: int = 3) -> DataFrame:
+    """Star of each text with nearly equal texts of smaller id: ``left_id``, ``right_id``, ``left_copies``, ``right_copies``, ``ratio``, ``links``.
 
-def near_duplicates(rows: DataFrame, identifier: str, text: str, ratio: float = 0.92) -> DataFrame:
-    """Pairs of distinct texts with a matching-block ratio of at least ``ratio`` (over 0.8).
+    Texts are compared after trimming and case folding by the multisets of their character grams:
+    ratio = 2 * shared / (grams of one + grams of the other). Every text that has a partner of smaller id at ``ratio`` or more is one
+    row with the smallest such id; ``links`` counts all of them, so links add up to all pairs. Equal texts are folded into one
+    representative first (smallest id; the copies columns say how many rows each side stands for). Blank texts and texts shorter than a
+    gram are left out: they can only be equal. No pair is missed and nothing is capped.
 
-    Equal texts are folded into one representative first (smallest id, copies), so a third
-    of all rows holding one text is one row here; the copies columns say how many rows each
-    side stands for. Blank texts are left out, as they carry no claim. No pair is missed.
+    An exact self-join with filters. Tokens are ordered by how many texts hold them (counted by a join), rare ones first. Of two texts at the
+    ratio r, one with n tokens shares at least n r / (2 - r) with any partner, so the first n - that + 1 tokens of both have one in common:
+    only these are joined, between texts whose lengths allow the ratio. A pair goes on only if what it shares in the joined part and what can
+    come after its last common place still reach the ratio; the full sets decide. Holders of a frequent token meet under salts.
+    Work grows with the number of pairs that pass the filters, all true pairs among them.
     """
-    spark = rows.sparkSession
     folded = rows.select(F.col(identifier).alias("id"), casefold(F.btrim(F.col(text), F.lit(" \t\n\r"))).alias("t"))
-    distinct = freeze(
-        folded.filter("t <> ''").groupBy("t").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-        .select("id", "copies", "t", F.char_length("t").alias("n"))
-    )
-    kind = distinct.schema["id"].dataType.simpleString()
-    slim = spread(distinct.select("id", "t"))
-
-    def all_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            counts = Counter(g for body in frame["t"] for g in _occurrences(body))
-            yield pd.DataFrame({"g": list(counts), "c": list(counts.values())})
-
-    frequent = (
-        slim.mapInPandas(all_grams, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
-        .orderBy(F.col("c").desc(), "g").limit(KNOWN_GRAMS).collect()  # bounded by KNOWN_GRAMS
+    with_copies = folded.filter(F.char_length("t") >= gram).groupBy("t").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    distinct = freeze(with_copies.filter("id is not null"))
+    held = freeze(gram_sets(spread(distinct.select("id", "t")), gram))
+    salt_of = F.pmod(F.xxhash64("id"), F.lit(GRAM_SALTS)).cast("int")
+    every_salt = F.sequence(F.lit(0), F.lit(GRAM_SALTS - 1))
+    frequency = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # A token of one text cannot be shared; it stays in the order as the rarest.
+    counted = held.withColumn("salt", salt_of).join(frequency.withColumn("salt", F.explode(every_salt)), ["token", "salt"], "left")
+    in_text = "partition by id order by coalesce(df, 1), token"
+    placed = counted.select("id", "token", "df", F.expr(f"row_number() over ({in_text})").alias("place"), F.expr("count(*) over (partition by id)").alias("n"))
+    least = lambda n: F.ceil(n * F.lit(ratio / (2 - ratio)) - F.lit(1e-9))
+    prefix = freeze(placed.filter(F.col("df").isNotNull() & (F.col("place") <= F.col("n") - least(F.col("n")) + 1)))
+
+    frequent = F.col("df") > FREQUENT
+    left = prefix.select("token", F.when(frequent, salt_of).otherwise(0).alias("salt"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    right = prefix.select(
+        "token", F.explode(F.when(frequent, every_salt).otherwise(F.array(F.lit(0)))).alias("salt"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")
     )
-    known = spark.sparkContext.broadcast({r["g"]: r["c"] for r in frequent})
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = known.value
-        for frame in batches:
-            for key, body in zip(frame["id"], frame["t"]):
-                grams = sorted(_occurrences(body), key=lambda g: (counts.get(g, 0), g))
-                yield pd.DataFrame({"id": key, "n": len(body), "g": grams[:_prefix_length(len(body), ratio)]})
-
-    keys = slim.mapInPandas(prefixes, f"id {kind}, n int, g string")
-    left, right = (keys.select("g", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
-    fits = (F.greatest("na", "nb") <= F.least("na", "nb") * ((2 - ratio) / ratio) + 1e-9) & (
-        F.col("na") + F.col("nb") >= 1 / (1 - ratio) - 1e-9)
-    candidates = left.join(right, "g").filter("a < b").filter(fits).select("a", "b").distinct()
-    first = distinct.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("copies").alias("left_copies"))
-    second = distinct.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("copies").alias("right_copies"))
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = candidates.join(first, "a").join(second, "b").repartition(tasks, "a", "b")  # the ratio is costly: spread it
-    return pairs.select(
-        F.col("a").alias("left_id"), F.col("b").alias("right_id"), "left_copies", "right_copies",
-        _ratio_at_least(ratio)("ta", "tb").alias("ratio"),  # in id order, as the matching is not symmetric
-    ).filter(F.col("ratio") >= ratio)
+    needed = F.ceil((F.col("na") + F.col("nb")) * F.lit(ratio / 2) - F.lit(1e-9))
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least(F.greatest("na", "nb"))) & (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb") - 1 >= needed)
+    met = left.join(right.hint("merge"), ["token", "salt"]).filter(fits).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    candidates = freeze(met.filter(F.col("shared") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed).select("a", "b", "na", "nb"))
+
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = freeze(held.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.collect_list("token").alias("tokens")))
+    both = candidates.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
+    value = 2 * F.size(F.array_intersect("ta", "tb")) / (F.col("na") + F.col("nb"))
+    pairs = both.select("a", "b", value.alias("ratio")).filter(F.col("ratio") >= ratio)
+    star = pairs.groupBy("b").agg(F.min(F.struct("a", "ratio")).alias("first"), F.count(F.lit(1)).alias("links"))
+    copies = distinct.select("id", "copies")
+    of_left, of_right = (copies.select(F.col("id").alias(x), F.col("copies").alias(f"{side}_copies")) for x, side in (("left_id", "left"), ("right_id", "right")))
+    found = star.select(F.col("first.a").alias("left_id"), F.col("b").alias("right_id"), F.col("first.ratio").alias("ratio"), "links")
+    return found.join(of_left, "left_id").join(of_right, "right_id").select("left_id", "right_id", "left_copies", "right_copies", "ratio", "links")
 
 
 def equal_statements(rows: DataFrame, identifier: str, text: str) -> DataFrame:

@@ -226,19 +226,44 @@ def exact_copies(spark: SparkSession, d: str) -> DataFrame:
     return text.exact_copies(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("duplicate_claim_findings", r"""
-with f as (select doc_id, replace(lower(trim(text, e' \t\n\r')), 'ß', 'ss') as t from documents), g as (select t, min(doc_id) as first from f where t <> '' group by t)
-select 1 as gate, 'DUPLICATE_CLAIM' as code, 'blocker' as severity, 'FAIL' as status, first || '/' || doc_id as subject from f join g using (t) where doc_id <> first""")
+def _near(source: str, ident: str, body: str) -> str:
+    """All pairs of distinct folded texts by their shared trigrams, as the CTE ``star`` (one row per text with an earlier partner)."""
+    return f"""f as (select {ident} as id, replace(lower(trim({body}, e' \\t\\n\\r')), 'ß', 'ss') as t from {source}),
+d as (select t, min(id) as id, count(*)::bigint as copies from f where length(t) >= 3 group by t),
+g as (select id, gram, count(*) as c from (select id, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) as gram from d) group by all),
+n as (select id, sum(c) as n from g group by id),
+s as (select x.id as a, y.id as b, sum(least(x.c, y.c)) as s from g x join g y on x.gram = y.gram and x.id < y.id group by all),
+p as (select a, b, (2 * s)::double / (x.n + y.n)::double as ratio from s join n x on x.id = a join n y on y.id = b where (2 * s)::double / (x.n + y.n)::double >= 0.92::double),
+star as (select min(a) as left_id, b as right_id, min_by(ratio, a) as ratio, count(*)::bigint as links from p group by b)"""
+
+
+def _near_sql(source: str, ident: str, body: str) -> str:
+    return f"""with {_near(source, ident, body)}
+select left_id, right_id, l.copies as left_copies, r.copies as right_copies, ratio, links from star join d l on l.id = left_id join d r on r.id = right_id"""
+
+
+@query("near_duplicates_documents", _near_sql("documents", "doc_id", "text"))
+def near_duplicates_documents(spark: SparkSession, d: str) -> DataFrame:
+    return text.near_duplicates(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("duplicate_claim_findings", f"""with {_near("documents", "doc_id", "text")},
+e as (select t, min(id) as first from f where t <> '' group by t)
+select 1 as gate, 'DUPLICATE_CLAIM' as code, 'blocker' as severity, 'FAIL' as status, left_id || '/' || right_id as subject from star
+union all select 1, 'DUPLICATE_CLAIM', 'blocker', 'FAIL', first || '/' || id from f join e using (t) where id <> first""")
 def duplicate_claim_findings(spark: SparkSession, d: str) -> DataFrame:
-    return rules.duplicate_claim_findings(text.equal_statements(table(spark, d, "documents"), "doc_id", "text"), "standard")
+    """Equal statements and nearly equal ones, every further statement against the first that it repeats."""
+    claims = table(spark, d, "documents")
+    near = text.near_duplicates(claims, "doc_id", "text").select("left_id", "right_id", "ratio")
+    return rules.duplicate_claim_findings(text.equal_statements(claims, "doc_id", "text").unionByName(near), "standard")
 
 
-@query("near_duplicates_benchmark")
+@query("near_duplicates_benchmark", _near_sql("benchmark", "item_id", "text"))
 def near_duplicates_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return text.near_duplicates(table(spark, d, "benchmark"), "item_id", "text")
 
 
-@query("near_duplicates_parts")
+@query("near_duplicates_parts", _near_sql("part", "p_partkey", "p_name || ' ' || p_brand"))
 def near_duplicates_parts(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("statement"))
     return text.near_duplicates(parts, "p_partkey", "statement")

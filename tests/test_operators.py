@@ -1,6 +1,6 @@
-import difflib
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,21 +129,35 @@ def test_near_duplicates_match_brute_force(spark):
     texts = list(base)
     for body in base:
         changed = list(body)
-        for _ in range(max(1, len(body) // rng.choice((9, 14, 30)))):
+        for _ in range(max(1, len(body) // rng.choice((30, 60, 200)))):
             place = rng.randrange(len(changed))
             changed[place:place + 1] = rng.choice((["z"], [], ["q", changed[place]]))
         texts.append("".join(changed))
     texts += ["same boilerplate ending", "Same boilerplate ending", " ", "abc"]
     rows = list(enumerate(texts))
-    got = {(r["left_id"], r["right_id"]): r["ratio"] for r in text.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    rows += [(1000 + n, base[3] + " " * (n % 2)) for n in range(40)]  # copies of one text
+    got = {r["right_id"]: (r["left_id"], r["ratio"], r["links"]) for r in text.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
     first = {}
     for key, body in rows:
         first.setdefault(body.strip().casefold(), key)
+    counted = {key: Counter(body[i:i + 3] for i in range(len(body) - 2)) for body, key in first.items() if len(body) >= 3}
     want = {}
-    for (a, x), (b, y) in itertools.combinations([(b, a) for a, b in first.items()], 2):
-        if x and y and difflib.SequenceMatcher(None, x, y).ratio() >= 0.92:
-            want[(a, b)] = difflib.SequenceMatcher(None, x, y).ratio()
-    assert got == pytest.approx(want) and len(want) > 3
+    for a, b in itertools.combinations(sorted(counted), 2):
+        value = 2 * (counted[a] & counted[b]).total() / (counted[a].total() + counted[b].total())
+        if value >= 0.92:
+            left, ratio, links = want.get(b, (a, value, 0))
+            want[b] = (left, ratio, links + 1)
+    assert got == want and len(want) > 3
+    copies = text.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t").filter("left_id = 3").first()
+    assert copies is None or copies["left_copies"] == 41
+
+
+def test_near_duplicates_of_named_ids_and_odd_texts(spark):
+    body = "the treatment increases response in the group that was observed for a year, and in no other group of the study"
+    rows = [("CLM-2", body), ("CLM-1", body + "."), ("CLM-3", body.upper()), (None, body), ("CLM-4", None), ("CLM-5", "ab"), ("CLM-6", "other words " * 20_000), ("CLM-7", "other words " * 20_001)]
+    got = text.near_duplicates(spark.createDataFrame(rows, "claim_id string, statement string"), "claim_id", "statement").collect()
+    assert sorted((r["left_id"], r["right_id"], r["left_copies"], r["right_copies"], r["links"]) for r in got) == [("CLM-1", "CLM-2", 1, 3, 1), ("CLM-6", "CLM-7", 1, 1, 1)]
+    assert text.near_duplicates(spark.createDataFrame([], "claim_id string, statement string"), "claim_id", "statement").count() == 0
 
 
 def test_secrets_and_placeholders(spark):
