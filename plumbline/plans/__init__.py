@@ -6,6 +6,7 @@ from plumbline.plans import (  # noqa: F401
     evidence_queries,
     lineage_queries,
     rule_queries,
+    source_queries,
     stream_queries,
     text_queries,
 )

@@ -6,10 +6,8 @@ VARIANT. Malformed input is refused with a code; every check is a distributed fi
 
 from __future__ import annotations
 
-import csv
-import functools
+import dataclasses
 import hashlib
-import io
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,6 +17,7 @@ from pyspark.sql import types as T
 
 from plumbline.errors import Refusal
 from plumbline.functions.canon import json_text, quoted_key
+from plumbline.sources.splitting import Delimited, JsonArray, split_records
 
 MAX_NUMBER_CHARACTERS = 4096
 
@@ -135,79 +134,48 @@ def refuse_spoof(line: str) -> None:
         raise Refusal("DATA_FORMAT_SPOOFED", "JSON content under a delimited name")
 
 
-def read_delimited(spark: SparkSession, path: str, format: str = "CSV", budget: Budget = Budget(),
-                   quoted_newlines: bool = True) -> Table:
-    """Strict CSV or TSV. ``quoted_newlines=False`` keeps large files splittable."""
-    delimiter = "\t" if format == "TSV" else ","
-    head = first_line(spark, path)
-    refuse_spoof(head)
-    _refuse_encoding(spark.read.text(path))
-    if quoted_newlines:
-        names = _quoted_header(spark, path, delimiter)
-    else:
-        names = next(csv.reader(io.StringIO(head), delimiter=delimiter, strict=True), [])
-    if names and names[0].startswith("﻿"):
-        names[0] = names[0][1:]
+def read_delimited(spark: SparkSession, path: str, format: str = "CSV", budget: Budget = Budget()) -> Table:
+    """Strict CSV or TSV, read in byte ranges however quoted line breaks lie across them (``splitting``).
+
+    Cells are those of the standard strict parser on the same bytes. Every file of a table must begin with the
+    same header; a row of another width is refused; blank lines outside quotes are no records.
+    """
+    refuse_spoof(first_line(spark, path))
+    records = split_records(spark, path, Delimited("\t" if format == "TSV" else ","))
+    _refuse_kinds(records)
+    heads = records.filter("in_file = 0").select("file", "cells")
+    first = heads.orderBy("file").first()
+    names = list(first["cells"]) if first else []
+    refuse_spoof(names[0] if names else "")
     check_header(names, budget)
+    other = heads.filter(~F.col("cells").eqNullSafe(F.array(*map(F.lit, names)))).select("file").first()
+    if other:
+        raise Refusal("DATA_HEADER_MISMATCH", f"{other[0]} begins with another header")
+    wrong = records.filter(F.size("cells") != len(names)).select(F.size("cells").alias("n")).first()
+    if wrong:
+        raise Refusal("DATA_ROW_WIDTH_MISMATCH", "a row does not fit the header", expected_fields=len(names), actual_fields=wrong["n"])
     specs = column_specs(names)
     ids = [s[0] for s in specs]
-    schema = T.StructType([T.StructField(i, T.StringType()) for i in ids] + [T.StructField("_bad", T.StringType())])
-    raw = (
-        spark.read.schema(schema).option("sep", delimiter).option("quote", '"').option("escape", '"')
-        .option("multiLine", quoted_newlines).option("mode", "PERMISSIVE").option("emptyValue", "")
-        .option("columnNameOfCorruptRecord", "_bad").option("header", False).option("maxCharsPerColumn", -1)
-        .option("maxColumns", max(len(ids) + 2, 512)).option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False).option("unescapedQuoteHandling", "RAISE_ERROR").csv(path)
-    )
-    try:
-        wrong = raw.filter("_bad is not null").first()
-    except Exception as error:  # the parser stops at text after a closing quote, in any record
-        if "TextParsingException" in str(error):
-            raise Refusal("DATA_PARSE_ERROR", "a quoted field is malformed") from None
-        raise
-    if wrong:
-        odd = wrong["_bad"].count('"') % 2
-        raise Refusal("DATA_PARSE_ERROR" if odd else "DATA_ROW_WIDTH_MISMATCH", "a row does not fit the header",
-                      expected_fields=len(ids))
-    _refuse_other_headers(raw, ids, names)
-    rows = with_ordinals(raw.select(*ids, "_bad"), header=True).drop("_bad")
-    body = rows.select(*[F.coalesce(F.col(i), F.lit("")).alias(i) for i in ids], "ordinal")
+    cells = [F.col("cells")[n].alias(i) for n, i in enumerate(ids)]
+    body = _over_files(records, skip=1).select(*cells, "ordinal")
     check_fields(body, ids, budget)
     decision = "EXPLICIT_DUPLICATE_PRESERVED" if any(s[3] for s in specs) else "EXPLICIT_UNIQUE"
     return Table(body, specs, format, decision)
 
 
-def _quoted_header(spark: SparkSession, path: str, delimiter: str) -> list[str]:
-    """Header cells; a quoted header may run over any number of physical lines."""
-    peek = 64
-    while True:
-        lines = [r[0] + "\n" for r in spark.read.text(path).limit(peek).collect()]  # grows until the header ends
-        read = iter(lines)
-        try:
-            for cells in csv.reader(read, delimiter=delimiter, strict=True):
-                if any(c.strip() for c in cells) and (len(lines) < peek or next(read, None) is not None):
-                    return cells
-        except csv.Error:
-            if len(lines) < peek:
-                raise Refusal("DATA_PARSE_ERROR", "the header is malformed") from None
-        if len(lines) < peek:
-            return []
-        peek *= 16
-
-
-def _refuse_other_headers(raw: DataFrame, ids: list[str], names: list[str]) -> None:
-    """Every file of a table must begin with the same header: its first record is left out unseen otherwise."""
-    first = (
-        raw.select(*ids, "_bad", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
-        .filter("_start = 0").withColumn("_mid", F.monotonically_increasing_id())
-        .groupBy("_file").agg(F.min_by(F.struct(*ids), F.col("_mid")).alias("h"))
-    )
-    cells = [F.coalesce(F.col("h")[i], F.lit("")) for i in ids]
-    cells[0] = F.regexp_replace(cells[0], "^\ufeff", "")
-    same = [cell.eqNullSafe(F.lit(name)) for cell, name in zip(cells, names, strict=True)]
-    other = first.filter(~functools.reduce(lambda x, y: x & y, same)).select("_file").first()
-    if other:
-        raise Refusal("DATA_HEADER_MISMATCH", f"{other[0]} begins with another header")
+def _refuse_kinds(records: DataFrame) -> None:
+    # The encoding comes first: other bytes may look malformed because of it.
+    wrong = records.filter("kind <> 'record'").orderBy(F.col("kind") != "DATA_ENCODING", "file", "in_file").select("kind", "file").first()
+    if wrong:
+        raise Refusal(wrong["kind"], f"{wrong['file']} was refused")
+
+
+def _over_files(records: DataFrame, skip: int = 0) -> DataFrame:
+    """Records with their place over all files by name, the first ``skip`` of each file left out."""
+    sizes = records.groupBy("file").agg((F.count(F.lit(1)) - skip).alias("n"))
+    before = sizes.select("file", (F.expr("sum(n) over (order by file)") - F.col("n")).alias("before"))  # one row per file
+    placed = records.filter(F.col("in_file") >= skip).join(F.broadcast(before), "file")
+    return placed.withColumn("ordinal", F.col("before") + F.col("in_file") - skip)
 
 
 def check_fields(frame: DataFrame, columns: list[str], budget: Budget) -> None:
@@ -308,7 +276,11 @@ def read_json_lines(spark: SparkSession, path: str, budget: Budget = Budget()) -
 
 
 def read_json(spark: SparkSession, path: str, budget: Budget = Budget()) -> Table:
-    """One JSON document per file: an object or an array of objects."""
+    """JSON documents, an object or an array of objects per file; arrays are read in byte ranges (``splitting``)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    starts = lines.filter(F.regexp_replace("value", "^\ufeff", "").rlike(r"[^ \t\r\n]")).groupBy("file").agg(F.min_by(F.substring(F.ltrim(F.regexp_replace("value", "^\ufeff", "")), 1, 1), "at").alias("c"))
+    if starts.filter("c <> '['").isEmpty() and not starts.isEmpty():
+        return _read_json_arrays(spark, path, budget)
     whole = spark.read.text(path, wholetext=True)
     _refuse_encoding(whole)
     first = whole.select(json_problem(F.col("value"), budget).alias("p")).filter("p is not null").first()
@@ -327,6 +299,17 @@ def read_json(spark: SparkSession, path: str, budget: Budget = Budget()) -> Tabl
     return _objects(values, "JSON", budget, "ordinal")
 
 
+def _read_json_arrays(spark: SparkSession, path: str, budget: Budget) -> Table:
+    records = split_records(spark, path, JsonArray())
+    inner = dataclasses.replace(budget, max_depth=budget.max_depth - 1)  # an object stands one level inside its array
+    first = records.filter("kind = 'record'").select(json_problem(F.col("text"), inner).alias("p")).filter("p is not null").first()
+    if first:
+        raise Refusal(first["p"], "the JSON document was refused")
+    _refuse_kinds(records)
+    values = _over_files(records).select(F.try_parse_json("text").alias("v"), "ordinal")
+    return _objects(values, "JSON", budget, "ordinal")
+
+
 def read_text(spark: SparkSession, path: str, format: str = "UTF8_TEXT", budget: Budget = Budget()) -> Table:
     """One record per physical line in the column ``text``."""
     specs = column_specs(["text"])
