@@ -11,6 +11,8 @@ from plumbline.session import Scratch
 
 #: Salts of the middle combine: no digest group is larger in one task than its local winners divided by this.
 SALTS = 16
+#: A class is hot with more rows than this, and than a ten-thousandth of all: so no more than 10,000 classes are hot.
+HOT_ROWS, HOT_CLASSES = 1_000, 10_000
 
 
 def normal_text(text: Column) -> Column:
@@ -32,7 +34,8 @@ def exact_duplicates(entries: DataFrame, *, salts: int = SALTS) -> DataFrame:
     Three combines, each keyed by the digest *and* the whole text, so that equal digests alone never
     merge two texts: every input partition first folds its own copies (the partial side of the aggregation),
     then folded rows meet under (digest, salt), where a third of all rows being one text is at most one row per
-    input partition dealt over ``salts`` groups, then the salt winners meet. Entries find their class by digest; only a
+    input partition dealt over ``salts`` groups, then the salt winners meet. Entries find their class by digest, those of a hot class
+    (at most 10,000 classes are, whose digests are sent to all tasks) under a salt; only a
     digest that stands for several texts (looked up, not assumed away) is joined by text as well.
 
     Defined cases: a null text is an empty one; repeated rows of one id count each and get the same
@@ -52,7 +55,13 @@ def exact_duplicates(entries: DataFrame, *, salts: int = SALTS) -> DataFrame:
         by_digest = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
         by_digest = scratch.freeze(by_digest)
         collide = by_digest.where("texts > 1").select("digest")
-        plain = rows.select("entry_id", "digest").join(by_digest.where("texts = 1").drop("texts"), "digest")
+        total = by_digest.agg(F.sum("group_size")).first()[0] or 0
+        is_hot = F.col("group_size") > max(HOT_ROWS, total // HOT_CLASSES)
+        hot = F.broadcast(by_digest.where(is_hot).select("digest", F.lit(True).alias("hot")))  # at most HOT_CLASSES digests
+        dealt = rows.select("entry_id", "digest").join(hot, "digest", "left")
+        dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("entry_id"), F.lit(salts)).cast("int")).otherwise(0))
+        shares = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+        plain = dealt.join(by_digest.where("texts = 1").withColumn("salt", shares).hint("merge"), ["digest", "salt"])
         if collide.isEmpty():
             scratch.keep()
             return result(plain)

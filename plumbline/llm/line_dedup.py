@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Salts of the join between line counts and host totals, so that a host with a third of all lines is dealt out.
+#: Salts of the joins between line counts and host totals and between pages and boilerplate lines, so that neither a host with a third
+#: of all lines nor a line on all of its pages is one task.
 HOST_SALTS = 32
 
 
@@ -19,7 +20,7 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.btrim(line, F.lit(" \t\r"))))
 
 
-def boilerplate_lines(evidence: DataFrame, *, max_ratio: float = 0.05, min_pages: int = 4) -> DataFrame:
+def boilerplate_lines(evidence: DataFrame, *, max_ratio: float = 0.05, min_pages: int = 2) -> DataFrame:
     """One row (``host``, ``line_md5``, ``pages``, ``host_pages``) per line above the ratio on its host.
 
     A page is one distinct extraction of a host: identical copies are one page, because copies are no
@@ -60,7 +61,7 @@ def boilerplate_lines(evidence: DataFrame, *, max_ratio: float = 0.05, min_pages
     )
 
 
-def drop_boilerplate_lines(evidence: DataFrame, *, max_ratio: float = 0.05, min_pages: int = 4) -> DataFrame:
+def drop_boilerplate_lines(evidence: DataFrame, *, max_ratio: float = 0.05, min_pages: int = 2) -> DataFrame:
     """Evidence with boilerplate lines removed from ``extraction``; adds ``n_lines`` and ``n_dropped``.
 
     Needs ``evidence_id``, ``source_locator`` and ``extraction``; every other column is carried through,
@@ -70,8 +71,7 @@ def drop_boilerplate_lines(evidence: DataFrame, *, max_ratio: float = 0.05, min_
     Defined cases: a row with a null locator or null extraction is returned unchanged (0 lines for null);
     an empty extraction stays empty; repeated rows get the same result each; an evidence id that occurs
     with several texts is cleaned in each of them; an empty table gives an empty table. An extraction whose
-    every line is boilerplate stays whole with ``n_dropped`` 0: then the page itself is what repeats, which
-    is for the duplicate operators to decide.
+    every line is boilerplate keeps only its blank lines: without any it becomes empty, with ``n_dropped`` = ``n_lines``.
 
     Only line digests travel; texts are shuffled at most once, to meet the digests to be dropped.
     """
@@ -81,9 +81,13 @@ def drop_boilerplate_lines(evidence: DataFrame, *, max_ratio: float = 0.05, min_
     filled = F.filter(split, lambda x: F.btrim(x, F.lit(" \t\r")) != "")
     digests = F.array_distinct(F.transform(filled, _key))
     bad = boilerplate_lines(evidence, max_ratio=max_ratio, min_pages=min_pages)
+    salts = F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))
+    salted = bad.select(F.col("host").alias("__host"), "line_md5", F.explode(salts).alias("__salt"))
     hits = (
-        rows.select(F.col("evidence_id").alias("__id"), "__host", F.explode(digests).alias("line_md5"))
-        .join(bad.select(F.col("host").alias("__host"), "line_md5"), ["__host", "line_md5"], "left_semi")
+        rows.select(
+            F.col("evidence_id").alias("__id"), "__host", F.pmod(F.xxhash64("evidence_id"), F.lit(HOST_SALTS)).cast("int").alias("__salt"), F.explode(digests).alias("line_md5")
+        )
+        .join(salted.hint("merge"), ["__host", "line_md5", "__salt"], "left_semi")
         .groupBy("__id", "__host")
         .agg(F.collect_set("line_md5").alias("__bad"))
         .withColumnRenamed("__host", "__hit_host")
@@ -92,11 +96,10 @@ def drop_boilerplate_lines(evidence: DataFrame, *, max_ratio: float = 0.05, min_
     n_lines = F.coalesce(F.size(filled), F.lit(0))
     is_bad = lambda x: (F.btrim(x, F.lit(" \t\r")) != "") & F.array_contains("__bad", _key(x))
     n_bad = F.when(F.col("__bad").isNull(), F.lit(0)).otherwise(F.size(F.filter(split, is_bad)))
-    whole = (F.col("__bad_lines") == 0) | (F.col("__bad_lines") == F.col("n_lines"))
     counted = joined.select(*carried, "__bad", n_lines.alias("n_lines"), n_bad.alias("__bad_lines"))
-    cleaned = F.when(whole, F.col("extraction")).otherwise(F.array_join(F.filter(split, lambda x: ~is_bad(x)), "\n"))
+    cleaned = F.when(F.col("__bad_lines") == 0, F.col("extraction")).otherwise(F.array_join(F.filter(split, lambda x: ~is_bad(x)), "\n"))
     return counted.select(
         *[cleaned.alias("extraction") if c == "extraction" else F.col(f"`{c}`") for c in evidence.columns if c not in ("n_lines", "n_dropped")],
         F.col("n_lines").cast("long").alias("n_lines"),
-        F.when(whole, F.lit(0)).otherwise(F.col("__bad_lines")).cast("long").alias("n_dropped"),
+        F.col("__bad_lines").cast("long").alias("n_dropped"),
     )

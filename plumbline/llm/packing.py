@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -108,7 +107,8 @@ def pack_entries(
 ) -> DataFrame:
     """Pieces of all entries in sequences of at most ``context`` tokens.
 
-    An entry's tokens are the ids of its whole ``exact_text`` and then ``end_id``. Each input partition keeps
+    An entry's tokens are the ids of its whole ``exact_text`` as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them (a special
+    token that stands in the text is that token) and then ``end_id``. Each input partition keeps
     ``open_windows`` windows: a piece goes into the fullest window that still holds it; when none does and no further
     window may be opened, the fullest is completed with the beginning of the piece (if its gap is at
     least ``min_cut`` tokens; smaller gaps stay padding) and emitted. Entries longer than a window are cut into
@@ -139,18 +139,18 @@ def pack_entries(
         yield from _batches([row for window in packer.open for row in window.rows(False)], arrow)
 
     def merge(level: int, last: bool):
-        def merged(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["sequence_id", "offset"])
-            packer = _Packer(context, open_windows, min_cut, _sequence_base(level, int(frame["part"].iloc[0])))
+        def merged(table: pa.Table) -> pa.Table:
+            # Ids stay Arrow values throughout: long ids beside null ones are not numbers of a data frame.
+            table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+            packer = _Packer(context, open_windows, min_cut, _sequence_base(level, table.column("part")[0].as_py()))
+            columns = (table.column(c).to_pylist() for c in ("entry_id", "start", "ids", "entry_tokens"))
             out = []
-            for row in frame.itertuples(index=False):
-                ids = np.frombuffer(row.ids, "<u4").astype(np.uint32)
-                for window in packer.place((None if pd.isna(row.entry_id) else row.entry_id, row.start, ids, row.entry_tokens)):
+            for entry_id, start, ids, total in zip(*columns, strict=True):
+                for window in packer.place((entry_id, start, np.frombuffer(ids, "<u4").astype(np.uint32), total)):
                     out += window.rows(True)
             for window in packer.finish() if last else packer.open:
                 out += window.rows(last)
-            made = pd.DataFrame(out, columns=schema.names)
-            return made.astype({"entry_id": "Int64"}) if isinstance(id_type, (T.LongType, T.IntegerType)) else made
+            return pa.Table.from_batches(_batches(out, arrow), schema=arrow)
 
         return merged
 
@@ -166,7 +166,7 @@ def pack_entries(
         while True:
             level, parts = level + 1, -(-parts // MERGE_GROUP)
             left = stored.where("ids is not null").withColumn("part", F.floor(part / MERGE_GROUP).cast("long"))
-            stored = scratch.freeze(left.groupBy("part").applyInPandas(merge(level, parts == 1), schema))
+            stored = scratch.freeze(left.groupBy("part").applyInArrow(merge(level, parts == 1), schema))
             done.append(stored.where("ids is null").select(shown))
             if parts == 1:
                 break

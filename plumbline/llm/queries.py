@@ -55,7 +55,7 @@ with page as (select distinct source, text from documents where source is not nu
      page_line as (select distinct source, text, trim(l, e' \t\r') as line from (select source, text, unnest(string_split(text, e'\n')) as l from page)),
      counted as (select source, line, count(*) as n from page_line where line <> '' group by all),
      host as (select source, count(*) as total from page group by all),
-     bad as (select c.source, c.line from counted c join host h using (source) where c.n >= 4 and c.n > 0.05 * h.total),
+     bad as (select c.source, c.line from counted c join host h using (source) where c.n >= 2 and c.n > 0.05 * h.total),
      doc as (select doc_id, source, text, string_split(text, e'\n') as ls from documents),
      row_line as (select doc_id, source, text, i, ls[i] as l, trim(ls[i], e' \t\r') as line
                   from (select *, unnest(range(1, len(ls) + 1)) as i from doc)),
@@ -65,9 +65,9 @@ with page as (select distinct source, text from documents where source is not nu
                        string_agg(l, e'\n' order by i) filter (not is_bad) as kept
                 from marked group by all)
 select d.doc_id,
-       case when coalesce(f.n_bad, 0) in (0, f.n_lines) then d.text else coalesce(f.kept, '') end as text,
+       case when coalesce(f.n_bad, 0) = 0 then d.text else coalesce(f.kept, '') end as text,
        coalesce(f.n_lines, 0)::bigint as n_lines,
-       case when coalesce(f.n_bad, 0) = f.n_lines then 0 else coalesce(f.n_bad, 0) end::bigint as n_dropped
+       coalesce(f.n_bad, 0)::bigint as n_dropped
 from documents d left join folded f
   on d.doc_id is not distinct from f.doc_id and d.source is not distinct from f.source and d.text is not distinct from f.text
 """

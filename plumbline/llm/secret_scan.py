@@ -7,6 +7,7 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,7 +122,9 @@ def scan_text(text: str | None, allow_sha256: frozenset[str] = frozenset()) -> l
     """All spans of a whole text, by start, then kind. An entropy span inside a declared one is not repeated."""
     text = text or ""
     base = base_spans(text)
-    more = [s for s in entropy_spans(text, allow_sha256) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+    starts = [b[0] for b in sorted(base)]
+    reach = list(accumulate((b[1] for b in sorted(base)), max))  # how far the declared spans up to each one go
+    more = [s for s in entropy_spans(text, allow_sha256) if not (n := bisect_right(starts, s[0])) or reach[n - 1] < s[1]]
     return sorted(base + more, key=lambda s: (s[0], ORDER[s[2]], s[1]))
 
 

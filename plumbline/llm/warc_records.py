@@ -7,6 +7,7 @@ import hashlib
 import html
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -20,7 +21,6 @@ VERSION = "WARC/1.1"
 #: Elements that are no text, and those after which a line ends (fixed values).
 _HIDDEN = "script|style|noscript|template|svg"
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _COMMENT = r"<!--.*?(?:-->|\Z)"
 #: A head ends before the first text or element that cannot stand in one: its own end tag and that of the page's start are optional.
 _HEAD = (
@@ -28,32 +28,115 @@ _HEAD = (
     + "|".join(rf"<{name}\b[^>]*>.*?(?:</{name}\s*>|\Z)" for name in ("title", "script", "style", "noscript", "template"))
     + r"|</?(?:meta|link|base|basefont|bgsound)\b[^>]*>|<[!?][^>]*>)*+(?:</head\s*>)?"
 )
-_MARKUP = re.compile(
-    rf"{_COMMENT}|{_HEAD}|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?/>|<(?P<hidden>{_HIDDEN})\b[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)"
-    rf"|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)\b{_ATTRIBUTES}>|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
+_HEAD_AT = re.compile(_HEAD, re.DOTALL | re.IGNORECASE)
+_HIDDEN_AT = re.compile(rf"<({_HIDDEN})\b", re.IGNORECASE)
+_NAME_AT = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)\b")
+_CLOSE_OF = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in [*_HIDDEN.split("|"), "title"]}
+_TITLE = re.compile(r"<title\b[^>]*>", re.IGNORECASE)
+_ANCHOR = re.compile(r"<a\b", re.IGNORECASE)
+_HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
+_HREF_AT = re.compile(r"\bhref\s*=", re.IGNORECASE)
+_STOP = re.compile("[>\"']")
 _SPACE = re.compile(r"[^\S\n]+")
 
 
+class _Markup:
+    """One forward pass over a page: where each piece of markup ends and what stands for it in the text.
+
+    Time is linear in the page whatever it holds: a tag that is never closed is left as it stands, and the quotes that led its search to
+    the end of the page are remembered, so no search goes there twice.
+    """
+
+    def __init__(self, page: str):
+        self._page, self._dead = page, set()
+        self._last_close = page.rfind(">")
+        self._last_stop = max(self._last_close, page.rfind('"'), page.rfind("'"))
+
+    def _tag_end(self, at: int) -> int:
+        """The place behind the closing bracket of a tag, which stands outside quotes; -1 if there is none."""
+        trail = []
+        while at <= self._last_stop:
+            stop = _STOP.search(self._page, at)
+            if stop.group() == ">":
+                return stop.end()
+            trail.append(stop.start())
+            close = -1 if stop.start() in self._dead else self._page.find(stop.group(), stop.end())
+            if close < 0:
+                break
+            at = close + 1
+        self._dead.update(trail)
+        return -1
+
+    def at(self, i: int) -> tuple[int, str] | None:
+        """End and replacement of the markup that begins with the bracket at ``i``; None if that is plain text."""
+        page = self._page
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            return (len(page) if end < 0 else end + 3), " "
+        if i > self._last_close:
+            return None
+        if head := _HEAD_AT.match(page, i):
+            return head.end(), " "
+        if hidden := _HIDDEN_AT.match(page, i):
+            name = hidden[1].lower()
+            if name == "svg" and (end := self._tag_end(hidden.end())) > 0 and page[end - 2] == "/":
+                return end, " "
+            close = _CLOSE_OF[name].search(page, page.index(">", hidden.end()) + 1)
+            return (close.end() if close else len(page)), " "
+        if name := _NAME_AT.match(page, i):
+            end = self._tag_end(name.end())
+            return (end, "\n" if name[1].lower() in _BLOCKS else "") if end > 0 else None
+        if page[i + 1 : i + 2] in ("!", "?"):
+            return page.index(">", i + 2) + 1, " "
+        return None
+
+
 def plain_text(page: str) -> str:
     """The visible text of a page: one line per block element, entities resolved, runs of blanks made one."""
-    shown = _MARKUP.sub(lambda m: "\n" if (m["name"] or "").lower() in _BLOCKS else "" if m["name"] else " ", page)
-    lines = (_SPACE.sub(" ", line).strip() for line in html.unescape(shown).split("\n"))
+    markup, shown, done = _Markup(page), [], 0
+    at = page.find("<")
+    while at >= 0:
+        if found := markup.at(at):
+            shown += [page[done:at], found[1]]
+            done = found[0]
+        at = page.find("<", done if found else at + 1)
+    shown.append(page[done:])
+    lines = (_SPACE.sub(" ", line).strip() for line in html.unescape("".join(shown)).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def title_of(page: str) -> str | None:
+    """What stands in the first title element that is closed."""
+    begin = _TITLE.search(page)
+    close = begin and _CLOSE_OF["title"].search(page, begin.end())
+    return page[begin.end() : close.start()] if close else None
+
+
 def outlinks(page: str, base: str) -> list[str]:
     """Link targets in order, each once, made absolute; a target that is no URL is kept as written."""
-    found = []
-    for m in _LINK.finditer(page):
-        target = html.unescape(next(g for g in m.groups() if g is not None)).strip()
-        try:
-            found.append(urljoin(base, target))
-        except ValueError:
-            found.append(target)
+    found, hrefs, done, next_close, broken = [], [m.start() for m in _HREF_AT.finditer(page)], 0, -1, set()
+    for anchor in _ANCHOR.finditer(page):
+        if anchor.start() < done:
+            continue
+        if next_close < anchor.end():
+            next_close = page.find(">", anchor.end())
+            next_close = len(page) if next_close < 0 else next_close
+        for n in range(bisect_left(hrefs, anchor.end()), len(hrefs)):
+            if hrefs[n] > next_close:
+                break
+            if hrefs[n] in broken:
+                continue
+            m = _HREF.match(page, hrefs[n])
+            if m is None:
+                broken.add(hrefs[n])
+            else:
+                done = m.end()
+                target = html.unescape(next(g for g in m.groups() if g is not None)).strip()
+                try:
+                    found.append(urljoin(base, target))
+                except ValueError:
+                    found.append(target)
+                break
     return list(dict.fromkeys(" ".join(f.split()) for f in found))
 
 
@@ -127,10 +210,10 @@ def derived_records(responses: DataFrame) -> DataFrame:
                 text = plain_text(body)
                 converted = text.encode("utf-8", "surrogatepass")
                 conversion, metadata = record_id("conversion", source), record_id("metadata", source)
-                title = _TITLE.search(body)
+                title = title_of(body)
                 fields = [("source-header", line) for line in headers.split("\r\n") if line]
                 fields += [("source-payload-digest", payload_digest), ("source-block-digest", block_digest), ("conversion", conversion), ("host", host or "")]
-                fields += [("title", plain_text(title.group(1)))] if title else []
+                fields += [("title", plain_text(title))] if title is not None else []
                 fields += [("outlink", link) for link in outlinks(body, uri)]
                 block = "".join(f"{k}: {_clean(v)}\r\n" for k, v in fields if v)
                 described = block.encode("utf-8", "surrogatepass")

@@ -37,10 +37,12 @@ def test_line_dedup_edge_cases(spark):
     assert drop_boilerplate_lines(frame.limit(0)).count() == 0
 
 
-def test_page_of_boilerplate_alone_stays(spark):
-    rows = [(n, "h", f"frame\nbody {n}") for n in range(8)] + [(9, "h", "frame")]
-    out = {r.evidence_id: r.extraction for r in drop_boilerplate_lines(spark.createDataFrame(rows, "evidence_id long, source_locator string, extraction string")).collect()}
-    assert out[9] == "frame" and out[0] == "body 0"
+def test_page_of_boilerplate_alone_is_emptied(spark):
+    rows = [(f"EV-{n}", "h", f"frame\nmenu\nbody {n}") for n in range(8)] + [("EV-8", "h", "frame\nmenu"), ("EV-9", "h", "menu\n\nframe")]
+    rows += [("EV-a", "two", "both\none"), ("EV-b", "two", "both\nother"), ("EV-c", "one", "alone")]  # on both pages of a host of two
+    out = {r.evidence_id: (r.extraction, r.n_lines, r.n_dropped) for r in drop_boilerplate_lines(spark.createDataFrame(rows, "evidence_id string, source_locator string, extraction string")).collect()}
+    assert (out["EV-0"], out["EV-8"], out["EV-9"]) == (("body 0", 3, 2), ("", 2, 2), ("", 2, 2))
+    assert (out["EV-a"], out["EV-b"], out["EV-c"]) == (("one", 2, 1), ("other", 2, 1), ("alone", 1, 0))
 
 
 def test_host(spark):
