@@ -29,51 +29,54 @@ def _fold(parts: Column) -> Column:
     return F.sha2(F.array_join(F.sort_array(F.collect_list(parts)), ","), 256)
 
 
-def multiset_digest(hashes: DataFrame, column: str = "record_sha256", copies: str | None = None) -> DataFrame:
-    """One row (row_count, distinct_count, records_sha256), whatever the row order.
+def multiset_digest(hashes: DataFrame, column: str = "record_sha256", copies: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (row_count, distinct_count, records_sha256), whatever the row order; one per value of ``by`` if that is given.
 
     ``copies`` names the count of already distinct hashes, which saves the counting shuffle.
     """
     if copies:
-        counted = hashes.select(F.col(column).alias("_h"), F.col(copies).alias("_n"))
+        counted = hashes.select(*by, F.col(column).alias("_h"), F.col(copies).alias("_n"))
     else:
-        counted = hashes.groupBy(F.col(column).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    leaf = counted.groupBy(F.substring("_h", 1, LEAF_PREFIX).alias("_p")).agg(
+        counted = hashes.groupBy(*by, F.col(column).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    leaf = counted.groupBy(*by, F.substring("_h", 1, LEAF_PREFIX).alias("_p")).agg(
         _fold(F.concat_ws(":", "_h", F.col("_n").cast("string"))).alias("_d"),
         F.sum("_n").alias("_rows"),
         F.count(F.lit(1)).alias("_distinct"),
     )
-    inner = leaf.groupBy(F.substring("_p", 1, INNER_PREFIX).alias("_q")).agg(
+    inner = leaf.groupBy(*by, F.substring("_p", 1, INNER_PREFIX).alias("_q")).agg(
         _fold(F.concat_ws("=", "_p", "_d")).alias("_d"),
         F.sum("_rows").alias("_rows"),
         F.sum("_distinct").alias("_distinct"),
     )
-    return inner.agg(
+    return inner.groupBy(*by).agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum("_distinct"), F.lit(0)).alias("distinct_count"),
         _fold(F.concat_ws("=", "_q", "_d")).alias("records_sha256"),
     )
 
 
-def order_digest(positioned: DataFrame, ordinal: str = "ordinal", column: str = "record_sha256") -> DataFrame:
-    """One row (order_sha256) over hashes in the order of a unique 0-based ordinal."""
-    level = positioned.select(F.col(ordinal).cast("long").alias("_i"), F.col(column).alias("_d"))
+def order_digest(positioned: DataFrame, ordinal: str = "ordinal", column: str = "record_sha256", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (order_sha256) over hashes in the order of a unique 0-based ordinal; one per value of ``by`` if that is given.
+
+    A repeated ordinal is refused; with ``by`` the digest of its table says so instead, so that the others are still told.
+    """
+    refused = F.lit("ORDINAL_NOT_UNIQUE") if by else F.raise_error(F.lit("ORDINAL_NOT_UNIQUE"))
+    level = positioned.select(*by, F.col(ordinal).cast("long").alias("_i"), F.col(column).alias("_d"))
     for _ in range(BLOCK_LEVELS):
         entries = F.sort_array(F.collect_list(F.struct("_i", "_d")))
         level = (
-            level.groupBy(F.expr(f"_i div {BLOCK}").alias("_b"))
+            level.groupBy(*by, F.expr(f"_i div {BLOCK}").alias("_b"))
             .agg(entries.alias("_e"))
             .select(
+                *by,
                 F.col("_b").alias("_i"),
-                F.when(
-                    F.size(F.array_distinct(F.col("_e._i"))) != F.size("_e"),
-                    F.raise_error(F.lit("ORDINAL_NOT_UNIQUE")),
-                )
+                F.when(F.size(F.array_distinct(F.col("_e._i"))) != F.size("_e"), refused)
+                .when(F.array_contains("_e._d", "ORDINAL_NOT_UNIQUE"), F.lit("ORDINAL_NOT_UNIQUE"))
                 .otherwise(F.sha2(F.array_join(F.col("_e._d"), ","), 256))
                 .alias("_d"),
             )
         )
-    return level.agg(F.coalesce(F.max("_d"), F.lit(EMPTY)).alias("order_sha256"))
+    return level.groupBy(*by).agg(F.coalesce(F.max("_d"), F.lit(EMPTY)).alias("order_sha256"))
 
 
 def with_positions(frame: DataFrame, order: list[Column], name: str = "position", step: str | None = None, store: Callable[[DataFrame], DataFrame] = freeze) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.canon import key_hash, record_hash
 from plumbline.operators import contracts, delta, evidence, integrity
 from plumbline.plans.registry import KINDS, query, sql_hash, table
+from plumbline.session import checkpoint_dir, freeze
+from plumbline.sources import versions
 
 # ---- two versions of orders -------------------------------------------------------------
 # The right version drops, changes, unkeys, repeats and adds orders by their priority and
@@ -101,6 +105,44 @@ def reconciled_rows(spark: SparkSession, d: str) -> DataFrame:
     return delta.reconcile(left, right.withColumn("review", F.concat("o_orderstatus", F.lit("!"))), ["o_orderkey"], "ordinal")
 
 
+def _store(spark: SparkSession) -> versions.VersionStore:
+    return versions.VersionStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex}")
+
+
+@query("reconciled_version", f"""with {_VERSIONS}
+select ordinal, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, null::varchar as review, 2::bigint as parents, 'annotated;priced' as annotations, 'a;b;c' as sources from left_
+union all select ordinal + (select max(ordinal) + 1 from left_), o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, o_orderstatus || '!', 2, 'annotated;priced', 'a;b;c' from right_""")
+def reconciled_version(spark: SparkSession, d: str) -> DataFrame:
+    """Two published versions of orders reconciled into a third: its stored records and what its manifest merged."""
+    left, right = order_versions(spark, d)
+    store = _store(spark)
+    first = store.publish(left, "CSV", ["b", "a"], annotations=["priced"])
+    second = store.publish(right.withColumn("review", F.concat("o_orderstatus", F.lit("!"))), "CSV", ["c", "a"], annotations=["annotated", "priced"])
+    third = store.reconcile(first, second, ["o_orderkey"])
+    bound = store.manifests().filter(F.col("snapshot_id") == third).select(
+        F.size("parents").cast("long").alias("parents"), F.array_join("annotations", ";").alias("annotations"), F.array_join("sources", ";").alias("sources"))
+    return store.load(third).drop("record_sha256").join(F.broadcast(bound))
+
+
+@query("lineage_verification", """
+with changed as (select count(*) as n from orders where o_orderstatus = 'P' and o_orderpriority = '2-HIGH')
+select 'second' as version, unnest(['RECORD_HASH', 'RECORDS_DIGEST', 'ORDER_DIGEST', 'IDENTITY']) as problem from changed where n > 0
+union all select 'fourth', 'PARENT_MISSING' from changed""")
+def lineage_verification(spark: SparkSession, d: str) -> DataFrame:
+    """Four versions of orders, one of them tampered with after it was published and one with an unknown parent, checked in one job."""
+    orders = table(spark, d, "orders").select(*_KEPT, F.col("o_orderkey").alias("ordinal"))
+    store = _store(spark)
+    first = store.publish(orders.filter("o_orderstatus = 'F'"), "CSV", ["a"])
+    second = store.publish(orders.filter("o_orderstatus = 'P'"), "CSV", ["b"], [first])
+    third = store.reconcile(first, second, ["o_orderkey"])
+    fourth = store.publish(orders.filter("o_orderstatus = 'O'"), "JSONL", ["c"], [third, "snap-unknown"])
+    path = store.manifest(second)["records_path"]
+    dearer = F.when(F.col("o_orderpriority") == "2-HIGH", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    freeze(spark.read.parquet(path).withColumn("o_totalprice", dearer)).write.mode("overwrite").parquet(path)
+    named = F.when(F.col("snapshot_id") == second, "second").when(F.col("snapshot_id") == third, "third").when(F.col("snapshot_id") == fourth, "fourth").otherwise("first")
+    return store.verify_lineage(fourth).select(named.alias("version"), "problem")
+
+
 @query("delta_entry_contract", """select 'LEFT/' || o_orderkey as subject, '/classification' as pointer, 'ENUM' as problem from orders where false""")
 def delta_entry_contract(spark: SparkSession, d: str) -> DataFrame:
     return contracts.delta_entry_violations(delta_ledger(spark, d))

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,9 +123,42 @@ def test_versions(spark, tmp_path):
     path = store._path(first)
     tampered = store.load(first).withColumn(a.ids[1], F.lit("zz")).collect()
     spark.createDataFrame(tampered, store.load(first).schema).write.mode("overwrite").parquet(path)
-    assert {"RECORD_HASH", "RECORDS_DIGEST"} <= {r["problem"] for r in store.verify(first).collect()}
-    with pytest.raises(Refusal):
-        store.load("snap-none")
+    assert {"RECORD_HASH", "RECORDS_DIGEST", "PROFILE"} <= {r["problem"] for r in store.verify(first).collect()}
+    assert {r["snapshot_id"] for r in store.verify_lineage(second).collect()} == {first}
+    for snapshot in ("snap-none", first):
+        with pytest.raises(Refusal):
+            store.load(snapshot)
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    store = versions.VersionStore(spark, str(tmp_path / "store"))
+    frame = spark.createDataFrame([(0, "a"), (1, "b")], "ordinal long, id string")
+    with ThreadPoolExecutor(4) as pool:
+        names = set(pool.map(lambda _: store.publish(frame, "CSV", ["s"]), range(4)))
+    assert len(names) == 1 and store.manifests().count() == 1
+    folders = [p.name for p in (tmp_path / "store" / "records").iterdir()]
+    assert len(folders) == 1 and store.load(names.pop()).count() == 2
+    empty = store.publish(frame.limit(0), "CSV")
+    assert store.verify(empty).count() == 0
+
+
+def test_reconciled_versions_are_verified_with_their_ledger(spark, tmp_path):
+    store = versions.VersionStore(spark, str(tmp_path / "store"))
+    schema = "ordinal long, id string, v string"
+    left = store.publish(spark.createDataFrame([(0, "1", "a"), (1, "2", "b"), (2, "3", "c"), (3, "4", "exact"), (4, "7", "x")], schema), "CSV", ["l"])
+    right = store.publish(spark.createDataFrame([(0, "1", "a"), (1, "2", "b2"), (2, "4", "exact"), (3, "6", "new"), (4, "7", "y"), (5, "7", "z")], schema), "CSV", ["r"])
+    both = store.reconcile(left, right, ["id"])
+    assert store.reconcile(left, right, ["id"]) == both and store.verify(both).count() == 0
+    bound = store.manifest(both)
+    assert (bound["parents"], bound["sources"], bound["record_count"], bound["key_columns"]) == ([left, right], ["l", "r"], 11, ["id"])
+    assert [r["ordinal"] for r in store.load(both).orderBy("ordinal").collect()] == list(range(11))
+    path = f"{store.root}/deltas/delta_sha256={bound['delta_sha256']}"
+    ledger = spark.createDataFrame(spark.read.parquet(path).collect()[1:], spark.read.parquet(path).schema)
+    ledger.write.mode("overwrite").parquet(path)
+    assert {r["problem"] for r in store.verify(both).collect()} == {"DELTA_LEDGER"}
+    with pytest.raises(Refusal) as caught:
+        store.reconcile(left, right, ["none"])
+    assert caught.value.code == "DATA_RECONCILIATION_KEY_INVALID"
 
 
 def test_checkpoint_rows(spark):
