@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.components import components
+from plumbline.llm.components import components, dealt_join
 from plumbline.session import Scratch
 
-#: Values of a signature, and values added to a prefix per level. 24 orders of depth 4 miss a pair at
-#: similarity 0.75 with probability (1 - 0.75 ** 4) ** 24 = 1.1e-4, at 0.8 with 3.3e-6.
-VALUES, DEPTH = 96, 4
-ORDERS = VALUES // DEPTH
-#: A region of at most so many shingles (4 MiB), or of so few entries, is compared whole in one group; a larger one
-#: is entered deeper, at most until all values have had their turn.
+#: Values of a signature; orders of the forest; values of a label by which an order is sorted. A pair at similarity 0.75 shares no
+#: four leading values in any order with probability (1 - 0.75 ** 4) ** 24 = 1.1e-4; at 0.8 with 3.3e-6.
+VALUES, ORDERS, LABEL = 96, 24, 8
+#: Leading values at which runs of a sorted order are told apart: the usual depth, shallower ones for entries alone there, deeper ones for crowds.
+DEPTH, SHALLOWER, DEEPER = 4, (3, 2), (6, 8)
+#: A shallower run is taken up to so many entries: a larger one is no neighbourhood of its lonely entry.
+SHALLOW = 64
+#: A region of at most so many shingles (8 MiB), or of so few entries, is compared whole in one group; a larger one is first entered deeper,
+#: and what is then still open is compared in tiles of that size.
 REGION, FEW = 1_000_000, 16
-#: Orders and values by which a crowded region is entered deeper.
-SUB_ORDERS, SUB_DEPTH = 4, 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,34 +69,29 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = "entry_id long, n_shingles long, set_digest binary, signature binary"
-_SETS = "entry_id long, shingles binary"
+#: For each order the values of its label: four of its own, then others.
+_PLACES = np.array([[*(own := range(DEPTH * n, DEPTH * n + DEPTH)), *_RANDOM.permutation(np.setdiff1d(np.arange(VALUES), own))[: LABEL - DEPTH]] for n in range(ORDERS)])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests, signatures = [], [], []
+        sizes, nodes, signatures = [], [], []
         for text in batch.column(1):
             shingles = shingle_hashes(text.as_py())
             sizes.append(len(shingles))
-            digests.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
+            nodes.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
             signatures.append(signature(shingles).astype(">u4").tobytes() if len(shingles) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-            names=["entry_id", "n_shingles", "set_digest", "signature"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(signatures, pa.binary())],
+            names=["entry_id", "n_shingles", "node", "signature"],
         )
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_hashes(t.as_py()).astype("<u8").tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["entry_id", "shingles"])
-
-
-def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.unique((shingle_hashes(t.as_py()) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["entry_id", "short_set"])
+        sets = [shingle_hashes(t.as_py()) for t in batch.column(0)]
+        nodes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,172 +106,273 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _confirmed(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The candidate pairs that are linked, by their full sets; only entries in a pair send their set."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("entry_id")).distinct()
-    # Neither ids nor sets are of bounded size, so they are never broadcast: the plan is the same at every size.
-    sets = entries.join(ids.hint("merge"), "entry_id", "left_semi").select("entry_id", "exact_text").mapInArrow(_whole_sets, _SETS)
-    left = pairs.join(sets.select(F.col("entry_id").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
-    both = left.join(sets.select(F.col("entry_id").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long")
-
-
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First level: the region of an entry in each order is the hash of the order's first values."""
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per order: the leading values by which the entry is sorted there."""
     for batch in batches:
-        ids = np.array(batch.column(0))
-        values = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), ">u4").astype(np.uint64).reshape(len(ids), ORDERS, DEPTH)
-        yield _region_rows(np.zeros((len(ids), ORDERS), np.uint64), values, ids, np.tile(np.arange(ORDERS), (len(ids), 1)))
-
-
-def _region_rows(above: np.ndarray, values: np.ndarray, ids: np.ndarray, orders: np.ndarray) -> pa.RecordBatch:
-    with np.errstate(over="ignore"):
-        key = _mixed(above + orders.astype(np.uint64) * _MIX + np.uint64(1))
-        for k in range(values.shape[2]):
-            key = _mixed((key + _MIX) ^ values[:, :, k])
-    wide = np.repeat(ids, orders.shape[1])
-    return pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(wide, pa.int64())], names=["region", "entry_id"])
-
+        values = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), ">u4").reshape(batch.num_rows, VALUES)
+        labels = values[:, _PLACES].reshape(-1, LABEL)
+        row = np.repeat(np.arange(batch.num_rows), ORDERS)
+        data = pa.py_buffer(labels.tobytes())
+        ends = pa.py_buffer(np.arange(0, 4 * LABEL * (len(labels) + 1), 4 * LABEL, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), batch.num_rows)), pa.BinaryArray.from_buffers(pa.binary(), len(labels), [None, ends, data]),
+             batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row))],
+            names=["order", "label", "node", "n"],
+        )
 
-def _deeper(level: int):
-    """Next level of crowded regions: two more values in each of four other orders, so that recall is kept at more depth."""
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            regions, ids = np.array(batch.column(0)).view(np.uint64), np.array(batch.column(1))
-            values = np.frombuffer(b"".join(x.as_py() for x in batch.column(2)), ">u4").astype(np.uint64).reshape(len(ids), VALUES)
-            # The values depend on the region, so that regions of different orders do not repeat each other.
-            at = (regions[:, None] + np.arange(SUB_ORDERS * SUB_DEPTH, dtype=np.uint64) * np.uint64(37) + np.uint64(level * 11)) % np.uint64(VALUES)
-            chosen = np.take_along_axis(values, at.astype(np.int64), axis=1).reshape(len(ids), SUB_ORDERS, SUB_DEPTH)
-            orders = np.tile(np.arange(SUB_ORDERS), (len(ids), 1))
-            yield _region_rows(np.repeat(regions[:, None], SUB_ORDERS, axis=1), chosen, ids, orders)
+_RUNS = [min(SHALLOWER), *sorted(SHALLOWER)[1:], DEPTH, *DEEPER]
 
-    return enter
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of one sorted stretch that have a neighbour with a common prefix of two values or more, with the run they are in at each depth.
 
-def _open_links(frame: pd.DataFrame) -> pd.DataFrame:
-    """Candidate links between the components of one region, from the sets of all its members.
+    A run is all that share so many leading values, so its name is a hash of the order and of these. The first and last entry of a
+    stretch may have their neighbour in the next one, so they are kept whatever they are.
+    """
+    last = None
+
+    def named(order: np.ndarray, values: np.ndarray, node: pa.Array, n: pa.Array, keep: np.ndarray) -> pa.RecordBatch:
+        order, values, at = order[keep], values[keep], pa.array(np.flatnonzero(keep))
+        names = []
+        with np.errstate(over="ignore"):
+            for depth in _RUNS:
+                key = _mixed(order.astype(np.uint64) * _MIX + np.uint64(depth))
+                for k in range(depth):
+                    key = _mixed((key + _MIX) ^ values[:, k])
+                names.append(pa.array(key.view(np.int64)))
+        return pa.RecordBatch.from_arrays([node.take(at), n.take(at), *names], names=["node", "n", *(f"run_{d}" for d in _RUNS)])
 
-    Every member outside the most frequent component is counted against all others through the shingles they share. The sets
-    hold the upper 32 bits of each hash, so a pair is a candidate from 0.74 on; components are taken as joined from 0.76
-    on, which is beyond any doubt of the shorter hashes, and only pairs between components not yet joined are returned.
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        order = np.array(batch.column(0))
+        values = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), ">u4").astype(np.uint64).reshape(batch.num_rows, LABEL)
+        near = (order[1:] == order[:-1]) & (values[1:, : _RUNS[0]] == values[:-1, : _RUNS[0]]).all(axis=1)
+        keep = np.append(near, False)
+        keep[1:] |= near
+        # The last row waits for the next batch, where its own neighbour before it is not seen again.
+        keep[0] |= last is None or carried
+        carried, last = bool(keep[-1]) and len(keep) > 1, batch.slice(batch.num_rows - 1)
+        keep[-1] = False
+        yield named(order, values, batch.column(2), batch.column(3), keep)
+    if last is not None:
+        values = np.frombuffer(last.column(1)[0].as_py(), ">u4").astype(np.uint64).reshape(1, LABEL)
+        yield named(np.array(last.column(0)), values, last.column(2), last.column(3), np.ones(1, bool))
+
+
+def _short(sets: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.unique((np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(32)).astype("<u4")) for x in sets]
+
+
+def _candidates(xs: list[np.ndarray], x_parts: list, ys: list[np.ndarray], y_parts: list) -> Iterator[tuple[int, int]]:
+    """Candidate links (x, y) between different components, by counting each x against all y through the shingles that they share.
+
+    The sets hold the upper 32 bits of each hash, so a pair is a candidate from 0.74 on; components are taken as joined from 0.76
+    on, which is beyond any doubt of the shorter hashes, and only pairs between components not yet joined are given.
     """
-    frame = frame.sort_values("entry_id")
-    ids, parts = frame["entry_id"].to_numpy(), frame["component"].to_numpy()
-    sets = [np.frombuffer(x, "<u4") for x in frame["short_set"]]
-    sizes = np.array([len(x) for x in sets])
-    owners = np.repeat(np.arange(len(ids)), sizes)
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    by_code = np.argsort(code, kind="stable")
-    per_code = np.bincount(code)
-    posting, first = owners[by_code], np.cumsum(per_code) - per_code
-    begins = np.cumsum(sizes) - sizes
-    names, frequency = np.unique(parts, return_counts=True)
-    main = names[np.argmax(frequency)]
-    joined = {}
+    sizes = np.array([len(y) for y in ys])
+    names, code = np.unique(np.concatenate(ys), return_inverse=True)
+    posting = np.repeat(np.arange(len(ys)), sizes)[np.argsort(code, kind="stable")]
+    per_code = np.bincount(code, minlength=len(names))
+    first = np.cumsum(per_code) - per_code
+    numbers = {part: n for n, part in enumerate(dict.fromkeys([*x_parts, *y_parts]))}
+    x_numbers, y_numbers = ([numbers[p] for p in parts] for parts in (x_parts, y_parts))
+    y_array, joined = np.array(y_numbers), {}
 
     def root(part: int) -> int:
         while part in joined:
             part = joined[part]
         return part
 
-    out = []
-    for x in np.nonzero(parts != main)[0].tolist():
-        codes = code[begins[x] : begins[x] + sizes[x]]
+    for n, x in enumerate(xs):
+        codes = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        codes = codes[names[codes] == x]
         runs = per_code[codes]
         at = np.repeat(first[codes] - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
-        shared = np.bincount(posting[at], minlength=len(ids))
-        union = sizes + sizes[x] - shared
-        near = np.nonzero((100 * shared >= 74 * union) & (parts != parts[x]))[0]
-        for y in near[np.argsort(-shared[near] / union[near], kind="stable")].tolist():
-            mine, other = root(parts[x]), root(parts[y])
+        shared = np.bincount(posting[at], minlength=len(ys))
+        union = sizes + len(x) - shared
+        near = np.flatnonzero((100 * shared >= 74 * union) & (y_array != x_numbers[n]))
+        for m in near[np.argsort(-shared[near] / union[near], kind="stable")].tolist():
+            mine, other = root(x_numbers[n]), root(y_numbers[m])
             if mine != other:
-                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-                if 100 * shared[y] >= 76 * union[y]:
+                yield n, m
+                if 100 * shared[m] >= 76 * union[m]:
                     joined[max(mine, other)] = min(mine, other)
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def near_duplicates(entries: DataFrame) -> DataFrame:
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table({"a": pa.array([min(p) for p in found], pa.binary()), "b": pa.array([max(p) for p in found], pa.binary())})
+
+
+def _open_links(table: pa.Table) -> pa.Table:
+    """Candidate links of one region: every member outside the most frequent component against all."""
+    nodes, parts, sets = table.column("node").to_pylist(), table.column("component").to_pylist(), _short(table.column("shingles"))
+    main = Counter(parts).most_common(1)[0][0]
+    xs = [n for n, part in enumerate(parts) if part != main]
+    found = _candidates([sets[n] for n in xs], [parts[n] for n in xs], sets, parts)
+    return _pairs([(nodes[xs[x]], nodes[y]) for x, y in found])
+
+
+def _tile_links(table: pa.Table) -> pa.Table:
+    """Candidate links of one tile of a region: its members outside the largest component against those of one share."""
+    side = table.column("is_x").to_pylist()
+    nodes, parts, sets = table.column("node").to_pylist(), table.column("component").to_pylist(), _short(table.column("shingles"))
+    xs, ys = ([n for n, x in enumerate(side) if x == wanted] for wanted in (True, False))
+    if not xs or not ys:
+        return _pairs([])
+    found = _candidates([sets[n] for n in xs], [parts[n] for n in xs], [sets[n] for n in ys], [parts[n] for n in ys])
+    return _pairs([(nodes[xs[x]], nodes[ys[y]]) for x, y in found])
+
+
+class _Forest:
+    """Components of nodes (distinct shingle sets), grown from the runs of the sorted orders."""
+
+    def __init__(self, classes: DataFrame, entries: DataFrame, scratch: Scratch):
+        self._classes, self._entries, self._scratch = classes, entries, scratch
+        self.links: DataFrame | None = None  # id, component
+        self._all_sets: DataFrame | None = None
+
+    def grow(self) -> DataFrame | None:
+        labels = self._classes.select("node", "signature", "n_shingles").mapInArrow(_labels, "order int, label binary, node binary, n long")
+        ranged = labels.repartitionByRange("order", "label", "node").sortWithinPartitions("order", "label", "node")
+        runs = ", ".join(f"run_{d} long" for d in _RUNS)
+        placed = self._scratch.freeze(ranged.mapInArrow(_neighbours, f"node binary, n long, {runs}"))
+        deeper = [f"run_{d}" for d in DEEPER]
+        regions = placed.select(F.col(f"run_{DEPTH}").alias("region"), "node", "n", *deeper)
+        # An entry that is alone at the usual depth looks for neighbours at shallower ones, as long as they are few.
+        lonely, above = placed, f"run_{DEPTH}"
+        for depth in SHALLOWER:
+            run = f"run_{depth}"
+            rest = [F.any_value(f"run_{d}").alias(f"run_{d}") for d in SHALLOWER if d <= depth]
+            lonely = lonely.groupBy(above).agg(F.count(F.lit(1)).alias("members"), *rest).where("members = 1")
+            few = placed.groupBy(run).agg(F.count(F.lit(1)).alias("members")).where(F.col("members").between(2, SHALLOW))
+            wanted = few.join(lonely.select(run).distinct(), run, "left_semi").select(run)
+            regions = regions.unionByName(placed.join(wanted, run).select(F.col(run).alias("region"), "node", "n", *deeper))
+            above = run
+        crowded = self._scratch.freeze(self._visit(regions, deeper))
+        level = crowded
+        for run in deeper:
+            if level.isEmpty():
+                return self.links
+            rest = deeper[deeper.index(run) + 1 :]
+            level = self._scratch.freeze(self._visit(level.select(F.col(run).alias("region"), "node", "n", *rest).distinct(), rest))
+        if not crowded.isEmpty():
+            self._tiles(crowded)
+        return self.links
+
+    def _visit(self, regions: DataFrame, deeper: list[str]) -> DataFrame:
+        """Join what the regions hold: first every member with the smallest of its region, then open regions counted out. Returns crowded ones."""
+        sized = regions.groupBy("region").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
+        leaders = self._scratch.freeze(sized)
+        crowd = self._scratch.freeze(dealt_join(regions, leaders, "region", "members", leaders.agg(F.sum("members")).first()[0] or 0))
+        if self._all_sets is None:
+            self._keep_sets(crowd.select("node"))
+        self._extend(crowd.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        labelled = self._labelled(crowd.select("region", "node", "n", *deeper))
+        sizes = labelled.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
+        is_small = (F.col("shingles") <= REGION) | (F.col("members") <= FEW)
+        opened = self._scratch.freeze(labelled.join(sizes.where("low <> high").select("region", is_small.alias("is_small")), "region"))
+        small = opened.where("is_small").select("region", "node", "component")
+        with_sets = small.join(self._sets(small).hint("merge"), "node")
+        self._extend(with_sets.groupBy("region").applyInArrow(_open_links, "a binary, b binary"))
+        return opened.where("not is_small").select("region", "node", "n", *deeper)
+
+    def _tiles(self, crowded: DataFrame) -> None:
+        """Crowded regions that are still open, exactly: members outside the largest component against all, in tiles of bounded size."""
+        labelled = self._labelled(crowded.select("region", "node", "n"))
+        counted = labelled.groupBy("region", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
+        facts = counted.groupBy("region").agg(
+            F.max_by("component", F.struct("members", "component")).alias("main"), F.max_by("n", F.struct("members", "component")).alias("main_n"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("parts"))
+        share = lambda n: F.ceil(F.greatest(n, F.lit(1)) * 2 / F.lit(REGION)).cast("int")
+        facts = facts.where("parts > 1").select("region", "main", share(F.col("n_all")).alias("ys"), share(F.col("n_all") - F.col("main_n")).alias("xs"))
+        rows = self._scratch.freeze(labelled.join(facts, "region"))
+        part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        ys = rows.select("region", "node", "component", F.lit(False).alias("is_x"), part("ys").alias("y"), every("xs").alias("x"))
+        xs = rows.where("component <> main").select("region", "node", "component", F.lit(True).alias("is_x"), part("xs").alias("x"), every("ys").alias("y"))
+        tiles = ys.unionByName(xs).join(self._sets(rows).hint("merge"), "node")
+        self._extend(tiles.groupBy("region", "x", "y").applyInArrow(_tile_links, "a binary, b binary"))
+
+    def _keep_sets(self, nodes: DataFrame) -> None:
+        """Store (node, shingles) of all nodes that have a neighbour, from one text of each: later visits see no others."""
+        ids = self._classes.join(nodes.distinct().hint("merge"), "node", "left_semi").select(F.col("first_id").alias("entry_id")).distinct()
+        # Neither side is of bounded size, so neither is broadcast: the plan is the same at every size.
+        texts = self._entries.join(ids.hint("merge"), "entry_id", "left_semi").select("exact_text")
+        self._all_sets = self._scratch.freeze(texts.mapInArrow(_node_sets, "node binary, shingles binary"))
+
+    def _sets(self, nodes: DataFrame) -> DataFrame:
+        return self._all_sets.join(nodes.select("node").distinct().hint("merge"), "node", "left_semi")
+
+    def _labelled(self, rows: DataFrame) -> DataFrame:
+        if self.links is None:
+            return rows.withColumn("component", F.col("node"))
+        return rows.join(self.links.withColumnRenamed("id", "node").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def _extend(self, pairs: DataFrame) -> None:
+        """Add those of the candidate pairs between different components that their full sets confirm."""
+        pairs = pairs.distinct()
+        if self.links is not None:
+            for end in ("a", "b"):
+                pairs = pairs.join(self.links.select(F.col("id").alias(end), F.col("component").alias(f"part_{end}")).hint("merge"), end, "left")
+            pairs = pairs.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+        pairs = self._scratch.freeze(pairs)
+        sets = self._all_sets
+        with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
+        # One node may lead a large region: its set meets its pairs under salts.
+        led = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
+        both = dealt_join(with_b, led, "a", "pairs", pairs.count())
+        new = self._scratch.freeze(both.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a binary, b binary"))
+        if new.isEmpty():
+            return
+        if self.links is not None:
+            new = new.unionByName(self.links.select(F.col("component").alias("a"), F.col("id").alias("b")))
+        self.links = components(new, self._scratch)
+
+
+def near_duplicates(entries: DataFrame, *, scratch: Scratch | None = None) -> DataFrame:
     """Per entry: ``entry_id``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``.
 
-    Two entries are linked when their sets of distinct five-word shingles have a similarity of 0.75 or more
-    (100 * intersection >= 75 * union, confirmed on the full sets of 64-bit shingle hashes). Entries with equal sets are one class
-    from the start; a class takes part by its smallest id.
+    ``entry_id`` may have any type with an order. Two entries are linked when their sets of distinct five-word shingles have a similarity of
+    0.75 or more (100 * intersection >= 75 * union, confirmed on the full sets of 64-bit shingle hashes). Entries with equal sets are one
+    node from the start, so copies cost one row.
 
-    The forest sorts one signature of 96 values in 24 orders. A region is a run of entries with a longest common
-    prefix of at least four values in an order. Each member is first paired with the smallest id of its region, and
-    the confirmed pairs are joined into components. A region whose members are one component is then finished, however many
-    entries it holds. The others are counted out exactly, each member outside the largest component against all others, if
-    their sets fit in 4 MiB (or they are few); a crowded one is first entered two values deeper in four further orders, as often as it
-    stays crowded, so depth adapts per region. At similarity 0.75 a pair shares no region with probability 1.1e-4 (3e-4 if
-    all its regions are crowded twice), and less above. Work in crowded regions grows faster than their size where thousands of near
-    copies keep others just below 0.75 among them.
+    The forest sorts the nodes in 24 orders, each by eight leading values of a signature of 96, in ranges over all tasks. Neighbours in an order are
+    candidates by their longest common prefix. A region is a run with a common prefix of four values; a node that is alone there goes to
+    a prefix of three, then two, as long as such a run is small; a crowded region is entered again at six and eight values. In a region every
+    member is first paired with its smallest one, and confirmed pairs are joined into components. A region of one component is finished,
+    however many nodes it holds. Open ones are counted out exactly, each member outside the largest component against all: whole if
+    the sets fit in 8 MiB (or they are few), and else, after the deeper runs have joined what they can, in tiles of that size. So every pair that
+    shares four values in some order is compared or lies in one component; a pair at similarity 0.75 shares none with probability 1.1e-4,
+    less above. Work in crowded regions grows with the square of their open part.
 
     Defined cases: null and empty texts have 0 shingles, link with nothing and stay; repeated rows of an id get the result
-    of the id, and an id with several texts is linked by each of them; a null id links with nothing, has a null component and stays; an empty table gives an empty table.
+    of the id, and an id with several texts is linked by each of them; a null id links with nothing, has a null component and stays; an empty
+    table gives an empty table. Other columns are not read. The result is stored once; ``scratch`` owns it, without one it stays in the shared folder.
     """
-    spark = entries.sparkSession
-    rows = entries.select(F.col("entry_id").cast("long").alias("entry_id"), F.col("exact_text"))
-    keep_alive, scratch = Scratch(spark), Scratch(spark)
-    with scratch:
-        sketched = keep_alive.freeze(rows.mapInArrow(_sketches, _SKETCH))
-        classes = (
-            sketched.where("entry_id is not null and set_digest is not null")
-            .groupBy("set_digest")
-            .agg(F.min("entry_id").alias("entry_id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"))
-        )
-        classes = scratch.freeze(classes)
-        at = scratch.freeze(classes.select("entry_id", "signature").mapInArrow(_regions, "region long, entry_id long"))
-        shingles = classes.groupBy("entry_id").agg(F.max("n_shingles").alias("n_shingles"))
-        labels, level = None, 0
-        while True:
-            leaders = at.groupBy("region").agg(F.min("entry_id").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
-            crowd = scratch.freeze(at.join(leaders, "region"))
-            star = crowd.where("entry_id <> leader").select(F.col("leader").alias("a"), F.col("entry_id").alias("b"))
-            labels = _extended(scratch, _between(star, labels), rows, labels)
-            labelled = crowd.select("region", "entry_id").join(labels.withColumnRenamed("id", "entry_id"), "entry_id", "left")
-            labelled = labelled.withColumn("component", F.coalesce("component", "entry_id")).join(shingles, "entry_id")
-            # Only regions with more than one component are left; their size is that of all their sets.
-            sizes = labelled.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("n"), F.count(F.lit(1)).alias("members"))
-            is_small = (F.col("n") <= REGION) | (F.col("members") <= FEW) | F.lit(level >= VALUES // SUB_DEPTH)
-            opened = scratch.freeze(labelled.join(sizes.where("low <> high").select("region", is_small.alias("is_small")), "region"))
-            small = opened.where("is_small").select("region", "entry_id", "component")
-            members = small.select("entry_id").distinct()
-            sets = rows.join(members.hint("merge"), "entry_id", "left_semi").mapInArrow(_short_sets, "entry_id long, short_set binary").distinct()
-            pairs = small.join(sets.hint("merge"), "entry_id").groupBy("region").applyInPandas(_open_links, "a long, b long")
-            labels = _extended(scratch, _between(pairs, labels), rows, labels)
-            crowded = opened.where("not is_small").select("region", "entry_id").join(classes.select("entry_id", "signature"), "entry_id")
-            if crowded.isEmpty():
-                break
-            level += 1
-            deeper = crowded.select("region", "entry_id", "signature").mapInArrow(_deeper(level), "region long, entry_id long")
-            at = scratch.freeze(deeper.distinct())
-        labels = keep_alive.freeze(labels)
-        reps = keep_alive.freeze(classes.select("set_digest", F.col("entry_id").alias("rep")))
-    keep_alive.keep()
-    # An entry reaches its component through the class of its set.
-    of_class = reps.join(labels, reps["rep"] == labels["id"], "left").select("set_digest", F.coalesce("component", "rep").alias("component_id"))
-    joined = sketched.join(of_class, "set_digest", "left")
-    component = F.when(F.col("entry_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "entry_id"))
-    return joined.select("entry_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("entry_id").eqNullSafe(F.col("component_id")))
-
-
-def _between(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Distinct pairs of entries that are not yet in one component."""
-    pairs = pairs.distinct()
-    if labels is None:
-        return pairs
-    x, y = labels.select(F.col("id").alias("a"), F.col("component").alias("pa")), labels.select(F.col("id").alias("b"), F.col("component").alias("pb"))
-    with_labels = pairs.join(x, "a", "left").join(y, "b", "left")
-    return with_labels.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
-
-
-def _extended(scratch: Scratch, pairs: DataFrame, entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The components with those links added that are confirmed among ``pairs``."""
-    new = scratch.freeze(_confirmed(scratch.freeze(pairs), entries))
-    if labels is not None:
-        if new.isEmpty():
-            return labels
-        new = new.unionByName(labels.select(F.col("component").alias("a"), F.col("id").alias("b")))
-    return components(new)
+    spark, id_type = entries.sparkSession, entries.schema["entry_id"].dataType.simpleString()
+    rows, owner = entries.select("entry_id", "exact_text"), scratch or Scratch(spark)
+    with Scratch(spark) as inner:
+        sketched = inner.freeze(rows.mapInArrow(_sketches, f"entry_id {id_type}, n_shingles long, node binary, signature binary"))
+        named = sketched.where("entry_id is not null and node is not null")
+        classes = inner.freeze(named.groupBy("node").agg(
+            F.min("entry_id").alias("first_id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")))
+        forest = _Forest(classes, rows, inner)
+        labels = forest.grow()
+        twice = inner.freeze(named.groupBy("entry_id").agg(F.min("node").alias("a"), F.max("node").alias("other")).where("a <> other").select("entry_id", "a"))
+        if not twice.isEmpty():
+            same = named.join(twice, "entry_id").select("a", F.col("node").alias("b"))
+            labels = components(same if labels is None else same.unionByName(labels.select(F.col("component").alias("a"), F.col("id").alias("b"))), inner)
+        if labels is None:
+            labels = spark.createDataFrame([], "id binary, component binary")
+        joined = classes.join(labels.withColumnRenamed("id", "node").hint("merge"), "node", "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("component"))
+        joined = inner.freeze(joined)
+        first = joined.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+        of_node = inner.freeze(dealt_join(joined, first, "component", "nodes", joined.count()).select("node", "component_id", "copies"))
+        alone = sketched.where("entry_id is null or node is null").select("entry_id", "n_shingles", F.col("entry_id").alias("component_id"))
+        found = dealt_join(named.select("entry_id", "n_shingles", "node"), of_node, "node", "copies", sketched.count())
+        result = found.select("entry_id", "n_shingles", "component_id").unionByName(alone)
+        stored = owner.freeze(result.withColumn("kept", F.col("entry_id").eqNullSafe(F.col("component_id"))))
+    return stored
