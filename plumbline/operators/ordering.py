@@ -32,6 +32,10 @@ class SortSpec:
     parent_ids: tuple[str, ...] = ()
     plan_path: str | None = None
     plan_sha256: str | None = None
+    snapshot_id: str | None = None
+    manifest_sha256: str | None = None
+    operation_sha256: str | None = None
+    sources: tuple[str, ...] = ()
     versions: dict[str, str] = field(default_factory=lambda: {"policy": "2", "normalizer": "1"})
 
 
@@ -103,12 +107,12 @@ def order_token(column: Column, dtype: T.DataType, nulls: str) -> Column:
     return F.when(missing, absent).otherwise(F.concat(*parts))
 
 
-def tokenised(frame: DataFrame, spec: SortSpec, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Rows as (_order, requested columns): the order string ends with the record hash, so
-    equal strings mean equal records."""
+def tokenised(frame: DataFrame, spec: SortSpec, extra: tuple[str, ...] = (), content: list[str] | None = None) -> DataFrame:
+    """Rows as (_order, requested columns): the order string ends with the record hash (of the columns ``content``,
+    all by default), so equal strings mean equal records."""
     types = {f.name: f.dataType for f in frame.schema.fields}
     tokens = [order_token(F.col(f"`{name}`"), types[name], spec.nulls) for name in spec.keys + spec.tie_break]
-    return frame.select(F.concat_ws("\x00", *tokens, record_hash(frame)).alias("_order"), *[F.col(f"`{c}`") for c in extra])
+    return frame.select(F.concat_ws("\x00", *tokens, record_hash(frame, content)).alias("_order"), *[F.col(f"`{c}`") for c in extra])
 
 
 def hash_of_order() -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.errors import Refusal
 from plumbline.functions.canon import is_missing, json_value, record_hash, record_hashes
@@ -43,14 +45,15 @@ REQUIRED_CHECKS = (
 
 @dataclass(frozen=True)
 class SourceFacts:
-    """What is known about the source outside the table itself."""
+    """What was measured about the source outside the table itself. What is not known does not pass.
 
-    encoding_ok: bool = True
-    verified: bool = True
-    parent_ids: tuple[str, ...] = ()
-    plan_sha256: str | None = None
-    order_sha256: str | None = None
-    versions: tuple[tuple[str, str], ...] = (("normalizer", "1"), ("policy", "2"))
+    ``receipts.measured`` takes these facts of a published version; a bare frame has none.
+    """
+
+    verified: bool | None = None  # stored hashes, digests and lineage recompute
+    identity: bool | None = None  # what the declaration binds is what is published now
+    plan_sha256: str | None = None  # digest of the declared plan file as it is now
+    encoding_ok: bool | None = None  # None: measured over the text columns of the table
 
 
 def key_counts(frame: DataFrame, spec: SortSpec) -> DataFrame:
@@ -87,6 +90,12 @@ def _metric_rows(frame: DataFrame) -> DataFrame:
     return frame.select(F.explode(pairs).alias("metric", "value"))
 
 
+def invalid_text(frame: DataFrame) -> Column:
+    """Whether a text of the row is not valid UTF-8."""
+    wrong = [~F.is_valid_utf8(F.col(f"`{f.name}`")) for f in frame.schema.fields if isinstance(f.dataType, T.StringType)]
+    return F.coalesce(reduce(lambda x, y: x | y, [F.coalesce(w, F.lit(False)) for w in wrong], F.lit(False)), F.lit(False))
+
+
 def identity_runs(frame: DataFrame, spec: SortSpec) -> DataFrame:
     """Distinct records with their order string, key and copies, stored once: every count
     and the first digest of the gate are taken from this table instead of the source.
@@ -96,21 +105,23 @@ def identity_runs(frame: DataFrame, spec: SortSpec) -> DataFrame:
     relaxed = replace(spec, nulls="nulls_last") if spec.nulls == "nulls_error" else spec
     types = {f.name: f.dataType for f in frame.schema.fields}
     names = spec.keys + spec.tie_break
-    tokens = tokenised(frame, relaxed, names)
+    tokens = tokenised(frame.withColumn("_invalid", invalid_text(frame)), relaxed, (*names, "_invalid"), content=frame.columns)
     key = F.concat_ws("\x00", *[json_value(F.col(f"`{n}`"), types[n]) for n in spec.keys])
     missing = sum((is_missing(F.col(f"`{n}`"), types[n]).cast("int") for n in names), F.lit(0))
-    keyed = tokens.select("_order", key.alias("_key"), missing.alias("_missing"))
-    return freeze(keyed.groupBy("_order", "_key", "_missing").agg(F.count(F.lit(1)).alias("copies")))
+    keyed = tokens.select("_order", key.alias("_key"), missing.alias("_missing"), "_invalid")
+    return freeze(keyed.groupBy("_order", "_key", "_missing", "_invalid").agg(F.count(F.lit(1)).alias("copies")))
 
 
 def _run_counts(runs: DataFrame) -> DataFrame:
-    groups = runs.groupBy("_key").agg(F.sum("copies").alias("_n"), F.sum(F.col("copies") * F.col("_missing")).alias("_miss"))
+    groups = runs.groupBy("_key").agg(
+        F.sum("copies").alias("_n"), F.sum(F.col("copies") * F.col("_missing")).alias("_miss"), F.sum(F.when(F.col("_invalid"), F.col("copies")).otherwise(0)).alias("_bad"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.count(F.lit(1)).alias("key_groups"),
         F.count_if(F.col("_n") > 1).alias("duplicate_key_count"),
         F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("rows_in_duplicate_groups"),
         F.coalesce(F.sum("_miss"), F.lit(0)).alias("null_key_cells"),
+        F.coalesce(F.sum("_bad"), F.lit(0)).alias("invalid_text_rows"),
     )
 
 
@@ -123,7 +134,7 @@ def readiness_counts(frame: DataFrame, spec: SortSpec, rebuild: bool = True) ->
     resolved = bool(spec.keys) and all(frame.columns.count(c) == 1 for c in spec.keys + spec.tie_break)
     facts = []
     if not resolved:
-        facts.append(_metric_rows(frame.agg(F.count(F.lit(1)).alias("row_count"))))
+        facts.append(_metric_rows(frame.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(invalid_text(frame)).alias("invalid_text_rows"))))
         facts.append(_metric_rows(multiset_digest(record_hashes(frame)).drop("row_count")))
     else:
         runs = identity_runs(frame, spec)
@@ -145,14 +156,18 @@ def readiness_counts(frame: DataFrame, spec: SortSpec, rebuild: bool = True) ->
 
     return rows.agg(
         *[pick(n, "long") for n in
-          ("row_count", "distinct_count", "key_groups", "duplicate_key_count", "rows_in_duplicate_groups", "null_key_cells")],
+          ("row_count", "distinct_count", "key_groups", "duplicate_key_count", "rows_in_duplicate_groups", "null_key_cells", "invalid_text_rows")],
         *[pick(n, "string") for n in ("records_sha256", "normalized_sha256", "rebuilt_sha256")],
     )
 
 
 def readiness_checks(frame: DataFrame, spec: SortSpec, source: SourceFacts = SourceFacts(),
                      counts: DataFrame | None = None) -> DataFrame:
-    """22 rows (position, check_id, status, evidence)."""
+    """22 rows (position, check_id, status, evidence).
+
+    Source identity and independent verification pass only for a source that was measured (``SourceFacts``): a bare frame
+    is bound to nothing and verified by nobody. Without a declared plan there is none to be bound.
+    """
     counts = counts if counts is not None else readiness_counts(frame, spec)
     resolved = bool(spec.keys) and all(frame.columns.count(c) == 1 for c in spec.keys + spec.tie_break)
     identity_only = tuple(spec.normalization) == (IDENTITY_RULE,)
@@ -162,17 +177,14 @@ def readiness_checks(frame: DataFrame, spec: SortSpec, source: SourceFacts = Sou
     sorted_ok = F.lit(resolved) & ~blocked & F.col("normalized_sha256").isNotNull()
     rebuilt = sorted_ok & F.coalesce(F.col("normalized_sha256") == F.col("rebuilt_sha256"), F.lit(False))
     nonempty = F.col("row_count") > 0
-    identity = (
-        F.lit(dict(spec.versions) == dict(source.versions) and tuple(spec.parent_ids) == tuple(source.parent_ids)
-              and spec.source_order_sha256 in (None, source.order_sha256))
-        & (F.lit(True) if spec.source_records_sha256 is None
-           else F.col("records_sha256") == F.lit(spec.source_records_sha256))
-    )
+    bound = F.lit(bool(source.identity)) & (
+        F.lit(True) if spec.source_records_sha256 is None else F.col("records_sha256") == F.lit(spec.source_records_sha256))
+    readable = F.coalesce(F.col("invalid_text_rows") == 0, F.lit(False)) if source.encoding_ok is None else F.lit(source.encoding_ok)
     passed: dict[str, Column] = {
-        "source_identity": identity,
+        "source_identity": bound,
         "record_identity": F.lit(resolved),
         "schema": F.lit(tuple(spec.columns) == tuple(frame.columns)),
-        "encoding": F.lit(source.encoding_ok),
+        "encoding": readable,
         "type_normalization": F.lit(identity_only),
         "datetime_normalization": F.lit(identity_only),
         "numeric_locale": F.lit(identity_only),
@@ -190,7 +202,7 @@ def readiness_checks(frame: DataFrame, spec: SortSpec, source: SourceFacts = Sou
         "cross_platform_fixture_equivalence": sorted_ok,
         "rebuild_hash_equality": rebuilt,
         "analysis_plan_binding": F.lit(spec.plan_sha256 == source.plan_sha256),
-        "independent_verification": F.lit(source.verified),
+        "independent_verification": F.lit(bool(source.verified)),
     }
     evidence = {
         "duplicate_handling": ("duplicate_key_count", "row_count"),
@@ -199,6 +211,7 @@ def readiness_checks(frame: DataFrame, spec: SortSpec, source: SourceFacts = Sou
         "null_ordering": ("null_key_cells",),
         "row_reconciliation": ("row_count",),
         "source_identity": ("records_sha256",),
+        "encoding": ("invalid_text_rows",),
         "rebuild_hash_equality": ("normalized_sha256", "rebuilt_sha256"),
     }
     may_block = {"missingness", "null_ordering"}

@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.readiness import REQUIRED_CHECKS
 from plumbline.plans.registry import query, table
-from plumbline.session import checkpoint_dir
-from plumbline.sources import readers
+from plumbline.session import checkpoint_dir, freeze
+from plumbline.sources import readers, receipts
+from plumbline.sources.exports import put_if_absent
+from plumbline.sources.versions import VersionStore
 
 
 def _folder(spark: SparkSession, kind: str) -> str:
@@ -43,3 +46,41 @@ def json_roundtrip_events(spark: SparkSession, d: str) -> DataFrame:
     back = _by_name(readers.read_json(spark, f"{path}/part=*"))
     typed = {"event_id": "long", "user_id": "long", "event_type": "string", "value": "double", "props": "string"}
     return back.select(*(F.try_variant_get(name, "$", kind).alias(name) for name, kind in typed.items()))
+
+
+_CHECKS = ", ".join(f"({n}, '{check}')" for n, check in enumerate(REQUIRED_CHECKS))
+
+
+@query("readiness_checks_published", f"""
+with c(position, check_id) as (values {_CHECKS}), k(version) as (values ('sound'), ('tampered'), ('other plan'), ('latin')),
+f as (select count(*) as n, count_if(c_mktsegment = 'BUILDING') as changed from customer)
+select version, position, check_id,
+ case when version = 'tampered' and check_id in ('source_identity', 'independent_verification') and changed > 0 then 'FAIL'
+  when version = 'other plan' and check_id = 'analysis_plan_binding' then 'FAIL' when version = 'latin' and check_id = 'encoding' and changed > 0 then 'FAIL'
+  when check_id in ('order_invariance', 'row_reconciliation') and n = 0 then 'FAIL' else 'PASS' end as status
+from c, k, f""")
+def readiness_checks_published(spark: SparkSession, d: str) -> DataFrame:
+    """The gate over four published versions of customer: a sound one, one changed after it was published, one whose plan file
+    changed after it was declared, and one with text that is not UTF-8. Every one of the 22 checks is measured."""
+    store = VersionStore(spark, _folder(spark, "store"))
+    plan, other = f"{store.root}/plans/plan.md", f"{store.root}/plans/other.md"
+    put_if_absent(spark, plan, "compare the groups\n")
+    put_if_absent(spark, other, "compare the groups\n")
+    rows = table(spark, d, "customer").withColumn("ordinal", F.col("c_custkey"))
+    building = F.col("c_mktsegment") == "BUILDING"
+    latin = rows.withColumn("c_name", F.when(building, F.concat("c_name", F.unhex(F.lit("E9")).cast("string"))).otherwise(F.col("c_name")))
+    keyed = {"keys": ["c_custkey"]}
+    specs = {
+        "sound": receipts.declare(store, store.publish(rows, "CSV", ["sound"]), plan=plan, **keyed),
+        "tampered": receipts.declare(store, store.publish(rows, "CSV", ["tampered"]), **keyed),
+        "other plan": receipts.declare(store, store.publish(rows, "CSV", ["other plan"]), plan=other, **keyed),
+        "latin": receipts.declare(store, store.publish(latin, "CSV", ["latin"]), **keyed),
+    }
+    path = store.manifest(specs["tampered"].snapshot_id)["records_path"]
+    freeze(spark.read.parquet(path).withColumn("c_acctbal", F.when(building, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))).write.mode("overwrite").parquet(path)
+    spark.createDataFrame([("compare other groups",)], "t string").write.mode("overwrite").text(other)
+    out = None
+    for version, spec in specs.items():
+        part = receipts.published_checks(store, spec).select(F.lit(version).alias("version"), "position", "check_id", "status")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -342,8 +342,13 @@ def read_source(spark: SparkSession, path: str, format: str | None = None, budge
 
 def file_readiness(spark: SparkSession, path: str, keys: list[str], tie_break: tuple[str, ...] = (), budget: Budget = Budget(),
                    **policy) -> DataFrame:
-    """The 22 checks on a raw file: columns may be named by header or by column id."""
+    """The 22 checks on a raw file: columns may be named by header or by column id.
+
+    The file is read twice, apart from each other. The declaration is bound to the digests of the first reading;
+    source identity and independent verification pass only if the second one gives the same records in the same order.
+    """
     from plumbline.operators import ordering, readiness
+    from plumbline.sources.versions import hashed, snapshot_digests
 
     table = read_source(spark, path, budget=budget)
 
@@ -353,6 +358,9 @@ def file_readiness(spark: SparkSession, path: str, keys: list[str], tie_break: t
             raise Refusal("READINESS_COLUMN_AMBIGUOUS", f"{wanted} matches {len(found)} columns")
         return found[0]
 
-    frame = table.content()
-    spec = ordering.make_sort_spec(frame, [resolve(k) for k in keys], [resolve(t) for t in tie_break], **policy)
-    return readiness.readiness_checks(frame, spec)
+    frame, again = table.content(), read_source(spark, path, budget=budget)
+    count, records, order = snapshot_digests(hashed(table.frame.select(*table.ids, "ordinal")))
+    same = again.columns == table.columns and snapshot_digests(hashed(again.frame.select(*again.ids, "ordinal"))) == (count, records, order)
+    spec = ordering.make_sort_spec(
+        frame, [resolve(k) for k in keys], [resolve(t) for t in tie_break], source_records_sha256=records, source_order_sha256=order, **policy)
+    return readiness.readiness_checks(frame, spec, readiness.SourceFacts(verified=same, identity=same))

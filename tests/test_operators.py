@@ -12,9 +12,21 @@ from plumbline.operators import (
     contracts, delta, digest, evidence, gates, integrity, ordering, projection, readiness, rules, text)
 
 
-def statuses(frame, keys, **kw):
+KNOWN = readiness.SourceFacts(verified=True, identity=True)
+
+
+def statuses(frame, keys, source=KNOWN, **kw):
     spec = ordering.make_sort_spec(frame, keys, **kw)
-    return readiness.readiness_checks(frame, spec)
+    return readiness.readiness_checks(frame, spec, source)
+
+
+def test_what_is_not_known_does_not_pass(spark):
+    ok = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, value string")
+    got = {r["check_id"] for r in statuses(ok, ["id"], readiness.SourceFacts()).collect() if r["status"] != "PASS"}
+    assert got == {"source_identity", "independent_verification"}
+    latin = ok.withColumn("value", F.concat("value", F.unhex(F.lit("E9")).cast("string")))
+    failed = [r for r in statuses(latin, ["id"]).collect() if r["status"] != "PASS"]
+    assert [(r["check_id"], r["evidence"]["invalid_text_rows"]) for r in failed] == [("encoding", "2")]
 
 
 def test_readiness_fixtures(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.errors import Refusal
 from plumbline.functions.canon import canonical_record
 from plumbline.operators import profile
-from plumbline.sources import exports, files, readers, versions
+from plumbline.sources import exports, files, readers, receipts, versions
 
 
 def write(path, text):
@@ -161,6 +161,39 @@ def test_reconciled_versions_are_verified_with_their_ledger(spark, tmp_path):
     assert caught.value.code == "DATA_RECONCILIATION_KEY_INVALID"
 
 
+def test_receipts_and_their_selection(spark, tmp_path):
+    store = versions.VersionStore(spark, str(tmp_path / "store"))
+    a = readers.read_source(spark, write(tmp_path / "a.csv", "id,v\na,1\nb,2\n"))
+    first, plan = store.publish(a.frame, "CSV", ["s1"]), write(tmp_path / "plan.md", "plan")
+    assert receipts.status(store, first) == "NONE"
+    spec = receipts.declare(store, first, [a.ids[0]], plan=plan)
+    receipt = receipts.issue(store, spec)
+    assert (receipt["decision"], receipt["passed_check_count"], receipt["required_check_count"]) == ("PASS", 22, 22)
+    assert receipts.issue(store, spec)["receipt_sha256"] == receipt["receipt_sha256"] and receipts.receipts(store).count() == 1
+    assert receipts.status(store, first) == "PASS"
+    # Another receipt becomes the active one; a writer who has not seen it cannot select over it.
+    repeated = receipts.issue(store, receipts.declare(store, first, [a.ids[1]]))
+    assert receipts.status(store, first, receipt["receipt_sha256"]) == "STALE" and receipts.selection(store)[1] == repeated["receipt_sha256"]
+    with pytest.raises(Refusal) as caught:
+        receipts.select_receipt(store, receipt["receipt_sha256"], after=1)
+    assert caught.value.code == "READINESS_SELECTION_CHANGED"
+    receipts.select_receipt(store, receipt["receipt_sha256"])
+    second = store.publish(a.frame, "CSV", ["s2"])
+    assert receipts.status(store, second) == "STALE"
+    write(tmp_path / "plan.md", "another plan")
+    assert receipts.status(store, first) == "STALE"
+    write(tmp_path / "plan.md", "plan")
+    path = tmp_path / "store" / "receipts" / f"{receipt['receipt_sha256']}.json"
+    kept = path.read_text()
+    path.with_name(f".{path.name}.crc").unlink()  # the local file system keeps a checksum of its own
+    path.write_text(kept.replace('"PASS"', '"FAIL"', 1))
+    assert receipts.status(store, first) == "TAMPERED"
+    path.write_text(kept)
+    rows_ = store.load(first).withColumn(a.ids[1], F.lit("9")).collect()
+    spark.createDataFrame(rows_, store.load(first).schema).write.mode("overwrite").parquet(store._path(first))
+    assert receipts.status(store, first) == "TAMPERED"
+
+
 def test_checkpoint_rows(spark):
     store = spark.createDataFrame([("gen-1", "a")], "checkpoint_id string, body string")
     assert versions.append_checkpoints(store, spark.createDataFrame([("gen-1", "a"), ("gen-2", "b")], store.schema)).count() == 1
