@@ -314,16 +314,22 @@ BLOCKER_CHECKS = (
 
 
 def blocker_status(checks: DataFrame, requirements: DataFrame, by: str = "blocker_id") -> DataFrame:
-    """checks(by, check_id, outcome), requirements(by, requirement_count)."""
+    """checks(by, check_id, outcome and, if there, evidence_ref_ids), requirements(by, requirement_count).
+
+    Tells which checks are missing, in their order, and all evidence that the checks name. A blocker has at most one row per check.
+    """
     first = BLOCKER_CHECKS[0]
     other = F.col("check_id") != first
+    none = F.expr("cast(array() as array<string>)")
+    refs = F.coalesce("evidence_ref_ids", none) if "evidence_ref_ids" in checks.columns else none
     per = checks.groupBy(by).agg(
         F.max(F.when(~other, F.col("outcome"))).alias("_req"),
         F.count_if(other & (F.col("outcome") == "PATH_FOUND")).alias("_found"),
         F.count_if(other & (F.col("outcome") != "NO_PATH")).alias("_not_closed"),
         F.count_if(other).alias("_challenges"),
-        F.count_if(F.col("outcome").isin("NOT_RUN", "INCONCLUSIVE")).alias("_open"),
-        F.count_if(F.col("outcome") == "NOT_APPLICABLE").alias("_na"),
+        F.collect_set(F.when(F.col("outcome").isin("NOT_RUN", "INCONCLUSIVE"), F.col("check_id"))).alias("_open"),
+        F.collect_set(F.when(F.col("outcome") == "NOT_APPLICABLE", F.col("check_id"))).alias("_na"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(refs)))).alias("evidence_ref_ids"),
     )
     joined = requirements.join(per, by, "left")
     needed = F.col("requirement_count") > 0
@@ -334,8 +340,11 @@ def blocker_status(checks: DataFrame, requirements: DataFrame, by: str = "blocke
         .when((F.col("_not_closed") == 0) & (F.col("_challenges") == len(BLOCKER_CHECKS) - 1), "EVIDENCED_EXTERNAL_BLOCKER")
         .otherwise("BLOCKER_NOT_EVIDENCED")
     )
-    missing = F.coalesce("_open", F.lit(0)) + F.when(needed, F.coalesce("_na", F.lit(0))).otherwise(0)
-    return joined.select(by, status.alias("status"), missing.alias("missing_check_count"))
+    lacking = F.concat(F.coalesce("_open", none), F.when(needed, F.coalesce("_na", none)).otherwise(none))
+    missing = F.array_intersect(F.array(*[F.lit(c) for c in BLOCKER_CHECKS]), lacking)
+    return joined.select(
+        by, status.alias("status"), F.size(missing).cast("long").alias("missing_check_count"), missing.alias("missing_check_ids"),
+        F.coalesce("evidence_ref_ids", none).alias("evidence_ref_ids"))
 
 
 def detector_scores(expected: DataFrame, observed: DataFrame, by: str = "detector", key: str = "issue_id") -> DataFrame:

@@ -30,8 +30,7 @@ def _table(pairs: dict[str, str]) -> Column:
 
 
 def failure_status(code: Column) -> Column:
-    pairs = {c: status for status, codes in R.FAILURE_STATUS.items() for c in codes}
-    return F.coalesce(F.try_element_at(_table(pairs), code), F.lit(R.DEFAULT_FAILURE))
+    return F.coalesce(F.try_element_at(_table(R.FAILURE_STATUS), code), F.lit(R.DEFAULT_FAILURE))
 
 
 def failure_severity(status: Column) -> Column:
@@ -48,21 +47,23 @@ def classified(findings: DataFrame, code: str = "code") -> DataFrame:
         "failure_status": status, "failure_severity": failure_severity(status), "failure_group": failure_group(status)})
 
 
-def owning_check(code: Column) -> Column:
-    return F.try_element_at(_table({c: check for check, codes in R.CHECK_OWNERS.items() for c in codes}), code)
+def owning_check(gate: Column, code: Column) -> Column:
+    """The mandatory check of a gate that a finding of that gate belongs to; NULL if none does."""
+    owners = F.create_map(*[F.lit(x) for (number, name), check in R.CHECK_OWNERS.items() for x in (f"{number}/{name}", check)])
+    return F.try_element_at(owners, F.concat_ws("/", gate.cast("string"), code))
 
 
 def owned_findings(findings: DataFrame) -> DataFrame:
-    """Findings per mandatory check (a hypothesis that is underspecified also weakens the
-    strongest-interpretation check)."""
-    second = F.when(F.col("code") == "HYPOTHESIS_UNDERSPECIFIED", "strongest_defensible_interpretation")
-    third = owning_check(F.col("code"))
-    return findings.withColumn("check_id", F.explode(F.array_compact(F.array(third, second))))
+    """Findings with the mandatory check that owns them; those of no check are left out."""
+    return findings.withColumn("check_id", owning_check(F.col("gate"), F.col("code"))).filter("check_id is not null")
 
 
-def gate_counts(checks: DataFrame, by: str = "gate") -> DataFrame:
+def gate_counts(checks: DataFrame, by: str = "gate", required: DataFrame | None = None) -> DataFrame:
     """Check counts per gate and the decision: blocked first, then failed by priority,
-    then open questions, else PASS. checks(by, check_id, status)."""
+    then open questions, else PASS. checks(by, check_id, status).
+
+    With ``required`` (by, check_id) the number of required checks of the gate comes first.
+    """
     fails = [s for s in R.FAILURE_CLASSES if s.startswith("FAIL_") or s.startswith("FRAMING")]
     blocks = [s for s in R.FAILURE_CLASSES if s.startswith("BLOCKED_")]
     status = F.col("status")
@@ -72,7 +73,7 @@ def gate_counts(checks: DataFrame, by: str = "gate") -> DataFrame:
         return F.min_by(status, F.when(place > 0, place))
 
     blocked, failed = F.count_if(status.isin(*blocks)), F.count_if(status.isin(*fails))
-    return checks.groupBy(by).agg(
+    counts = checks.groupBy(by).agg(
         F.count(F.lit(1)).alias("executed_check_count"),
         F.count_if(status == "PASS").alias("passed_check_count"),
         failed.alias("failed_check_count"), blocked.alias("blocked_check_count"),
@@ -81,6 +82,10 @@ def gate_counts(checks: DataFrame, by: str = "gate") -> DataFrame:
         F.when(blocked > 0, first_of(blocks)).when(failed > 0, first_of(fails))
         .when(F.count_if(status == "NEEDS_CLARIFICATION") > 0, "NEEDS_CLARIFICATION").otherwise("PASS").alias("decision"),
     )
+    if required is None:
+        return counts
+    wanted = required.groupBy(by).agg(F.count_distinct("check_id").alias("required_check_count"))
+    return counts.join(wanted, by, "left").withColumn("required_check_count", F.coalesce("required_check_count", F.lit(0)))
 
 
 def check_membership(checks: DataFrame, required: DataFrame, by: str = "gate") -> DataFrame:

@@ -175,6 +175,22 @@ def duplicate_citation_sources(evidence: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_citation_findings(evidence: DataFrame, profile: str) -> DataFrame:
+    """The same groups as findings, with the artifact, the locator and the citing records as their evidence.
+
+    A hot source is one finding; its record ids are one list, as a reader of the finding needs them all.
+    """
+    cited = (
+        evidence.filter(F.coalesce("primary", F.lit(False)) & (text("artifact_path") != "") & (text("source_locator") != ""))
+        .groupBy(text("artifact_path").alias("artifact_path"), text("source_locator").alias("source_locator"))
+        .agg(F.array_sort(F.collect_set(F.col("id").cast("string"))).alias("ids")).filter(F.size("ids") > 1)
+    )
+    subject = F.concat_ws("\n", "artifact_path", "source_locator")
+    found = evaluate(cited, subject, [Rule("DUPLICATE_CITATION_SOURCE", 2, F.lit(True), softened=True)], profile)
+    told = cited.select(subject.alias("subject"), F.concat(F.array("artifact_path", "source_locator"), F.col("ids")).alias("evidence"), F.concat(F.lit("Evidence "), F.array_join("ids", ", ")).alias("_shown"))
+    return found.join(told, "subject").select("gate", "code", "severity", "status", F.col("_shown").alias("subject"), "evidence")
+
+
 def claim_field_findings(claims: DataFrame, profile: str) -> DataFrame:
     rules = [
         Rule("CLAIM_INCOMPLETE", 2, shorter("statement", 16)),
@@ -338,6 +354,12 @@ def missing_submission_fields() -> Column:
     ))
 
 
+def submission_gaps(rows: DataFrame, profile: str) -> DataFrame:
+    """The submission findings with the names of the missing fields as their evidence."""
+    named = rows.select(F.col("project_id").cast("string").alias("subject"), missing_submission_fields().alias("evidence"))
+    return submission_findings(rows, profile).join(named, "subject").select("gate", "code", "severity", "status", "subject", "evidence")
+
+
 def submission_findings(rows: DataFrame, profile: str) -> DataFrame:
     return evaluate(rows, F.col("project_id"), [
         Rule("SUBMISSION_METADATA_INCOMPLETE", 3, F.size(missing_submission_fields()) > 0, ("submission",))], profile)

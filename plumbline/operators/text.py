@@ -88,10 +88,10 @@ def drift(pairs: DataFrame, original: str = "original", later: str = "later", ex
 
 
 def search(rows: DataFrame, fields: list[str], needle: str) -> DataFrame:
-    """Rows holding the needle in any field, ignoring case."""
+    """Rows holding the needle in any field under full case folding (straße holds STRASSE)."""
     hit = F.lit(False)
     for name in fields:
-        hit = hit | F.contains(F.lower(F.coalesce(F.col(name), F.lit(""))), F.lit(needle.lower()))
+        hit = hit | F.contains(casefold(F.coalesce(F.col(name), F.lit(""))), F.lit(needle.casefold()))
     return rows.filter(hit)
 
 

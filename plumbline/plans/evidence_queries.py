@@ -215,12 +215,18 @@ def move_ranking(spark: SparkSession, d: str) -> DataFrame:
     return evidence.rank_moves(moves).select("move_id", "benefit_ordinal", "burden_ordinal", "net_ordinal", "rank")
 
 
-@query("blocker_status", """
-with c as (select l_orderkey as k, l_linenumber as n, max(case when l_linenumber = 1 then case l_returnflag when 'A' then 'REQUIREMENT_CONFIRMED' when 'N' then 'NOT_RUN' else 'INCONCLUSIVE' end
+_BLOCKER_NAMES = "[" + ", ".join(f"'{c}'" for c in evidence.BLOCKER_CHECKS) + "]"
+
+
+@query("blocker_status", f"""
+with c as (select l_orderkey as k, l_linenumber as n, {_BLOCKER_NAMES}[l_linenumber] as name, max(case when l_linenumber = 1 then case l_returnflag when 'A' then 'REQUIREMENT_CONFIRMED' when 'N' then 'NOT_RUN' else 'INCONCLUSIVE' end
   else case when l_returnflag = 'A' and l_linestatus = 'O' and l_quantity > 45 then 'PATH_FOUND' when l_returnflag = 'N' then 'NO_PATH' when l_quantity > 25 then 'NO_PATH' else 'NOT_APPLICABLE' end end) as o from lineitem group by 1,2),
-g as (select k, max(case when n = 1 then o end) as rq, count_if(n > 1 and o='PATH_FOUND') as f, count_if(n > 1 and o <> 'NO_PATH') as nc, count_if(n > 1) as ch, count_if(o in ('NOT_RUN','INCONCLUSIVE')) as op, count_if(o='NOT_APPLICABLE') as na from c group by 1)
-select o_orderkey as blocker_id, case when o_orderstatus = 'P' then 'REQUIREMENT_NOT_APPLICABLE' when rq is distinct from 'REQUIREMENT_CONFIRMED' then 'BLOCKER_NOT_EVIDENCED' when f > 0 then 'PATH_AVAILABLE' when nc = 0 and ch = 6 then 'EVIDENCED_EXTERNAL_BLOCKER' else 'BLOCKER_NOT_EVIDENCED' end as status,
- (coalesce(op,0) + case when o_orderstatus = 'P' then 0 else coalesce(na,0) end)::bigint as missing_check_count from orders left join g on k = o_orderkey""")
+g as (select k, max(case when n = 1 then o end) as rq, count_if(n > 1 and o='PATH_FOUND') as f, count_if(n > 1 and o <> 'NO_PATH') as nc, count_if(n > 1) as ch,
+  string_agg(name, ';' order by n) filter (o in ('NOT_RUN','INCONCLUSIVE')) as op, string_agg(name, ';' order by n) filter (o in ('NOT_RUN','INCONCLUSIVE','NOT_APPLICABLE')) as na from c group by 1),
+e as (select l_orderkey as k, string_agg(distinct 'p' || l_partkey, ';' order by 'p' || l_partkey) as refs from lineitem group by 1),
+r as (select o_orderkey as blocker_id, case when o_orderstatus = 'P' then 'REQUIREMENT_NOT_APPLICABLE' when rq is distinct from 'REQUIREMENT_CONFIRMED' then 'BLOCKER_NOT_EVIDENCED' when f > 0 then 'PATH_AVAILABLE' when nc = 0 and ch = 6 then 'EVIDENCED_EXTERNAL_BLOCKER' else 'BLOCKER_NOT_EVIDENCED' end as status,
+ coalesce(case when o_orderstatus = 'P' then op else na end, '') as missing_check_ids, coalesce(refs, '') as evidence_ref_ids from orders left join g on k = o_orderkey left join e on e.k = o_orderkey)
+select *, case when missing_check_ids = '' then 0 else len(string_split(missing_check_ids, ';')) end::bigint as missing_check_count from r""")
 def blocker_status(spark: SparkSession, d: str) -> DataFrame:
     f, first = F.col("l_returnflag"), F.col("l_linenumber") == 1
     outcome = F.when(first, F.when(f == "A", "REQUIREMENT_CONFIRMED").when(f == "N", "NOT_RUN").otherwise("INCONCLUSIVE")).when(
@@ -228,9 +234,10 @@ def blocker_status(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_quantity") > 25, "NO_PATH").otherwise("NOT_APPLICABLE")
     names = F.array(*[F.lit(c) for c in evidence.BLOCKER_CHECKS])
     checks = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("blocker_id"), F.element_at(names, F.col("l_linenumber")).alias("check_id")).agg(
-        F.max(outcome).alias("outcome"))
+        F.max(outcome).alias("outcome"), F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("evidence_ref_ids"))
     needs = table(spark, d, "orders").select(F.col("o_orderkey").alias("blocker_id"), F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("requirement_count"))
-    return evidence.blocker_status(checks, needs)
+    found = evidence.blocker_status(checks, needs)
+    return found.withColumns({c: F.array_join(c, ";") for c in ("missing_check_ids", "evidence_ref_ids")})
 
 
 @query("detector_scores", """

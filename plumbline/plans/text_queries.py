@@ -69,6 +69,13 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
     return text.search(table(spark, d, "documents"), ["text", "source"], "The th").select("doc_id")
 
 
+@query("text_search_folded", """
+select doc_id from documents where contains(replace(lower(text || case lang when 'de' then ' Hauptstraße' else '' end), 'ß', 'ss'), 'hauptstrasse')""")
+def text_search_folded(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").withColumn("text", F.concat("text", F.when(F.col("lang") == "de", " Hauptstraße").otherwise("")))
+    return text.search(rows, ["text"], "HAUPTSTRASSE").select("doc_id")
+
+
 _SECRETS = {
     "PRIVATE_KEY": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----",
     "KEY_VALUE": r"(?i)(^|[^\p{L}\p{N}_])(api[_ -]?key|password|passwd|secret|access[_ -]?token)\s*[:=]\s*\S{4,}",

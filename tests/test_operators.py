@@ -232,10 +232,10 @@ def test_wording_rules(spark):
 def test_every_code_has_a_class(spark):
     from plumbline.operators import rule_tables as R
 
-    codes = [c for cs in R.FAILURE_STATUS.values() for c in cs]
-    assert len(codes) == len(set(codes)) and set(R.FAILURE_STATUS) <= set(R.FAILURE_CLASSES)
-    owners = [c for cs in R.CHECK_OWNERS.values() for c in cs]
-    assert len(owners) == len(set(owners))
+    assert set(R.FAILURE_STATUS.values()) <= set(R.FAILURE_CLASSES)
+    assert {code for _, code in R.CHECK_OWNERS} <= set(R.FAILURE_STATUS) and {gate for gate, _ in R.CHECK_OWNERS} == {1, 2, 3}
+    found = spark.createDataFrame([(1, "HYPOTHESIS_UNDERSPECIFIED"), (2, "HYPOTHESIS_UNDERSPECIFIED"), (2, "TOTAL_EVIDENCE_ROLE_CONFLICT")], "gate int, code string")
+    assert {(r["gate"], r["check_id"]) for r in gates.owned_findings(found).collect()} == {(1, "question_stated"), (2, "claim_map_complete")}
     f = spark.createDataFrame([("QUESTION_UNDERSPECIFIED",), ("X",)], "code string")
     assert [r["failure_status"] for r in gates.classified(f).orderBy("code").collect()] == ["FAIL_INCOMPLETE", "FAIL_UNSUPPORTED"]
 
