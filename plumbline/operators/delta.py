@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.errors import Refusal
 from plumbline.functions.canon import key_hash, record_hash
 from plumbline.operators.ordering import resolve_columns
+from plumbline.session import freeze
 
 
 def compatible_keys(left: DataFrame, right: DataFrame, keys) -> tuple[str, ...]:
@@ -101,7 +102,10 @@ def delta_summary(sides: DataFrame) -> DataFrame:
 
 def delta_ledger(sides: DataFrame) -> DataFrame:
     """One entry per input record on each side. A record hash fixes its key, so the
-    join back is on the record hash alone; a hot side is split by the adaptive skew join."""
+    join back is on the record hash alone; a hot side is split by the adaptive skew join.
+
+    The hashed sides are stored once: they are counted, joined back and listed from there."""
+    sides = freeze(sides)
     groups = record_groups(sides.filter("key_sha256 is not null"))
     labelled = groups.join(
         key_groups(groups).select("key_sha256", "n_left", "n_right", "classification", "conflict"), "key_sha256"
