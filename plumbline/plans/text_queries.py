@@ -36,22 +36,31 @@ def _negative(x: str) -> str:
     return f"len(list_filter({x}, lambda z: z in ({_NEG}) or z like '%n''t')) > 0"
 
 
-@query("drift_review", f"""with {_closing_sql()},
+def _drift_facts(fold: str, words: str) -> str:
+    """CTEs up to ``f``: facts of every pair of texts by the given folding and word pattern."""
+    word = lambda x: f"regexp_extract_all({fold.format(x)}, '{words}')"
+    return f"""{_closing_sql()},
 l as (select doc_id + 1 as doc_id, case when source = 'src9' then text || ' It is not always proven.' else text end as b from documents),
 p as (select l.doc_id, body as a, b from w join l on l.doc_id = pointer::bigint union all select -1 - doc_id, body, text from w join documents d on d.doc_id = pointer::bigint where lang = 'es'),
-k as (select doc_id, trim(lower(a)) = trim(lower(b)) as same, {_words('a')} as aw, {_words('b')} as bw from p),
+k as (select doc_id, trim({fold.format('a')}) = trim({fold.format('b')}) as same, {word('a')} as aw, {word('b')} as bw from p),
 t as (select *, {_terms('aw')} as at_, {_terms('bw')} as bt from k),
 f as (select *, len(list_intersect(at_, bt)) as sh, len(at_) as n, len(list_distinct(list_concat(at_, bt))) as u, ({_negative('aw')}) <> ({_negative('bw')}) as neg,
- list_sort(list_filter(bt, lambda z: z in ({_STRONG}) and not list_contains(at_, z))) as os from t)
-select doc_id, sh::int as shared_terms, n::int as original_terms, u::int as union_terms, neg as negation_changed, array_to_string(os,';') as new_overstatement,
- case when same then 'PRESERVED_MEANING' else concat_ws(';', case when sh / greatest(1,n) < 0.8 then 'OMISSION' end, case when neg and sh / greatest(1,u) >= 0.25 then 'CONTRADICTION' end, case when len(os) > 0 then 'OVERSTATEMENT' end, 'UNRESOLVED_AMBIGUITY') end as categories from f""")
+ list_sort(list_filter(bt, lambda z: z in ({_STRONG}) and not list_contains(at_, z))) as os from t)"""
+
+
+_DRIFT_LABELS = """case when same then 'PRESERVED_MEANING' else concat_ws(';', case when sh / greatest(1,n) < 0.8 then 'OMISSION' end, case when neg and sh / greatest(1,u) >= 0.25 then 'CONTRADICTION' end, case when len(os) > 0 then 'OVERSTATEMENT' end, 'UNRESOLVED_AMBIGUITY') end as categories"""
+
+
+@query("drift_review", f"""with {_drift_facts("lower({})", "[0-9a-z_''-]+")}
+select doc_id, sh::int as shared_terms, n::int as original_terms, u::int as union_terms, neg as negation_changed, array_to_string(os,';') as new_overstatement, {_DRIFT_LABELS} from f""")
 def drift_review(spark: SparkSession, d: str) -> DataFrame:
     out = text.drift(drift_pairs(spark, d), exact=False)
     return out.select("doc_id", "shared_terms", "original_terms", "union_terms", "negation_changed", F.array_join("new_overstatement", ";").alias("new_overstatement"),
                       F.array_join("categories", ";").alias("categories"))
 
 
-@query("drift_review_exact")
+@query("drift_review_exact", f"""with {_drift_facts("replace(lower(nfc_normalize({})), 'ß', 'ss')", r"[\p{L}\p{N}_''-]+")}
+select doc_id, sh::int as shared_terms, n::int as original_terms, u::int as union_terms, round(sh / greatest(1, n), 6) as term_coverage, round(sh / greatest(1, u), 6) as set_overlap, {_DRIFT_LABELS} from f""")
 def drift_review_exact(spark: SparkSession, d: str) -> DataFrame:
     out = text.drift(drift_pairs(spark, d))
     return out.select("doc_id", "shared_terms", "original_terms", "union_terms", "term_coverage", "set_overlap", F.array_join("categories", ";").alias("categories"))

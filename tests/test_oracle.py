@@ -8,7 +8,6 @@ from check_oracle import connect, rows_of
 from plumbline.plans import ORACLES, QUERIES
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"drift_review_exact"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +17,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     frame = QUERIES[name](spark, FOLDER)
     mine = rows_of(frame.columns, [tuple(r) for r in frame.collect()])
