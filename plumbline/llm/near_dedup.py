@@ -21,7 +21,7 @@ VALUES, ORDERS, LABEL = 96, 24, 8
 DEPTH, SHALLOWER, DEEPER = 4, (3, 2), (6, 8)
 #: A shallower run is taken up to so many entries: a larger one is no neighbourhood of its lonely entry.
 SHALLOW = 64
-#: A region of at most so many shingles (8 MiB), or of so few entries, is compared whole in one group; a larger one is first entered deeper,
+#: A region of at most so many shingles (4 MiB), or of so few entries, is compared whole in one group; a larger one is first entered deeper,
 #: and what is then still open is compared in tiles of that size.
 REGION, FEW = 1_000_000, 16
 
@@ -163,8 +163,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield named(np.array(last.column(0)), values, last.column(2), last.column(3), np.ones(1, bool))
 
 
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique((np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(32)).astype("<u4")).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+
 def _short(sets: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.unique((np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(32)).astype("<u4")) for x in sets]
+    return [np.frombuffer(x.as_buffer(), "<u4") for x in sets]
 
 
 def _candidates(xs: list[np.ndarray], x_parts: list, ys: list[np.ndarray], y_parts: list) -> Iterator[tuple[int, int]]:
@@ -272,11 +278,15 @@ class _Forest:
             self._keep_sets(crowd.select("node"))
         self._extend(crowd.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
         labelled = self._labelled(crowd.select("region", "node", "n", *deeper))
-        sizes = labelled.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
+        sizes = labelled.groupBy("region").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"),
+            F.bit_xor(F.xxhash64("node")).alias("mark"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("mark_2"))
         is_small = (F.col("shingles") <= REGION) | (F.col("members") <= FEW)
-        opened = self._scratch.freeze(labelled.join(sizes.where("low <> high").select("region", is_small.alias("is_small")), "region"))
+        # Regions of several orders often have the same members: one of them speaks for all.
+        once = sizes.where("low <> high").groupBy("members", "mark", "mark_2").agg(F.min("region").alias("region"), F.first(is_small).alias("is_small"))
+        opened = self._scratch.freeze(labelled.join(once.select("region", "is_small"), "region"))
         small = opened.where("is_small").select("region", "node", "component")
-        with_sets = small.join(self._sets(small).hint("merge"), "node")
+        with_sets = small.join(self._short_sets(small).hint("merge"), "node")
         self._extend(with_sets.groupBy("region").applyInArrow(_open_links, "a binary, b binary"))
         return opened.where("not is_small").select("region", "node", "n", *deeper)
 
@@ -293,7 +303,7 @@ class _Forest:
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         ys = rows.select("region", "node", "component", F.lit(False).alias("is_x"), part("ys").alias("y"), every("xs").alias("x"))
         xs = rows.where("component <> main").select("region", "node", "component", F.lit(True).alias("is_x"), part("xs").alias("x"), every("ys").alias("y"))
-        tiles = ys.unionByName(xs).join(self._sets(rows).hint("merge"), "node")
+        tiles = ys.unionByName(xs).join(self._short_sets(rows).hint("merge"), "node")
         self._extend(tiles.groupBy("region", "x", "y").applyInArrow(_tile_links, "a binary, b binary"))
 
     def _keep_sets(self, nodes: DataFrame) -> None:
@@ -303,8 +313,9 @@ class _Forest:
         texts = self._entries.join(ids.hint("merge"), "entry_id", "left_semi").select("exact_text")
         self._all_sets = self._scratch.freeze(texts.mapInArrow(_node_sets, "node binary, shingles binary"))
 
-    def _sets(self, nodes: DataFrame) -> DataFrame:
-        return self._all_sets.join(nodes.select("node").distinct().hint("merge"), "node", "left_semi")
+    def _short_sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles): of each hash the upper 32 bits, which is enough to find candidates."""
+        return self._all_sets.join(nodes.select("node").distinct().hint("merge"), "node", "left_semi").mapInArrow(_shortened, "node binary, shingles binary")
 
     def _labelled(self, rows: DataFrame) -> DataFrame:
         if self.links is None:
@@ -344,7 +355,7 @@ def near_duplicates(entries: DataFrame, *, scratch: Scratch | None = None) -> Da
     a prefix of three, then two, as long as such a run is small; a crowded region is entered again at six and eight values. In a region every
     member is first paired with its smallest one, and confirmed pairs are joined into components. A region of one component is finished,
     however many nodes it holds. Open ones are counted out exactly, each member outside the largest component against all: whole if
-    the sets fit in 8 MiB (or they are few), and else, after the deeper runs have joined what they can, in tiles of that size. So every pair that
+    the sets fit in 4 MiB (or they are few), and else, after the deeper runs have joined what they can, in tiles of that size. So every pair that
     shares four values in some order is compared or lies in one component; a pair at similarity 0.75 shares none with probability 1.1e-4,
     less above. Work in crowded regions grows with the square of their open part.
 
